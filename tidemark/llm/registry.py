@@ -1,9 +1,10 @@
 """Queries of the training-data operators, by name, and their SQL where SQL can express them."""
 
-from tidemark.llm import substring
+from tidemark.llm import mixing, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
