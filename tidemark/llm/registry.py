@@ -1,9 +1,10 @@
 """Queries of the training-data operators, by name, and their SQL where SQL can express them."""
 
-from tidemark.llm import mixing, substring
+from tidemark.llm import mixing, quality, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
 
