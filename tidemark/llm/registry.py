@@ -1,9 +1,10 @@
 """Queries of the training-data operators, by name, and their SQL where SQL can express them."""
 
-from tidemark.llm import bpe, mixing, quality, substring
+from tidemark.llm import bpe, mixing, quality, substring, telephony
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op2_telephony": telephony.op2_telephony,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_mixing": mixing.op10_mixing,
