@@ -29,7 +29,7 @@ ORDERS = (3, 4, 5, 6)
 #: Bits of the n-gram hashes, and labelled rows to learn from.
 BITS = 20
 SAMPLE = 6_000
-LEAST_RATIO, LEAST_TEXTS, PENALTY, SMOOTHING = 1.0, 4, 1e-3, 1.0
+LEAST_RATIO, LEAST_TEXTS, PENALTY, SMOOTHING = 2.0, 4, 1e-3, 1.0
 FOLDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = {c: " " for c in (*range(0x09, 0x0E), 0x85, 0xA0)}
