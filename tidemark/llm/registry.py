@@ -1,14 +1,16 @@
 """Queries of the training-data operators, by name, and their SQL where SQL can express them."""
 
-from tidemark.llm import bpe, mixing, neardup, quality, substring, telephony, toxicity
+from tidemark.llm import bpe, mixing, neardup, quality, resampling, substring, telephony, tokencount, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_telephony": telephony.op2_telephony,
+    "op3_token_counts": tokencount.op3_token_counts,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_importance_resampling": resampling.op9_importance_resampling,
     "op10_mixing": mixing.op10_mixing,
 }
 
