@@ -1,6 +1,6 @@
 """Queries of the training-data operators, by name, and their SQL where SQL can express them."""
 
-from tidemark.llm import bpe, mixing, neardup, quality, resampling, substring, telephony, tokencount, toxicity
+from tidemark.llm import bpe, mixing, neardup, quality, quotes, resampling, substring, telephony, tokencount, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -8,10 +8,14 @@ QUERIES = {
     "op3_token_counts": tokencount.op3_token_counts,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_near_duplicates": neardup.op5_near_duplicates,
+    "op6_quotation_links": quotes.op6_quotation_links,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_importance_resampling": resampling.op9_importance_resampling,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_substring_dedup": substring.OP1_SQL,
+    "op6_quotation_links": quotes.OP6_SQL,
+}

@@ -226,3 +226,21 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "t
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+#: The same in DuckDB's SQL, for unique ids.
+OP1_SQL = r"""
+with doc as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+win as (
+  select doc_id, i, array_to_string(words[i:i + 34], ' ') as said
+  from (select doc_id, words, unnest(range(1, len(words) - 33)) as i from doc)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by said) as n from win) where n > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as i from again),
+word as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from doc),
+kept as (
+  select w.doc_id, string_agg(w.word, ' ' order by w.i) as said, count(*) as n
+  from word w left join gone g on w.doc_id = g.doc_id and w.i = g.i where g.i is null group by w.doc_id)
+select d.doc_id, len(d.words)::bigint as n_words, (len(d.words) - coalesce(k.n, 0))::bigint as n_removed,
+  sha256(coalesce(k.said, '')) as kept_sha256
+from doc d left join kept k on d.doc_id = k.doc_id
+"""
