@@ -15,7 +15,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     stored after each round. A hot id is reduced before the shuffle, and as a join key it is split by AQE.
     """
     links = links.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    edges = stored(links.select(F.col(a).alias("s"), F.col(b).alias("t")).unionAll(links.select(F.col(b), F.col(a))).distinct())
+    pairs = links.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo <> hi")
+    least = pairs.groupBy("hi").agg(F.min("lo").alias("top"))
+    # an id's smaller neighbours are tied to the least of them instead of to it
+    tied = pairs.join(least, "hi").where("lo <> top").select(F.col("top").alias("lo"), F.col("lo").alias("hi"))
+    pairs = least.select(F.col("top").alias("lo"), "hi").unionByName(tied).distinct()
+    edges = stored(pairs.select(F.col("lo").alias("s"), F.col("hi").alias("t")).unionAll(pairs.select("hi", "lo")))
     labels = stored(edges.groupBy(F.col("s").alias("id")).agg(F.min(F.least("s", "t")).alias("root")))
     while True:
         near = edges.join(labels, F.col("t") == F.col("id")).groupBy("s").agg(F.min("root").alias("near"))

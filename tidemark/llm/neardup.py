@@ -10,7 +10,7 @@ is the similarity. Five registers make a band, 32 bands a signature: two texts a
 probability of 3e-6.
 
 Texts with the same words are one candidate, the one with the least id. In each bucket of a band the candidates are
-compared with two leaders, the least id and one drawn for the bucket; pairs at or above the threshold, found by the exact
+compared with two leaders, the least id and the one with the least hash; pairs at or above the threshold, found by the exact
 similarity of whole texts, are links, and components of links are classes. What a bucket still holds in several classes
 is then compared across the classes, after dropping pairs whose signatures agree in under ``SURELY_LESS`` of the registers
 (a pair at the threshold does with a probability of 1e-6), so no link between classes is lost and a large class isn't
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     unique = stored(unique.select("key", "rep", "sign.*"))
     copies = rows.select("id", "key").join(unique.select("key", "rep"), "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     met = unique.select("rep", F.explode("bands").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("one"), F.min_by("rep", F.xxhash64("bucket", "rep")).alias("two")).where("n > 1").drop("n")
+    shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("one"), F.min_by("rep", F.xxhash64("rep")).alias("two")).where("n > 1").drop("n")
     in_shared = stored(met.join(shared, "bucket").select("bucket", "rep", "one", "two"))
     pairs = stored(in_shared.select(F.explode(F.array_distinct(F.array("one", "two"))).alias("l"), "rep").where("l <> rep").select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct())
     wanted = in_shared.select(F.col("rep").alias("id")).distinct()
