@@ -93,11 +93,11 @@ class Words:
         return self.doc[:n] == self.doc[length - 1 :] if n > 0 else np.zeros(0, bool)
 
 
-def slices(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
-    """(first row, texts as UTF-8) of runs of about SLICE_BYTES."""
+def slices(texts: pa.ChunkedArray | pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(first row, texts as UTF-8) of runs of about ``most`` bytes."""
     row, held, size = 0, [], 0
     for i, value in enumerate(texts.cast(pa.large_binary()).to_pylist()):
-        if held and size + len(value or b"") > SLICE_BYTES:
+        if held and size + len(value or b"") > most:
             yield row, held
             row, held, size = i, [], 0
         held.append(value)
