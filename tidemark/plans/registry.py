@@ -1,4 +1,277 @@
-"""Queries of the versioned-log engine and the SQL that gives the same rows."""
+"""Queries of the versioned-log engine over the sample tables, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+``events`` is the main log: a user's id is the key, the event number the seq, an error event deletes. Keys and values are
+text here, so that both sides can print them; the operators take binary the same.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.model import TOMBSTONE, VALUE, StoreOptions
+from tidemark.operators import compact, resolve, stats
+from tidemark.plans.store import Store
+
+GEN_ROWS = 1000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deleted = F.col("event_type") == "error"
+    return table(spark, sf_dir, "events").select(
+        F.format_string("u%08d", "user_id").alias("key"),
+        (F.col("event_id") + 1).alias("seq"),
+        F.when(deleted, TOMBSTONE).otherwise(VALUE).alias("op"),
+        F.when(~deleted, F.col("props")).alias("value"),
+    )
+
+
+def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deleted = F.col("o_orderstatus") == "F"
+    return table(spark, sf_dir, "orders").select(
+        F.format_string("c%08d", "o_custkey").alias("key"),
+        (F.col("o_orderkey") + 1).alias("seq"),
+        F.when(deleted, TOMBSTONE).otherwise(VALUE).alias("op"),
+        F.when(~deleted, F.col("o_orderpriority")).alias("value"),
+    )
+
+
+def generations(log: DataFrame, rows: int = GEN_ROWS) -> DataFrame:
+    return log.withColumn("gen", F.floor((F.col("seq") - 1) / rows))
+
+
+EVENTS = """log as (select printf('u%08d', user_id) as key, event_id + 1 as seq,
+  case when event_type = 'error' then 2 else 1 end as op, case when event_type = 'error' then null else props end as value
+  from events)"""
+ORDERS = """log as (select printf('c%08d', o_custkey) as key, o_orderkey + 1 as seq,
+  case when o_orderstatus = 'F' then 2 else 1 end as op, case when o_orderstatus = 'F' then null else o_orderpriority end as value
+  from orders)"""
+
+
+def _latest(name: str, where: str = "true") -> str:
+    return f"{name} as (select key, seq, op, value from (select *, row_number() over (partition by key order by seq desc) as rn from log where {where}) where rn = 1)"
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.scan(events_log(spark, sf_dir))
+
+
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.get(events_log(spark, sf_dir), "u00000007")
+
+
+def point_get_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.get(events_log(spark, sf_dir), "u00000012", 5000)
+
+
+def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "customer").where("c_custkey < 300").select(F.format_string("u%08d", "c_custkey").alias("key"))
+    return resolve.multi_get(events_log(spark, sf_dir), keys)
+
+
+def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.scan(events_log(spark, sf_dir))
+
+
+def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.scan(events_log(spark, sf_dir), "u00000010", "u00000060")
+
+
+def range_scan_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.scan(events_log(spark, sf_dir), "u00000010", limit=20)
+
+
+def empty_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.scan(events_log(spark, sf_dir), None, "")
+
+
+def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.scan(events_log(spark, sf_dir), seq=5000)
+
+
+def orders_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.scan(orders_log(spark, sf_dir))
+
+
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = events_log(spark, sf_dir)
+    probes = log.select("key").distinct().select("key", F.explode(F.array(*map(F.lit, (10, 2500, 5000, 9999)))).alias("snap"))
+    return resolve.as_of_join(log, probes)
+
+
+def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = events_log(spark, sf_dir)
+    return resolve.scan(resolve.merge_sources(log.where("seq % 3 = 0"), log.where("seq % 3 = 1"), log.where("seq % 3 = 2")))
+
+
+def compact_retain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact.retain(events_log(spark, sf_dir), 5000, True)
+
+
+def compact_retain_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact.retain(events_log(spark, sf_dir), 9990, False)
+
+
+def compact_retain_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact.retain(events_log(spark, sf_dir), 9990, True)
+
+
+def compact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact.retain(events_log(spark, sf_dir), None, True)
+
+
+def flush_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact.collapse(generations(events_log(spark, sf_dir)), "gen")
+
+
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.run_stats(generations(events_log(spark, sf_dir)), "gen")
+
+
+def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.check_order(events_log(spark, sf_dir))
+
+
+def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.size_estimate(events_log(spark, sf_dir))
+
+
+def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.distinct_keys(events_log(spark, sf_dir))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = generations(events_log(spark, sf_dir), 500).withColumn("size", stats.entry_size()).groupBy("gen").agg(F.sum("size").alias("size_bytes"))
+    return runs.select(F.when(F.col("gen") >= 16, 0).when(F.col("gen") >= 12, 1).otherwise(2).alias("level"), "size_bytes")
+
+
+def level_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.level_layout(spark, _runs(spark, sf_dir), StoreOptions(base_level_bytes=2000))
+
+
+def tables_per_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.tables_per_level(stats.level_layout(spark, _runs(spark, sf_dir), StoreOptions(base_level_bytes=2000)))
+
+
+def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(table(spark, sf_dir, "events").select((F.col("value") / 100).alias("seconds")), "seconds")
+
+
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.diff(events_log(spark, sf_dir), 5000, None)
+
+
+def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.tombstones(resolve.latest(events_log(spark, sf_dir)))
+
+
+def _folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{named}/stores/{uuid.uuid4().hex}"
+
+
+def store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written to a store in two batches, compacted, reopened and scanned."""
+    log = events_log(spark, sf_dir).select(F.encode("key", "UTF-8").alias("key"), "seq", "op", F.encode("value", "UTF-8").alias("value"))
+    folder = _folder(spark)
+    with Store(spark, folder) as store:
+        store.apply(log.where("seq <= 5000"), "seq")
+        store.apply(log.where("seq > 5000"), "seq")
+        store.compact()
+    store = Store(spark, folder)
+    return store.scan().select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed into a store, then scanned."""
+    from tidemark.streaming.ingest import ingest
+
+    path = f"{sf_dir}/events.parquet"
+    deleted = F.col("event_type") == "error"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/event[s].parquet")
+    rows = source.select(F.encode(F.format_string("u%08d", "user_id"), "UTF-8").alias("key"), F.when(deleted, TOMBSTONE).otherwise(VALUE).alias("op"), F.encode("props", "UTF-8").alias("value"), "event_id")
+    folder = _folder(spark)
+    store = Store(spark, folder)
+    ingest(store, rows, "event_id", f"{folder}-stream").awaitTermination()
+    return store.scan().select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
+_SCAN = f"with {EVENTS}, {_latest('newest')} select key, value from newest where op = 1"
+_BOUNDS = ", ".join(f"('{b!r}', {b!r}::double)" for b in stats.LATENCY_BOUNDS)
+_LAYOUT = f"""with {EVENTS}, run as (
+  select (seq - 1) // 500 as gen, sum(strlen(key) + coalesce(strlen(value), 0) + 48) as bytes from log group by 1),
+placed as (select case when gen >= 16 then 0 when gen >= 12 then 1 else 2 end as level, bytes from run),
+layout as (select s.level::integer as level, count(p.level)::bigint as num_runs, coalesce(sum(p.bytes), 0)::bigint as size_bytes,
+  case when s.level > 0 then (2000 * power(10, s.level - 1))::bigint end as target_bytes,
+  case when s.level = 0 then count(p.level) >= 4
+    else s.level < 6 and coalesce(sum(p.bytes), 0) > 2000 * power(10, s.level - 1) end as needs_compaction
+  from range(7) s(level) left join placed p on s.level = p.level group by s.level)"""
+
+
+def _retain(seq: int, bottommost: bool) -> str:
+    rule = f"and not (op = 2 and seq <= {seq} and seq = newest)" if bottommost else ""
+    return f"""with {EVENTS}, seen as (select *, max(case when seq <= {seq} then seq end) over (partition by key) as seen,
+      max(seq) over (partition by key) as newest from log)
+    select key, seq, op, value from seen where (seq > {seq} or seq = seen) {rule}"""
+
+
+_QUERIES = {
+    point_get: f"with {EVENTS}, {_latest('newest')} select key, value from newest where op = 1 and key = 'u00000007'",
+    point_get_as_of: f"with {EVENTS}, {_latest('newest', 'seq <= 5000')} select key, value from newest where op = 1 and key = 'u00000012'",
+    multi_get: f"""with {EVENTS}, {_latest('newest')}, asked as (select printf('u%08d', c_custkey) as key from customer where c_custkey < 300)
+      select a.key, n.value, n.key is not null as found from asked a left join (select * from newest where op = 1) n on a.key = n.key""",
+    full_scan: _SCAN,
+    range_scan: f"{_SCAN} and key >= 'u00000010' and key < 'u00000060'",
+    range_scan_limit: f"{_SCAN} and key >= 'u00000010' order by key limit 20",
+    empty_range: f"{_SCAN} and key < ''",
+    snapshot_scan: f"with {EVENTS}, {_latest('newest', 'seq <= 5000')} select key, value from newest where op = 1",
+    orders_scan: f"with {ORDERS}, {_latest('newest')} select key, value from newest where op = 1",
+    as_of_join: f"""with {EVENTS}, probe as (select distinct key, snap from log, (values (10), (2500), (5000), (9999)) s(snap)),
+      found as (select p.key, p.snap, l.seq, l.op, l.value, row_number() over (partition by p.key, p.snap order by l.seq desc) as rn
+        from probe p join log l on p.key = l.key and l.seq <= p.snap)
+      select key, snap::bigint as snap, seq, value from found where rn = 1 and op = 1""",
+    merge_union: _SCAN,
+    compact_retain: _retain(5000, True),
+    compact_retain_upper: _retain(9990, False),
+    compact_retain_late: _retain(9990, True),
+    compact_full: f"with {EVENTS}, {_latest('newest')} select key, seq, op, value from newest where op <> 2",
+    flush_collapse: f"""with {EVENTS}, ranked as (select *, (seq - 1) // 1000 as gen,
+        row_number() over (partition by (seq - 1) // 1000, key order by seq desc) as rn from log)
+      select key, seq, op, value, gen from ranked where rn = 1""",
+    run_stats: f"""with {EVENTS} select (seq - 1) // 1000 as gen, count(*) as num_entries, count(*) filter (op = 2) as num_tombstones,
+      min(key) as min_key, max(key) as max_key, max(seq) as max_seq from log group by 1""",
+    order_check: f"""with {EVENTS}, walk as (select seq, lag(seq) over (partition by key order by seq desc) as before from log)
+      select count(*) as num_rows, count(distinct seq) as num_seqs, count(*) filter (before <= seq) as violations from walk""",
+    size_estimate: f"with {EVENTS} select key, sum(strlen(key) + coalesce(strlen(value), 0) + 48)::bigint as size_bytes from log group by key",
+    distinct_keys: f"with {EVENTS} select count(distinct key) as num_keys from log",
+    level_layout: f"{_LAYOUT} select * from layout",
+    tables_per_level: f"{_LAYOUT} select sum(num_runs)::bigint as num_runs, list(num_runs order by level) as per_level from layout",
+    latency_histogram: f"""select le, count(*) filter (greatest(e.value / 100, 0) <= bound) as n from events e, (values {_BOUNDS}) b(le, bound) group by le
+      union all select '+Inf', count(value) from events""",
+    snapshot_diff: f"""with {EVENTS}, {_latest('old', 'seq <= 5000')}, {_latest('new')},
+      a as (select key, value from old where op = 1), b as (select key, value from new where op = 1)
+      select coalesce(a.key, b.key) as key, case when b.key is null then 'removed' when a.key is null then 'added' else 'changed' end as change,
+        a.value as old_value, b.value as new_value
+      from a full join b on a.key = b.key where a.key is null or b.key is null or a.value is distinct from b.value""",
+    tombstones: f"with {EVENTS}, {_latest('newest')} select key, seq, op, value from newest where op = 2",
+    store_scan: _SCAN,
+    stream_ingest: _SCAN,
+}
+
+QUERIES = {query.__name__: query for query in _QUERIES}
+ORACLES = {query.__name__: sql for query, sql in _QUERIES.items()}
