@@ -10,11 +10,15 @@ is the similarity. Five registers make a band, 32 bands a signature: two texts a
 probability of 3e-6.
 
 Texts with the same words are one candidate, the one with the least id. In each bucket of a band the candidates are
-compared with two leaders, the least id and the one with the least hash; pairs at or above the threshold, found by the exact
-similarity of whole texts, are links, and components of links are classes. What a bucket still holds in several classes
-is then compared across the classes, after dropping pairs whose signatures agree in under ``SURELY_LESS`` of the registers
-(a pair at the threshold does with a probability of 1e-6), so no link between classes is lost and a large class isn't
-compared within itself.
+compared with two leaders, the least id and the one with the least hash; pairs at or above the threshold, found by the
+exact similarity of whole texts, are links, and components of links are classes. What a bucket still holds in several
+classes is compared across the classes, so no link between classes is lost and a class isn't compared within itself.
+Pairs are dropped before texts are read whose signatures agree in under ``SURELY_LESS`` of the registers; a pair at the
+threshold does with a probability of 1e-6.
+
+Comparing across classes: tasks take many small buckets, or two blocks of a large one, with signatures alone. A bucket
+with few pairs left gives these pairs. One with many, a crowd of texts just below the threshold, would give a number of
+pairs that grows with its square; its texts go to a task instead, block by block, and only links come out.
 
 Defined cases: texts of one to four words have one shingle, all their words; texts without words, null ones too, and rows
 with a null id are classes of their own; an id that repeats stands for all of its rows; other columns are not read.
@@ -36,6 +40,8 @@ from tidemark.llm.words import Words, mix, pair_hash, slices, window_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 SURELY_LESS = 0.65
+#: Rows of a bucket that a task holds at once, and pairs a row beyond which a bucket counts as crowded.
+BLOCK, PAIRS_A_ROW = 1024, 2
 SEED = 11
 
 
@@ -128,6 +134,21 @@ def signed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(id_col, text).mapInArrow(sign, f"id {id_type}, key binary, bands array<long>, bytes binary")
 
 
+def alike(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose signatures agree in SURELY_LESS of the registers or more."""
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (2, 3))
+            good = pa.array((x == y).sum(axis=1) >= SURELY_LESS * BANDS * ROWS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    id_type = pairs.schema["a"].dataType.simpleString()
+    brief = unique.select("rep", "bytes")
+    both = pairs.select("a", "b").join(brief.toDF("a", "bytes_a"), "a").join(brief.toDF("b", "bytes_b"), "b")
+    return both.select("a", "b", "bytes_a", "bytes_b").mapInArrow(agree, f"a {id_type}, b {id_type}")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``a, b`` whose whole texts are as similar as the threshold."""
 
@@ -154,6 +175,116 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {id_type}, b {id_type}")
 
 
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many registers each row of x agrees with each row of y."""
+    return np.stack([(row == y).sum(axis=1) for row in x]) if len(x) else np.zeros((0, len(y)), int)
+
+
+def _candidates(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each bucket in a unit: (its rows, i, j) of the pairs across classes, and blocks if it has two, that may be similar."""
+    bucket = np.asarray(rows.column("bucket").to_numpy())
+    order = np.argsort(bucket, kind="stable")
+    block, two = np.asarray(rows.column("block").to_numpy()), np.asarray(rows.column("lo").to_numpy()) != np.asarray(rows.column("hi").to_numpy())
+    root = np.unique(np.array(rows.column("root").to_pylist()), return_inverse=True)[1]
+    small = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    # a unit has one pair of blocks of a bucket, or whole buckets
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order[:1]] - 1, append=bucket[order[-1:]] + 1))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        at = order[lo:hi]
+        good = (root[at][:, None] != root[at]) & (_agreement(small[at], small[at]) >= SURELY_LESS * BANDS * ROWS)
+        if two[at[0]]:
+            good &= block[at][:, None] != block[at]
+        yield at, *np.nonzero(np.triu(good, 1))
+
+
+def _sift(id_type: pa.DataType):
+    """Pairs of the buckets that have few; of the others the bucket with a null pair."""
+
+    def sift(rows: pa.Table) -> pa.Table:
+        rep, bucket, a, b, crowd = rows.column("rep"), rows.column("bucket"), [], [], []
+        for at, i, j in _candidates(rows):
+            if len(i) > PAIRS_A_ROW * len(at):
+                crowd.append(bucket[int(at[0])].as_py())
+            else:
+                a.append(at[i])
+                b.append(at[j])
+        first, second = (rep.take(pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64))) for x in (a, b))
+        none = pa.nulls(len(crowd), id_type)
+        one, other = (pa.concat_arrays([*x.chunks, none]) for x in (first, second))
+        return pa.table({"a": one, "b": other, "bucket": pa.array([None] * len(first) + crowd, pa.int64())})
+
+    return sift
+
+
+def _crowd(id_type: pa.DataType, threshold: float):
+    """Links across the classes of crowded buckets, no more than it takes to join them."""
+
+    def link(rows: pa.Table) -> pa.Table:
+        of, value, times = shingles(Words(rows.column("text").cast(pa.large_binary()).to_pylist()))
+        edge = np.searchsorted(of, np.arange(rows.num_rows + 1))
+        size, plain = np.diff(edge), np.ones(rows.num_rows, bool)
+        plain[of[times > 1]] = False
+        shingle, which, common = np.unique(value, return_inverse=True, return_counts=True)
+        dense = np.cumsum(common > 1) - 1
+        a, b = [], []
+        for at, i, j in _candidates(rows):
+            place = np.full(rows.num_rows, -1)
+            place[at] = np.arange(len(at))
+            mine = np.flatnonzero((place[of] >= 0) & (common[which] > 1))
+            row, column = place[of[mine]], dense[which[mine]]
+            used, column = np.unique(column, return_inverse=True)
+            shared = np.zeros((len(at), len(at)), np.float32)
+            for lo in range(0, len(used), 4096):
+                part = np.zeros((len(at), min(4096, len(used) - lo)), np.float32)
+                inside = (column >= lo) & (column < lo + 4096)
+                part[row[inside], column[inside] - lo] = 1
+                shared += part @ part.T
+            parent = list(range(len(at)))
+
+            def top(x: int, parent: list[int] = parent) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            n = size[at]
+            both = plain[at[i]] & plain[at[j]]
+            near = np.where(both, shared[i, j] / (n[i] + n[j] - shared[i, j]) >= threshold - 1e-6, True)
+            for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                if top(x) == top(y):
+                    continue
+                sets = [(value[edge[k] : edge[k + 1]], times[edge[k] : edge[k + 1]]) for k in (at[x], at[y])]
+                if similarity(*sets) >= threshold:
+                    parent[top(x)] = top(y)
+                    a.append(at[x])
+                    b.append(at[y])
+        rep = rows.column("rep")
+        return pa.table({"a": rep.take(pa.array(a, pa.int64())), "b": rep.take(pa.array(b, pa.int64()))})
+
+    return link
+
+
+def across_classes(placed: DataFrame, unique: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between members of a bucket that are in different classes; placed: bucket, rep, root."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type, name = to_arrow_type(placed.schema["rep"].dataType), placed.schema["rep"].dataType.simpleString()
+    several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rest = placed.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), "blocks"))
+    rest = stored(rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("bucket", "rep", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "blocks"))
+    shards = max(1, -(-rest.count() // (2 * BLOCK)))
+    unit = F.when(F.col("blocks") > 1, F.xxhash64("bucket", "lo", "hi")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(shards)))
+    rest = rest.withColumn("unit", unit).join(unique.select("rep", "bytes"), "rep")
+    sifted = stored(rest.groupBy("unit").applyInArrow(_sift(id_type), f"a {name}, b {name}, bucket long"))
+    pairs = sifted.where("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(verified(pairs, texts, threshold))
+    crowded = sifted.where("bucket is not null").select("bucket").distinct()
+    if crowded.isEmpty():
+        return links
+    own = F.xxhash64("bucket", "lo", "hi")
+    full = rest.join(crowded, "bucket", "left_semi").withColumn("unit", own).join(texts.withColumnRenamed("id", "rep"), "rep")
+    return links.unionByName(stored(full.groupBy("unit").applyInArrow(_crowd(id_type, threshold), f"a {name}, b {name}")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, class_id``: a row for each row of docs; class_id is the least id of the class, null for a null id."""
     rows = stored(signed(docs, id_col, text))
@@ -162,22 +293,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     copies = rows.select("id", "key").join(unique.select("key", "rep"), "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     met = unique.select("rep", F.explode("bands").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("one"), F.min_by("rep", F.xxhash64("rep")).alias("two")).where("n > 1").drop("n")
-    in_shared = stored(met.join(shared, "bucket").select("bucket", "rep", "one", "two"))
-    pairs = stored(in_shared.select(F.explode(F.array_distinct(F.array("one", "two"))).alias("l"), "rep").where("l <> rep").select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct())
-    wanted = in_shared.select(F.col("rep").alias("id")).distinct()
+    met = stored(met.join(shared, "bucket").select("bucket", "rep", "one", "two"))
+    wanted = met.select(F.col("rep").alias("id")).distinct()
     texts = stored(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    links = stored(verified(pairs, texts, threshold))
-    roots = components(links)
-    placed = stored(in_shared.select("bucket", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root")))
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    rest = placed.join(open_, "bucket")
-    brief = unique.select("rep", "bytes")
-    across = rest.alias("x").join(rest.alias("y"), F.expr("x.bucket = y.bucket and x.root <> y.root and x.rep < y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    across = across.join(brief.toDF("a", "bytes_a"), "a").join(brief.toDF("b", "bytes_b"), "b")
-    alike = F.expr(f"aggregate(sequence(1, {BANDS * ROWS}), 0, (n, i) -> n + if(substring(bytes_a, i, 1) = substring(bytes_b, i, 1), 1, 0))")
-    across = stored(across.where(alike >= SURELY_LESS * BANDS * ROWS).select("a", "b"))
-    if not across.isEmpty():
-        links = links.unionByName(stored(verified(across, texts, threshold)))
+    pairs = met.select(F.explode(F.array_distinct(F.array("one", "two"))).alias("leader"), "rep").where("leader <> rep").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+    links = stored(verified(alike(pairs, unique), texts, threshold))
+    roots = components(links).withColumnRenamed("id", "rep")
+    placed = stored(met.select("bucket", "rep").join(roots, "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root")))
+    links = links.unionByName(across_classes(placed, unique, texts, threshold))
     whole = components(links.unionByName(copies))
     own = docs.select(F.col(id_col).alias("id"))
     return own.join(whole, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"))
