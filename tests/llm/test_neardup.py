@@ -1,0 +1,122 @@
+import random
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from tests.llm.helpers import clashing, empty, odd_docs, odd_rows, words
+from tidemark.llm import neardup
+from tidemark.llm.graph import components
+from tidemark.llm.neardup import near_duplicates, shingles, signatures, similarity
+from tidemark.llm.words import Words
+
+
+def weights(text):
+    w = words(text)
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+def brute_similarity(x, y):
+    every = x.keys() | y.keys()
+    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in every) for d in x.keys() & y.keys())
+
+
+def brute_classes(rows):
+    """doc_id to the least id of its class."""
+    w = [(r[0], weights(r[1])) for r in rows if r[0] is not None]
+    root = {i: i for i, _ in w}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, x), (j, y) in combinations(w, 2):
+        if x and y and brute_similarity(x, y) >= 0.8:
+            a, b = top(i), top(j)
+            root[max(a, b)] = min(a, b)
+    return {i: top(i) for i, _ in w} | {None: None}
+
+
+def crowd(n, edits, seed=1, first=100):
+    """Copies of one text with some words changed: many pairs just above or below the threshold."""
+    rng = random.Random(seed)
+    base = [f"v{rng.randrange(500)}" for _ in range(110)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(*edits)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((first + i, " ".join(w), "en", "s", 1))
+    return rows
+
+
+def check(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.id: r.class_id for r in near_duplicates(docs).collect()}
+    assert got | {None: None} == brute_classes(rows)
+    return got
+
+
+def test_odd_documents(spark):
+    rows = [r for r in odd_rows() if r[0] != 12] + crowd(12, (0, 3))
+    got = check(spark, rows)
+    assert got[2] == 1 and got[11] == 10 and got[7] == 7 and got[8] == 8
+
+
+def test_crowds_below_the_threshold(spark, monkeypatch):
+    rows = crowd(60, (1, 5)) + crowd(30, (0, 2), 2, 300) + [(500 + i, r[1].replace("v1", "same words here"), "en", "s", 1) for i, r in enumerate(crowd(8, (0, 3), 4))]
+    want = check(spark, rows)
+    monkeypatch.setattr(neardup, "PAIRS_A_ROW", 0)
+    assert check(spark, rows) == want
+
+
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    check(spark, crowd(60, (1, 5)))
+
+
+def test_ids_columns_and_empty_table(spark):
+    docs = odd_docs(spark)
+    assert near_duplicates(clashing(docs)).count() == docs.count()
+    assert near_duplicates(docs).where("id is null and class_id is null").count() == 1
+    assert near_duplicates(empty(docs)).count() == 0
+
+
+def test_similarity_of_weighted_shingles():
+    rng = random.Random(2)
+    for _ in range(40):
+        x, y = (" ".join(rng.choice("abc") for _ in range(rng.randint(5, 40))) for _ in range(2))
+        of, value, times = shingles(Words([x.encode(), y.encode()]))
+        edge = np.searchsorted(of, [0, 1, 2])
+        a, b = ((value[lo:hi], times[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:], strict=True))
+        assert similarity(a, b) == pytest.approx(brute_similarity(weights(x), weights(y)))
+
+
+def test_signatures_estimate_the_similarity():
+    rows = [r[1].encode() for r in crowd(6, (2, 12))] + [b"a b a b a b a b a b a b a b c d e f", b"a b a b a b c d e f c d e g"]
+    sign = signatures(*shingles(Words(rows)), len(rows), registers=4000)
+    for i, j in [(0, 1), (2, 5), (6, 7)]:
+        exact = brute_similarity(weights(rows[i].decode()), weights(rows[j].decode()))
+        assert abs((sign[i] == sign[j]).mean() - exact) < 0.04
+    assert (signatures(*shingles(Words([b"", b"x"])), 2)[0] == 0).all()
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(1, 1), (None, 3)]
+    root = {}
+
+    def top(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        if a is not None:
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: top(i) for a, b in links if a is not None and a != b for i in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

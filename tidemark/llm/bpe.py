@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents
+from tidemark.llm.shared import documents, map_batches
 from tidemark.llm.words import slices
 
 #: Pre-tokens whose ids are remembered from one slice to the next.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _CHARACTERS = [chr(0x100 + b) for b in range(256)]
 _BY_LATIN1 = {b: c for b, c in enumerate(_CHARACTERS)}
 
@@ -145,11 +145,11 @@ def _mapped(docs: DataFrame, source: str, added: T.StructType, work) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, column in work(batch.column(where)):
-                part = batch.slice(row, len(column))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, *added.names])
+            for row, columns in work(batch.column(where)):
+                part = batch.slice(row, len(columns[0]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added.names])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, T.StructType([*fields, *added.fields]))
+    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), run, T.StructType([*fields, *added.fields]))
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -159,19 +159,20 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Each row with ``ids``, array<int>."""
+def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, decode: bool = False) -> DataFrame:
+    """Each row with ``ids``, array<int>, and with ``decode`` also ``decoded``, the bytes that these stand for."""
     usual = default_vocabulary() if path is None or pattern is None else ("", "")
     tokens = tuple(vocabulary(path or usual[0]))
     shipped = docs.sparkSession.sparkContext.broadcast((model_bytes(list(tokens)), tokens, pattern or usual[1]))
 
-    def work(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
         codec = _codec(*shipped.value)
         for row, texts in slices(column):
             ids, ends = codec.encode(texts)
-            yield row, pa.ListArray.from_arrays(_offsets(ends), pa.array(ids, pa.int32()))
+            out = pa.ListArray.from_arrays(_offsets(ends), pa.array(ids, pa.int32()))
+            yield row, [out, _binary(*codec.decode(ids, ends))] if decode else [out]
 
-    return _mapped(docs, text, T.StructType.fromDDL("ids array<int>"), work)
+    return _mapped(docs, text, T.StructType.fromDDL("ids array<int>, decoded binary" if decode else "ids array<int>"), work)
 
 
 def decode_ids(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -179,14 +180,14 @@ def decode_ids(docs: DataFrame, ids: str = "ids", path: str | None = None) -> Da
     tokens = tuple(vocabulary(path or default_vocabulary()[0]))
     shipped = docs.sparkSession.sparkContext.broadcast((model_bytes(list(tokens)), tokens, "."))
 
-    def work(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
         codec = _codec(*shipped.value)
         size = np.asarray(column.value_lengths().fill_null(0), np.int64)
         row = 0
         while row < len(size):
             n = max(1, int(np.searchsorted(np.cumsum(size[row:]), 1 << 20, "right")))
             part = column.slice(row, n)
-            yield row, _binary(*codec.decode(np.asarray(part.flatten(), np.int64), np.cumsum(size[row : row + n])))
+            yield row, [_binary(*codec.decode(np.asarray(part.flatten(), np.int64), np.cumsum(size[row : row + n])))]
             row += n
 
     return _mapped(docs, ids, T.StructType.fromDDL("decoded binary"), work)
@@ -194,7 +195,7 @@ def decode_ids(docs: DataFrame, ids: str = "ids", path: str | None = None) -> Da
 
 def token_digests(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id with the count and digest of its ids and the digest of what they decode to."""
-    coded = decode_ids(encode_texts(docs.select("doc_id", text), text).drop(text))
+    coded = encode_texts(docs.select("doc_id", text), text, decode=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

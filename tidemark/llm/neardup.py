@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.shared import documents, stored
+from tidemark.llm.shared import documents, map_batches, stored
 from tidemark.llm.words import Words, mix, pair_hash, slices, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -131,7 +131,7 @@ def signed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text).mapInArrow(sign, f"id {id_type}, key binary, bands array<long>, bytes binary")
+    return map_batches(docs.where(F.col(id_col).isNotNull()).select(id_col, text), sign, f"id {id_type}, key binary, bands array<long>, bytes binary")
 
 
 def alike(pairs: DataFrame, unique: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def alike(pairs: DataFrame, unique: DataFrame) -> DataFrame:
     id_type = pairs.schema["a"].dataType.simpleString()
     brief = unique.select("rep", "bytes")
     both = pairs.select("a", "b").join(brief.toDF("a", "bytes_a"), "a").join(brief.toDF("b", "bytes_b"), "b")
-    return both.select("a", "b", "bytes_a", "bytes_b").mapInArrow(agree, f"a {id_type}, b {id_type}")
+    return map_batches(both.select("a", "b", "bytes_a", "bytes_b"), agree, f"a {id_type}, b {id_type}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     id_type = pairs.schema["a"].dataType.simpleString()
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {id_type}, b {id_type}")
+    return map_batches(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), compare, f"a {id_type}, b {id_type}")
 
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -197,13 +197,13 @@ def _candidates(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield at, *np.nonzero(np.triu(good, 1))
 
 
-def _sift(id_type: pa.DataType):
+def _sift(id_type: pa.DataType, pairs_a_row: int):
     """Pairs of the buckets that have few; of the others the bucket with a null pair."""
 
     def sift(rows: pa.Table) -> pa.Table:
         rep, bucket, a, b, crowd = rows.column("rep"), rows.column("bucket"), [], [], []
         for at, i, j in _candidates(rows):
-            if len(i) > PAIRS_A_ROW * len(at):
+            if len(i) > pairs_a_row * len(at):
                 crowd.append(bucket[int(at[0])].as_py())
             else:
                 a.append(at[i])
@@ -274,7 +274,7 @@ def across_classes(placed: DataFrame, unique: DataFrame, texts: DataFrame, thres
     shards = max(1, -(-rest.count() // (2 * BLOCK)))
     unit = F.when(F.col("blocks") > 1, F.xxhash64("bucket", "lo", "hi")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(shards)))
     rest = rest.withColumn("unit", unit).join(unique.select("rep", "bytes"), "rep")
-    sifted = stored(rest.groupBy("unit").applyInArrow(_sift(id_type), f"a {name}, b {name}, bucket long"))
+    sifted = stored(rest.groupBy("unit").applyInArrow(_sift(id_type, PAIRS_A_ROW), f"a {name}, b {name}, bucket long"))
     pairs = sifted.where("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(verified(pairs, texts, threshold))
     crowded = sifted.where("bucket is not null").select("bucket").distinct()

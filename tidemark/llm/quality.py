@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents
+from tidemark.llm.shared import documents, map_batches
 from tidemark.llm.words import Words, mix, slices, window_hashes
 
 MIN_WORDS = 50
@@ -150,7 +150,7 @@ def vote_patterns(docs: DataFrame, text: str = "text", rules: dict = RULES) -> d
                 pattern, times = np.unique(found, return_counts=True)
                 yield pa.record_batch({"votes": pa.array(pattern.tolist(), pa.string()), "n": pa.array(times, pa.int64())})
 
-    rows = docs.select(text).mapInArrow(count, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(docs.select(text), count, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     return {r["votes"]: r["n"] for r in rows}
 
 
@@ -176,7 +176,7 @@ def score_quality(docs: DataFrame, text: str = "text", rules: dict = RULES, only
                     names=[*part.schema.names, *added.names],
                 )
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(score, T.StructType([*fields, *added.fields]))
+    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), score, T.StructType([*fields, *added.fields]))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

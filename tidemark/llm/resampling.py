@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents, stored
+from tidemark.llm.shared import documents, map_batches, stored
 from tidemark.llm.words import Words, slices, window_hashes
 
 BUCKETS = 1 << 14
@@ -57,7 +57,7 @@ def bucket_counts(docs: DataFrame, good: DataFrame, id_col: str, text: str) -> n
         yield pa.record_batch({"bucket": pa.array(used), "n": pa.array(total[0][used]), "target": pa.array(total[1][used])})
 
     marked = docs.select(id_col, text).join(F.broadcast(good.withColumn("_td_good", F.lit(True))), id_col, "left").select(text, F.coalesce("_td_good", F.lit(False)).alias("good"))
-    rows = marked.mapInArrow(count, "bucket long, n long, target long").groupBy("bucket").agg(F.sum("n"), F.sum("target")).collect()
+    rows = map_batches(marked, count, "bucket long, n long, target long").groupBy("bucket").agg(F.sum("n"), F.sum("target")).collect()
     out = np.zeros((2, BUCKETS))
     for bucket, n, target in rows:
         out[:, bucket] = n, target
@@ -108,7 +108,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, samp
                 yield pa.RecordBatch.from_arrays([*batch.slice(row, len(texts)).columns, pa.array(weight)], names=[*batch.schema.names, "log_importance"])
 
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text), 11) + 0.5) * 2.0**-53
-    weighed = docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(weigh, T.StructType([*fields, added.fields[0]])).withColumn("score", F.col("log_importance") - F.log(-F.log(draw)))
+    weighed = map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), weigh, T.StructType([*fields, added.fields[0]])).withColumn("score", F.col("log_importance") - F.log(-F.log(draw)))
     scores = stored(weighed.select("score"))
     k = round(keep * scores.count())
     least = kth_largest(scores, "score", k) if k else float("inf")

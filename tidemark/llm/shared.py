@@ -41,6 +41,17 @@ def stored_by(df: DataFrame, key: str, parts: int) -> DataFrame:
     return spark.table(name)
 
 
+#: Bytes of an Arrow batch that a Python task gets at once.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_BYTES, which it sets for the session, so that tasks hold a few MB."""
+    df.sparkSession.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

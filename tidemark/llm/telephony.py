@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents
+from tidemark.llm.shared import documents, map_batches
 from tidemark.llm.words import slices
 
 RATE, STORED_RATE = 8_000, 16_000
@@ -184,7 +184,7 @@ def _mapped(df: DataFrame, source: str, added: T.StructType, work) -> DataFrame:
                 part = batch.slice(row, len(values))
                 yield pa.RecordBatch.from_arrays([*part.columns, *work(values)], names=[*part.schema.names, *added.names])
 
-    return df.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, T.StructType([*fields, *added.fields]))
+    return map_batches(df.select(*[F.col(f"`{f.name}`") for f in fields]), run, T.StructType([*fields, *added.fields]))
 
 
 def store_media(docs: DataFrame, text: str = "text") -> DataFrame:

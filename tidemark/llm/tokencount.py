@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents
+from tidemark.llm.shared import documents, map_batches
 from tidemark.llm.words import Words, mix, slices
 
 MARK = "▁"
@@ -140,7 +140,7 @@ def count_tokens(docs: DataFrame, text: str = "text", pieces: dict[str, float] |
                     names=[*batch.schema.names, *added.names],
                 )
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, T.StructType([*fields, *added.fields]))
+    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), run, T.StructType([*fields, *added.fields]))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

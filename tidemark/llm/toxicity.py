@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents
+from tidemark.llm.shared import documents, map_batches
 from tidemark.llm.words import mix, slices
 
 ORDERS = (3, 4, 5, 6)
@@ -164,7 +164,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
                     names=[*batch.schema.names, *added.names],
                 )
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(score, T.StructType([*fields, *added.fields]))
+    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), score, T.StructType([*fields, *added.fields]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

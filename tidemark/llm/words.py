@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are laid out at once; a longer single text is laid out alone.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -94,13 +95,11 @@ class Words:
 
 
 def slices(texts: pa.ChunkedArray | pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes | None]]]:
-    """(first row, texts as UTF-8) of runs of about ``most`` bytes."""
-    row, held, size = 0, [], 0
-    for i, value in enumerate(texts.cast(pa.large_binary()).to_pylist()):
-        if held and size + len(value or b"") > most:
-            yield row, held
-            row, held, size = i, [], 0
-        held.append(value)
-        size += len(value or b"")
-    if held:
-        yield row, held
+    """(first row, texts as UTF-8) of runs of about ``most`` bytes; only a run at a time becomes Python objects."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    end, row = np.cumsum(size), 0
+    while row < len(size):
+        held = end[row] - size[row]
+        to = max(row + 1, int(np.searchsorted(end, held + most, "right")))
+        yield row, texts.slice(row, to - row).cast(pa.large_binary()).to_pylist()
+        row = to
