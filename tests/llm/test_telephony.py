@@ -1,0 +1,110 @@
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+
+from tests.llm.helpers import clashing, empty, odd_docs, odd_rows
+from tidemark.llm import telephony as t
+
+
+def test_mulaw_table():
+    """Expansion by the rule: sign, three bits of exponent, four of mantissa, all inverted."""
+    for code in range(256):
+        bits = code ^ 0xFF
+        size = (((bits & 15) * 2 + 33) << ((bits >> 4) & 7)) - 33
+        assert t.TABLES[t.MULAW][code] == (-1 if bits & 0x80 else 1) * size * 4
+
+
+def test_alaw_table():
+    for code in range(256):
+        bits = code ^ 0x55
+        exponent, mantissa = (bits >> 4) & 7, bits & 15
+        size = mantissa * 2 + 1 if exponent == 0 else (mantissa * 2 + 33) << (exponent - 1)
+        assert t.TABLES[t.ALAW][code] == (1 if bits & 0x80 else -1) * size * 8
+
+
+def brute_adpcm(block):
+    value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [value]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = int(t.STEPS[index])
+            change = step >> 3
+            for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
+                change += part if code & bit else 0
+            value = max(-32768, min(32767, value - change if code & 8 else value + change))
+            index = max(0, min(88, index + int(t.INDEX_STEP[code])))
+            out.append(value)
+    return out
+
+
+def test_adpcm_blocks():
+    blocks = np.random.default_rng(4).integers(0, 256, (20, 36), np.uint8)
+    blocks[:, 2] = np.arange(20) * 5
+    assert t.decode_adpcm(blocks).tolist() == [brute_adpcm(b.tobytes()) for b in blocks]
+
+
+def test_step_table_follows_its_rule():
+    """Each step is about 1.1 times the one before."""
+    assert len(t.STEPS) == 89 and all(1.05 < b / a < 1.16 for a, b in zip(t.STEPS, t.STEPS[1:], strict=False))
+
+
+@pytest.mark.parametrize("tag", [t.PCM, t.ALAW, t.MULAW, t.ADPCM])
+def test_wav_round_trip(tag):
+    data = bytes(range(196)) * 2
+    wav = t.Wav(tag, 8000, data, {t.PCM: 2, t.ADPCM: 196}.get(tag, 1))
+    assert t.read_wav(t.write_wav(wav)) == wav
+    assert t.read_wav(t.write_wav(t.Wav(tag, 8000, b"", wav.block))).data == b""
+
+
+def test_wav_files_of_others_and_damage():
+    odd = t.write_wav(t.Wav(t.MULAW, 8000, b"abc"))
+    listed = odd[:12] + b"LIST\x03\x00\x00\x00abc\x00" + odd[12:]
+    assert t.read_wav(listed).data == b"abc"
+    for bad in (b"", b"RIFF0000WAVE", b"x" * 60, odd[:20] + b"\x03\x00" + odd[22:]):
+        with pytest.raises(ValueError):
+            t.read_wav(bad)
+
+
+def test_pack_is_lossless_in_each_format():
+    tags = set()
+    for n in range(40):
+        payload = t.pad(bytes([n]) * (n * 13))
+        wav = t.read_wav(t.write_wav(t.pack(payload)))
+        tags.add(wav.tag)
+        assert t.unpack(wav) == payload and len(payload) % 192 == 0 and payload
+    assert tags == {t.MULAW, t.ALAW, t.ADPCM}
+
+
+def test_resampling():
+    x = np.array([0, 100, -100, 7], np.int16)
+    assert t.resample(x, 8000, 16000).tolist() == [0, 50, 100, 0, -100, -47, 7, 7]
+    assert t.resample(x, 8000, 8000).tolist() == x.tolist()
+    assert len(t.resample(np.zeros(80, np.int16), 8000, 11025)) == 110
+    assert t.resample(x[:0], 8000, 16000).tolist() == []
+
+
+def test_query_on_odd_documents(spark, tmp_path):
+    odd_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for r in odd_rows():
+        text = (r[1] or "").encode()
+        payload = text + b" " * (-len(text) % 192 or (0 if text else 192))
+        media = t.write_wav(t.pack(payload))
+        want.append((r[0], len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()))
+    out = t.op2_telephony(spark, str(tmp_path))
+    got = [tuple(r)[:7] for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert out.where("feature is null").count() == 0
+
+
+def test_media_columns(spark):
+    docs = clashing(odd_docs(spark))
+    out = t.decode_media(t.store_media(docs))
+    row = out.where("doc_id = 9").first()
+    assert out.columns[-3:] == ["payload", "pcm", "feature"] and row.extra == [1]
+    pcm = t.read_wav(row.pcm)
+    assert (pcm.tag, pcm.rate) == (t.PCM, 16000) and row.feature == t.features(np.frombuffer(pcm.data, "<i2"))
+    assert t.decode_media(spark.createDataFrame([(None,)], "media binary")).first().pcm is None
+    assert t.decode_media(t.store_media(empty(docs))).count() == 0

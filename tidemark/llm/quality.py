@@ -36,7 +36,7 @@ RULES = {
     "symbols_a_character": ("symbol_share", None, 0.03),
     "exclamations_a_word": ("shouts", None, 0.5),
     "upper_share": ("upper", None, 0.5),
-    "repeated_words": ("repeats", None, 0.45),
+    "repeated_words": ("repeats", None, 0.48),
     "duplicate_lines": ("dup_lines", None, 0.6),
     "word_length": ("length_off", None, 12.0),
     "plain_prose": ("worst", 1.0, None),
@@ -44,6 +44,9 @@ RULES = {
 #: What plain prose may have of each statistic.
 PLAIN = {"symbols": 0.05, "shouts": 0.2, "upper": 0.2, "repeats": 0.3, "dup_lines": 0.3}
 USUAL_WORD_LENGTH = 6.0
+BELIEF = 4.0
+#: Bounds of the estimated share of good texts, so that no mixture of texts outweighs what the rules say of one.
+SHARE = (0.6, 0.9)
 ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes string, p_good double, kept boolean"
 
 _SYMBOL = np.zeros(256, bool)
@@ -118,7 +121,8 @@ def fit(patterns: dict[str, int], rounds: int = 500, prior: float = 0.8, accurac
     """Posterior probability of a good text for each vote pattern, by expectation-maximisation from the counts.
 
     A rule's accuracy is how often its vote, when it casts one, is the text's class. ``prior`` and ``accuracy`` are beliefs
-    that weigh as much as the votes cast (a tenth of the texts for ``prior``), so that classes keep their meaning.
+    that weigh as BELIEF times the votes cast, and as a tenth of the texts. Rules that vote one way only can't be told
+    from rules that are always wrong by their votes alone; the beliefs keep the classes to their meaning.
     """
     if not patterns:
         return {}
@@ -127,7 +131,7 @@ def fit(patterns: dict[str, int], rounds: int = 500, prior: float = 0.8, accurac
     plus = np.array([[c == "+" for c in k] for k in keys], float)
     minus = np.array([[c == "-" for c in k] for k in keys], float)
     cast = count @ (plus + minus)
-    weight, share, rate = np.maximum(cast, 10.0), prior, np.full(plus.shape[1], accuracy)
+    weight, share, rate = BELIEF * np.maximum(cast, 10.0), prior, np.full(plus.shape[1], accuracy)
     p = np.zeros(len(keys))
     for _ in range(rounds):
         odds = np.log(share / (1 - share)) + (plus - minus) @ np.log(rate / (1 - rate))
@@ -135,7 +139,7 @@ def fit(patterns: dict[str, int], rounds: int = 500, prior: float = 0.8, accurac
         if np.abs(p - before).max() < 1e-12:
             break
         rate = np.clip((count * p @ plus + count * (1 - p) @ minus + weight * accuracy) / (cast + weight), 0.5, 0.999)
-        share = float(np.clip((count @ p + 0.1 * count.sum() * prior) / (1.1 * count.sum()), 0.01, 0.99))
+        share = float(np.clip((count @ p + 0.1 * count.sum() * prior) / (1.1 * count.sum()), *SHARE))
     return dict(zip(keys, p.tolist(), strict=True))
 
 
