@@ -1,0 +1,133 @@
+import base64
+import io
+import json
+import re
+import urllib.error
+import urllib.request
+
+import pytest
+
+from tidemark import cli, serve
+from tidemark.functions.codec import quoted
+from tidemark.metrics import Counter, Gauge, GaugeVec, Histogram, Registry, number
+from tidemark.plans.store import Store
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    with Store(spark, f"{tmp_path}/store") as s:
+        yield s
+
+
+def call(server, method, path, body=None):
+    host, port = server.server_address[:2]
+    request = urllib.request.Request(f"http://127.0.0.1:{port}{path}", body, method=method)
+    try:
+        with urllib.request.urlopen(request) as answer:
+            return answer.status, answer.read(), answer.headers.get("Content-Type")
+    except urllib.error.HTTPError as error:
+        return error.code, error.read(), error.headers.get("Content-Type")
+
+
+def test_http(store):
+    server = serve.start(store, "127.0.0.1:0")
+    try:
+        assert call(server, "PUT", "/kv/a", b"1")[0] == 204
+        assert call(server, "PUT", "/kv/b%2Fc", b"\x00\xff")[0] == 204
+        assert call(server, "GET", "/kv/b%2Fc") == (200, b"\x00\xff", "application/octet-stream")
+        assert call(server, "GET", "/kv/none")[0] == 404 and call(server, "GET", "/kv/")[0] == 400
+        assert call(server, "GET", "/kv/x/y")[0] == 404 and call(server, "GET", "/other")[0] == 404
+        status, body, kind = call(server, "GET", "/scan?limit=1")
+        assert (status, json.loads(body), kind) == (200, [{"key": base64.b64encode(b"a").decode(), "value": "MQ=="}], "application/json")
+        assert len(json.loads(call(server, "GET", "/scan?start=&end=")[1])) == 2
+        assert [base64.b64decode(r["key"]) for r in json.loads(call(server, "GET", "/scan?start=b&end=c")[1])] == [b"b/c"]
+        assert json.loads(call(server, "GET", "/scan?start=x")[1]) == []
+        for bad in ("-1", "x", "1.5"):
+            assert call(server, "GET", f"/scan?limit={bad}")[0] == 400
+        assert call(server, "DELETE", "/kv/a")[0] == 204 and call(server, "GET", "/kv/a")[0] == 404
+        assert json.loads(call(server, "GET", "/stats")[1])["memtable_entries"] == 2
+        assert call(server, "GET", "/healthz")[:2] == (200, b"ok")
+        store.close()
+        assert call(server, "GET", "/kv/a")[0] == 503
+    finally:
+        server.shutdown()
+
+
+def test_body_limit(store, monkeypatch):
+    monkeypatch.setattr(serve, "LARGEST_BODY", 3)
+    server = serve.start(store, "127.0.0.1:0")
+    try:
+        assert call(server, "PUT", "/kv/a", b"1234")[0] == 413 and call(server, "PUT", "/kv/a", b"123")[0] == 204
+    finally:
+        server.shutdown()
+
+
+def test_metrics_follow_operations(store):
+    for i in range(20):
+        store.put(f"k{i}".encode(), b"v")
+    store.get(b"k1")
+    with pytest.raises(Exception, match="not found"):
+        store.get(b"x")
+    store.delete(b"k2")
+    store.scan()
+    snap = store.snapshot()
+    server = serve.start(store, "127.0.0.1:0", metrics=True)
+    try:
+        status, body, kind = call(server, "GET", "/metrics")
+        assert call(server, "GET", "/x")[0] == 404
+    finally:
+        server.shutdown()
+    assert status == 200 and kind.startswith("text/plain; version=0.0.4")
+    lines = body.decode().split("\n")
+    for line in ("puts_total 20", "deletes_total 1", "gets_total 2", "get_hits_total 1", "get_misses_total 1", "scans_total 1", "active_snapshots 1", "write_duration_seconds_count 21", "get_duration_seconds_count 2", "memtable_entries 20", 'runs_per_level{level="0"} 0'):
+        assert f"tidemark_{line}" in lines
+    snap.close()
+    assert "tidemark_active_snapshots 0" in store.render_metrics()
+
+
+def test_rendering():
+    r = Registry()
+    c, g, v, h = r.add(Counter("c", "A counter.")), r.add(Gauge("g", "A gauge.")), r.add(GaugeVec("v", "By level.", "level")), r.add(Histogram("h", "Seconds."))
+    c.inc()
+    c.inc(4)
+    g.set(-2)
+    v.set("1", 7)
+    v.set("0", 3)
+    for s in (0.00005, 0.00005, 0.002, 10, -1):
+        h.observe(s)
+    text = r.render()
+    assert text.startswith("# HELP c A counter.\n# TYPE c counter\nc 5\n# HELP g A gauge.\n# TYPE g gauge\ng -2\n")
+    assert 'v{level="0"} 3\nv{level="1"} 7\n' in text
+    assert 'h_bucket{le="0.0001"} 3\n' in text and 'h_bucket{le="0.005"} 4\n' in text and 'h_bucket{le="5"} 4\nh_bucket{le="+Inf"} 5\nh_sum 10.0021\nh_count 5\n' in text
+    assert [number(x) for x in (0.0001, 1.0, 0.00005, 2.5, 0.0)] == ["0.0001", "1", "5e-05", "2.5", "0"]
+
+
+def test_quoted():
+    assert quoted(b'a"\\\n\x00\xff\xc3\xa9\x7f') == '"a\\"\\\\\\n\\x00\\xffé\\x7f"'
+
+
+def test_prompt(store):
+    lines = "\nput a 1\nPUT b two words\nget a\nGET\nput x\nget none\nsnapshot\nput a 9\nget a\nSNAPSHOT\nscan \"\" \"\"\nsnapshot-end\nsnapshot-end\nget a\nscan a b\nscan \"\" \"\" 1\nscan a z q\nscan a z -1\ndel a\ndelete\nstats\nwhat\nEXIT\nput never 1\n"
+    out = io.StringIO()
+    cli.Prompt(store, out).run(io.StringIO(lines), "here")
+    said = [re.sub(r"^((\(snapshot\))?> )+", "", line) for line in out.getvalue().split("\n")[3:]]
+    assert said == [
+        "OK", "OK", '"1"', "usage: GET <key>", "usage: PUT <key> <value>", "error: key not found",
+        "snapshot open: GET and SCAN read as of this point in time", "OK", '"1"', "already inside a snapshot; use SNAPSHOT-END first",
+        'a = "1"', 'b = "two words"', "(2 entries)", "snapshot closed", "no snapshot is open", '"9"', 'a = "9"', "(1 entries)", 'a = "9"', "(1 entries)",
+        "error: invalid limit: q", "(0 entries)", "OK", "usage: DELETE <key>",
+        "memtable entries: 2 | immutable memtables: 0 | runs: 0 | per level: [0, 0, 0, 0, 0, 0, 0]", 'unknown command "what"', "",
+    ]
+    assert store.metrics.active_snapshots.value == 0
+
+
+def test_load_test(store):
+    out = io.StringIO()
+    cli.load_test(store, 2, 20, out)
+    assert "2 workers x 20 ops = 40 total ops" in out.getvalue() and "errors: 0" in out.getvalue()
+
+
+def test_arguments():
+    a = cli.parser().parse_args(["--serve", "--l0-compaction-trigger", "2"])
+    assert a.serve and a.l0_compaction_trigger == 2 and a.flush_threshold == 4 << 20 and a.bench_ops == 50_000
+    assert serve.address(":8080") == ("", 8080)

@@ -67,7 +67,7 @@ def tables_per_level(layout: DataFrame) -> DataFrame:
 
 def histogram(values: DataFrame, column: str, bounds: tuple[float, ...] = LATENCY_BOUNDS) -> DataFrame:
     """``le, n``: cumulative counts up to each bound and to +Inf, negatives as 0, from one pass; nulls don't count."""
-    value = F.greatest(F.col(column), F.lit(0).cast(values.schema[column].dataType))
+    value = F.when(F.col(column) < 0, 0).otherwise(F.col(column))
     counts = values.agg(*[F.count(F.when(value <= b, 1)).alias(f"c{i}") for i, b in enumerate(bounds)], F.count(column).alias("all"))
     rows = [F.struct(F.lit(repr(b)).alias("le"), F.col(f"c{i}").alias("n")) for i, b in enumerate(bounds)]
     return counts.select(F.inline(F.array(*rows, F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n")))))

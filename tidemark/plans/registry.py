@@ -261,7 +261,7 @@ _QUERIES = {
     distinct_keys: f"with {EVENTS} select count(distinct key) as num_keys from log",
     level_layout: f"{_LAYOUT} select * from layout",
     tables_per_level: f"{_LAYOUT} select sum(num_runs)::bigint as num_runs, list(num_runs order by level) as per_level from layout",
-    latency_histogram: f"""select le, count(*) filter (greatest(e.value / 100, 0) <= bound) as n from events e, (values {_BOUNDS}) b(le, bound) group by le
+    latency_histogram: f"""select le, count(*) filter (e.value / 100 <= bound) as n from events e, (values {_BOUNDS}) b(le, bound) group by le
       union all select '+Inf', count(value) from events""",
     snapshot_diff: f"""with {EVENTS}, {_latest('old', 'seq <= 5000')}, {_latest('new')},
       a as (select key, value from old where op = 1), b as (select key, value from new where op = 1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import replace
 from functools import wraps
@@ -31,6 +32,11 @@ from tidemark.sources.wal import Record, Wal, parse
 KEPT_VERSIONS = 20
 
 
+def run_name(level: int, gen: int) -> str:
+    """A new name each time, so that what a crash or another writer left isn't in the way."""
+    return f"runs/L{level:02d}-{gen:020d}-{uuid.uuid4().hex[:12]}"
+
+
 def _open_only(method):
     @wraps(method)
     def checked(self, *args, **options):
@@ -178,7 +184,7 @@ class Store:
 
     def _add_run(self, log: DataFrame, size: int, max_seq: int | None, level: int = 0, batch: tuple[str, int] | None = None) -> None:
         gen = self._manifest.next_gen
-        run = write_run(log, self._files, f"runs/L{level:02d}-{gen:020d}-{self._manifest.version}", level, gen, self.options, size)
+        run = write_run(log, self._files, run_name(level, gen), level, gen, self.options, size)
         batches = self._manifest.batches | ({batch[0]: batch[1]} if batch else {})
         top = max(self._manifest.max_seq, max_seq or 0, run.max_seq if run else 0)
         self._commit(replace(self._manifest, max_seq=top, next_gen=gen + 1, runs=(*self._manifest.runs, *([run] if run else [])), batches=batches))
@@ -206,8 +212,7 @@ class Store:
         value = F.when(F.col("op") == VALUE, F.coalesce("value", F.lit(b"")))
         gen = self._manifest.next_gen
         # the numbering is fixed by writing it once; sorting by key is a second step on what was written
-        draft = f"runs/.draft-{gen:020d}"
-        self._files.delete(draft)
+        draft = f"runs/.draft-{gen:020d}-{uuid.uuid4().hex[:12]}"
         try:
             numbered.select("key", "seq", "op", value.alias("value")).write.parquet(self._files.full(draft))
         except Exception as error:
@@ -354,7 +359,7 @@ class Store:
             log = read_runs(self.spark, [self._files.full(r.path) for r in plan.inputs])
             kept = compact.retain(log, self.keep_seq(), compact.is_bottommost(rest, plan.target))
             gen = self._manifest.next_gen
-            run = write_run(kept, self._files, f"runs/L{plan.target:02d}-{gen:020d}-{self._manifest.version}", plan.target, gen, self.options, sum(r.size_bytes for r in plan.inputs))
+            run = write_run(kept, self._files, run_name(plan.target, gen), plan.target, gen, self.options, sum(r.size_bytes for r in plan.inputs))
             self._commit(replace(self._manifest, next_gen=gen + 1, runs=(*rest, *([run] if run else []))))
         except Exception:
             self.metrics.compaction_failures.inc()
