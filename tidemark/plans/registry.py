@@ -71,7 +71,7 @@ def point_get_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "customer").where("c_custkey < 300").select(F.format_string("u%08d", "c_custkey").alias("key"))
+    keys = table(spark, sf_dir, "customer").select(F.format_string("u%08d", "c_custkey").alias("key"))
     return resolve.multi_get(events_log(spark, sf_dir), keys)
 
 
@@ -107,7 +107,7 @@ def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = events_log(spark, sf_dir)
-    return resolve.scan(resolve.merge_sources(log.where("seq % 3 = 0"), log.where("seq % 3 = 1"), log.where("seq % 3 = 2")))
+    return resolve.scan(resolve.merge_sources(log.where("seq > 7000"), log.where("seq <= 3000"), log.where("seq > 3000 and seq <= 7000")))
 
 
 def compact_retain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +233,7 @@ def _retain(seq: int, bottommost: bool) -> str:
 _QUERIES = {
     point_get: f"with {EVENTS}, {_latest('newest')} select key, value from newest where op = 1 and key = 'u00000007'",
     point_get_as_of: f"with {EVENTS}, {_latest('newest', 'seq <= 5000')} select key, value from newest where op = 1 and key = 'u00000012'",
-    multi_get: f"""with {EVENTS}, {_latest('newest')}, asked as (select printf('u%08d', c_custkey) as key from customer where c_custkey < 300)
+    multi_get: f"""with {EVENTS}, {_latest('newest')}, asked as (select printf('u%08d', c_custkey) as key from customer)
       select a.key, n.value, n.key is not null as found from asked a left join (select * from newest where op = 1) n on a.key = n.key""",
     full_scan: _SCAN,
     range_scan: f"{_SCAN} and key >= 'u00000010' and key < 'u00000060'",
