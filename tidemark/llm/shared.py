@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_NAME = "tidemark_"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one is set only where the session names none (tests)."""
@@ -23,10 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; results made before can't be read any more."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith(_NAME):
+            spark.sql(f"drop table if exists {table.name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -35,8 +50,8 @@ def stored(df: DataFrame) -> DataFrame:
 def stored_by(df: DataFrame, key: str, parts: int) -> DataFrame:
     """As stored(), clustered into ``parts`` buckets of ``key``: later grouping or joining by key doesn't shuffle it."""
     spark = df.sparkSession
-    name = f"tidemark_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/tidemark/{name}"
+    name = f"{_NAME}{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}"
     df.repartition(parts, key).write.option("path", path).option("compression", "zstd").bucketBy(parts, key).saveAsTable(name)
     return spark.table(name)
 
