@@ -17,18 +17,17 @@ def retain(log: DataFrame, keep_seq: int | None, bottommost: bool) -> DataFrame:
     """Versions that a read at ``keep_seq`` or later can see; None: only reads of the newest.
 
     Of each key all versions above keep_seq stay and the newest one up to it; at the bottommost level a key whose newest
-    version is a tombstone up to keep_seq goes altogether.
+    version is a tombstone up to keep_seq goes altogether. Only versions up to keep_seq are ranked, with the rank limit
+    before the shuffle, so a key with very many versions doesn't meet in one task; newer ones are passed through.
     """
     if keep_seq is None:
         newest = latest(log)
         return newest.where(F.col("op") != TOMBSTONE) if bottommost else newest
-    of_key = Window.partitionBy("key")
-    old = F.col("seq") <= keep_seq
-    rows = log.withColumn("_seen", F.max(F.when(old, F.col("seq"))).over(of_key)).withColumn("_newest", F.max("seq").over(of_key))
-    keep = ~old | (F.col("seq") == F.col("_seen"))
+    recent, seen = log.where(F.col("seq") > keep_seq), latest(log, keep_seq)
     if bottommost:
-        keep &= ~((F.col("op") == TOMBSTONE) & old & (F.col("seq") == F.col("_newest")))
-    return rows.where(keep).drop("_seen", "_newest")
+        written = recent.select("key").distinct().withColumn("_written", F.lit(True))
+        seen = seen.join(written, "key", "left").where((F.col("op") != TOMBSTONE) | F.col("_written")).select(*log.columns)
+    return recent.unionByName(seen)
 
 
 def collapse(log: DataFrame, generation: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.metrics import Registry, StoreMetrics
 from tidemark.model import LOG_COLUMNS, LOG_SCHEMA, TOMBSTONE, VALUE, ClosedError, ConflictError, EmptyKeyError, NotFoundError, StoreError, StoreOptions, check_key
 from tidemark.operators import compact, resolve
-from tidemark.operators.stats import ENTRY_OVERHEAD
+from tidemark.operators.stats import ENTRY_OVERHEAD, entry_size
 from tidemark.plans import manifest as manifests
 from tidemark.plans.manifest import Manifest
 from tidemark.sources.files import Files
@@ -242,12 +242,12 @@ class Store:
     def load_log(self, log: DataFrame) -> None:
         """Add a log that has its own seqs, all above those in the store."""
         self.flush()
-        low, high = log.agg(F.min("seq"), F.max("seq")).first()
+        low, high, size = log.agg(F.min("seq"), F.max("seq"), F.sum(entry_size())).first()
         if low is None:
             return
         if low <= self._seq:
             raise StoreError(f"seqs must be above {self._seq}")
-        self._add_run(log.select(*LOG_COLUMNS), 0, high)
+        self._add_run(log.select(*LOG_COLUMNS), size, high)
         self.maintain()
 
     # reads
