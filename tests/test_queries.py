@@ -49,6 +49,7 @@ def test_without_the_training_data_operators(tmp_path):
     root = Path(entry.__file__).parent
     shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "tidemark" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave
     code = "import __spark_entry__ as e; q = e.queries(); assert 'full_scan' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
