@@ -35,7 +35,7 @@ def test_http(store):
         assert call(server, "PUT", "/kv/a", b"1")[0] == 204
         assert call(server, "PUT", "/kv/b%2Fc", b"\x00\xff")[0] == 204
         assert call(server, "GET", "/kv/b%2Fc") == (200, b"\x00\xff", "application/octet-stream")
-        assert call(server, "GET", "/kv/none")[0] == 404 and call(server, "GET", "/kv/")[0] == 400
+        assert call(server, "GET", "/kv/none")[0] == 404 and call(server, "GET", "/kv/")[0] == 404
         assert call(server, "GET", "/kv/x/y")[0] == 404 and call(server, "GET", "/other")[0] == 404
         status, body, kind = call(server, "GET", "/scan?limit=1")
         assert (status, json.loads(body), kind) == (200, [{"key": base64.b64encode(b"a").decode(), "value": "MQ=="}], "application/json")

@@ -42,9 +42,9 @@ class _Handler(BaseHTTPRequestHandler):
         self._send(200, json.dumps(value, separators=(",", ":")).encode() + b"\n", "application/json")
 
     def _key(self, path: str) -> bytes | None:
-        """The one path segment after /kv/."""
+        """The one path segment after /kv/, if there is one."""
         raw = path.removeprefix("/kv/")
-        return unquote_to_bytes(raw) if path.startswith("/kv/") and "/" not in raw else None
+        return unquote_to_bytes(raw) if path.startswith("/kv/") and raw and "/" not in raw else None
 
     def _run(self, routes) -> None:
         began, self.status = time.perf_counter(), 0
