@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.logs import log, rows
+from tidemark.functions.codec import typed
 from tidemark.model import ClosedError, CorruptLogError, EmptyKeyError, NotFoundError, OrderError, StoreError, StoreOptions
 from tidemark.operators.compact import Run, is_bottommost, level_target, pick
 from tidemark.plans.manifest import load
@@ -184,6 +185,18 @@ def test_batches_reject_empty_keys_and_unknown_ops(spark, store):
     assert scanned(store) == []
 
 
+def test_views_and_typed_values(spark, store):
+    store.put(b"a", b'{"n": 1}')
+    with store.snapshot() as snap:
+        store.put(b"a", b'{"n": 2}')
+        store.put(b"b", b"not json")
+        store.view("now_rows")
+        store.view("then_rows", snap)
+        got = spark.sql("select decode(n.key, 'UTF-8') as k, octet_length(t.value) as old from now_rows n left join then_rows t on n.key = t.key")
+        assert sorted(map(tuple, got.collect())) == [("a", 8), ("b", None)]
+        assert sorted(rows(typed(store.scan(), "n int"))) == [(b"a", 2), (b"b", None)]
+
+
 def test_load_log(spark, store):
     store.load_log(log(spark, [("a", 5, "x"), ("a", 9, None), ("b", 7, "y")]))
     assert scanned(store) == [("b", "y")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ESCAPES = {"\a": "\\a", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\v": "\\v", "\\": "\\\\", '"': '\\"'}
@@ -39,3 +39,8 @@ def text_key(column: str | Column) -> Column:
 def int_key(column: str | Column, prefix: str, width: int) -> Column:
     """A non-negative number as a key that sorts like the number."""
     return F.encode(F.format_string(f"{prefix}%0{width}d", column), "UTF-8")
+
+
+def typed(rows: DataFrame, schema: str) -> DataFrame:
+    """``key, value`` rows with JSON values as the columns of a schema; a value that doesn't parse gives nulls."""
+    return rows.withColumn("_v", F.from_json(F.decode("value", "UTF-8"), schema)).select("key", "_v.*")

@@ -308,6 +308,13 @@ class Store:
         self.metrics.scans.inc()
         return resolve.scan(self._log(self._manifest.runs, self._memory, start, end, None), start, end, None, limit)
 
+    def view(self, name: str, snapshot: Snapshot | None = None) -> DataFrame:
+        """Register the live keys and values, of now or of a snapshot, as a temporary view for SQL."""
+        log, seq = (snapshot.log(), snapshot.seq) if snapshot else (self.log(), None)
+        live = resolve.visible(resolve.latest(log, seq)).select("key", "value")
+        live.createOrReplaceTempView(name)
+        return live
+
     def rows(self, start: bytes | None = None, end: bytes | None = None, limit: int = 0) -> Iterator[tuple[bytes, bytes]]:
         """The same, a partition at a time to the driver."""
         return ((bytes(r["key"]), bytes(r["value"])) for r in self.scan(start, end, limit).toLocalIterator())
