@@ -124,7 +124,8 @@ def test_prompt(store):
 def test_load_test(store):
     out = io.StringIO()
     cli.load_test(store, 2, 20, out)
-    assert "2 workers x 20 ops = 40 total ops" in out.getvalue() and "errors: 0" in out.getvalue()
+    said = out.getvalue()
+    assert said.startswith("load test: 2 workers, 20 operations each\n") and ", 0 errors in " in said and "runs: 0" in said
 
 
 def test_arguments():

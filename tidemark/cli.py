@@ -141,7 +141,7 @@ def load_test(store: Store, workers: int, ops: int, out: TextIO) -> None:
             with lock:
                 counts[kind] += 1
 
-    print(f"running benchmark: {workers} workers x {ops} ops = {workers * ops} total ops", file=out)
+    print(f"load test: {workers} workers, {ops} operations each", file=out)
     began = time.perf_counter()
     threads = [threading.Thread(target=work, args=(i,)) for i in range(workers)]
     for t in threads:
@@ -149,10 +149,7 @@ def load_test(store: Store, workers: int, ops: int, out: TextIO) -> None:
     for t in threads:
         t.join()
     took = time.perf_counter() - began
-    print(f"\ndone in {took:.3f}s", file=out)
-    for kind, n in counts.items():
-        print(f"  {kind}: {n}", file=out)
-    print(f"  throughput: {(counts['puts'] + counts['gets']) / took:.0f} ops/sec\n  final state: {stats_line(store)}", file=out)
+    print(", ".join(f"{n} {kind}" for kind, n in counts.items()) + f" in {took:.3f} s: {(counts['puts'] + counts['gets']) / took:.0f} a second\n{stats_line(store)}", file=out)
 
 
 class _JsonLog(logging.Formatter):
