@@ -21,10 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents, map_batches
-from tidemark.llm.words import slices
+from tidemark.llm.shared import add_columns, documents
 
 #: Pre-tokens whose ids are remembered from one slice to the next.
 REMEMBERED = 100_000
@@ -139,19 +137,6 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, _offsets(ends).buffers()[1], pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _mapped(docs: DataFrame, source: str, added: T.StructType, work) -> DataFrame:
-    fields = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in added.fields}]
-    where = [f.name for f in fields].index(source)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, columns in work(batch.column(where)):
-                part = batch.slice(row, len(columns[0]))
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added.names])
-
-    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), run, T.StructType([*fields, *added.fields]))
-
-
 def default_vocabulary() -> tuple[str, str]:
     """(path, pattern) of the public vocabulary."""
     import public_tokenizers
@@ -165,14 +150,23 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, p
     tokens = tuple(vocabulary(path or usual[0]))
     shipped = docs.sparkSession.sparkContext.broadcast((model_bytes(list(tokens)), tokens, pattern or usual[1]))
 
-    def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+    def work(texts: list[bytes | None]) -> list[pa.Array]:
         codec = _codec(*shipped.value)
-        for row, texts in slices(column):
-            ids, ends = codec.encode(texts)
-            out = pa.ListArray.from_arrays(_offsets(ends), pa.array(ids, pa.int32()))
-            yield row, [out, _binary(*codec.decode(ids, ends))] if decode else [out]
+        ids, ends = codec.encode(texts)
+        out = pa.ListArray.from_arrays(_offsets(ends), pa.array(ids, pa.int32()))
+        return [out, _binary(*codec.decode(ids, ends))] if decode else [out]
 
-    return _mapped(docs, text, T.StructType.fromDDL("ids array<int>, decoded binary" if decode else "ids array<int>"), work)
+    return add_columns(docs, text, "ids array<int>, decoded binary" if decode else "ids array<int>", work)
+
+
+def id_slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of runs of at most ``most`` ids, or of one row."""
+    end, row = np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64)), 0
+    while row < len(end):
+        held = end[row - 1] if row else 0
+        to = max(row + 1, int(np.searchsorted(end, held + most, "right")))
+        yield row, column.slice(row, to - row)
+        row = to
 
 
 def decode_ids(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -180,17 +174,11 @@ def decode_ids(docs: DataFrame, ids: str = "ids", path: str | None = None) -> Da
     tokens = tuple(vocabulary(path or default_vocabulary()[0]))
     shipped = docs.sparkSession.sparkContext.broadcast((model_bytes(list(tokens)), tokens, "."))
 
-    def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
-        codec = _codec(*shipped.value)
-        size = np.asarray(column.value_lengths().fill_null(0), np.int64)
-        row = 0
-        while row < len(size):
-            n = max(1, int(np.searchsorted(np.cumsum(size[row:]), 1 << 20, "right")))
-            part = column.slice(row, n)
-            yield row, [_binary(*codec.decode(np.asarray(part.flatten(), np.int64), np.cumsum(size[row : row + n])))]
-            row += n
-
-    return _mapped(docs, ids, T.StructType.fromDDL("decoded binary"), work)
+    def work(rows: pa.Array) -> list[pa.Array]:
+        size = np.asarray(rows.value_lengths().fill_null(0), np.int64)
+        return [_binary(*_codec(*shipped.value).decode(np.asarray(rows.flatten(), np.int64), np.cumsum(size)))]
+
+    return add_columns(docs, ids, "decoded binary", work, id_slices)
 
 
 def token_digests(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents, map_batches
+from tidemark.llm.shared import add_columns, documents, map_batches
 from tidemark.llm.words import Words, mix, slices, window_hashes
 
 MIN_WORDS = 50
@@ -161,26 +160,25 @@ def vote_patterns(docs: DataFrame, text: str = "text", rules: dict = RULES) -> d
 def score_quality(docs: DataFrame, text: str = "text", rules: dict = RULES, only_kept: bool = False) -> DataFrame:
     """Each row with its counts, votes, posterior ``p_good`` and ``kept``; with only_kept, the rows kept, as they came."""
     posterior = fit(vote_patterns(docs, text, rules))
-    added = T.StructType() if only_kept else T.StructType.fromDDL(ADDED)
-    fields = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in added.fields}]
-    where = [f.name for f in fields].index(text)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(texts: list[bytes | None]) -> list[np.ndarray]:
+        s = statistics(texts)
+        failed, cast = base_failed(s), votes(s, rules)
+        p = np.where(failed, 0.0, [posterior.get(v, 0.5) for v in cast])
+        counts = [s[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return [*counts, failed, np.array(cast, object), p, ~failed & (p >= 0.5)]
+
+    if not only_kept:
+        types = (*[pa.int64()] * 5, pa.bool_(), pa.string(), pa.float64(), pa.bool_())
+        return add_columns(docs, text, ADDED, lambda texts: [pa.array(x, t) for x, t in zip(judge(texts), types, strict=True)])
+    where = docs.columns.index(text)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in slices(batch.column(where)):
-                part, s = batch.slice(row, len(texts)), statistics(texts)
-                failed, cast = base_failed(s), votes(s, rules)
-                p = np.where(failed, 0.0, [posterior.get(v, 0.5) for v in cast])
-                kept = ~failed & (p >= 0.5)
-                if only_kept:
-                    yield part.filter(pa.array(kept))
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *(pa.array(s[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(cast, pa.string()), pa.array(p), pa.array(kept)],
-                    names=[*part.schema.names, *added.names],
-                )
-
-    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), score, T.StructType([*fields, *added.fields]))
+                yield batch.slice(row, len(texts)).filter(pa.array(judge(texts)[-1]))
+
+    return map_batches(docs, sift, docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents, map_batches, stored
+from tidemark.llm.shared import add_columns, documents, map_batches, stored
 from tidemark.llm.words import Words, slices, window_hashes
 
 BUCKETS = 1 << 14
@@ -96,19 +95,14 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, samp
     good = judged.where("good").orderBy(F.xxhash64(id_col), id_col).limit(sample).select(id_col)
     ratio = log_ratio(bucket_counts(docs, good, id_col, text))
     shipped = docs.sparkSession.sparkContext.broadcast(ratio)
-    added = T.StructType.fromDDL("log_importance double, score double, kept boolean")
-    fields = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in added.fields}]
-    where = [f.name for f in fields].index(text)
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, texts in slices(batch.column(where)):
-                of, bucket = features(texts)
-                weight = np.bincount(of, shipped.value[bucket], len(texts)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*batch.slice(row, len(texts)).columns, pa.array(weight)], names=[*batch.schema.names, "log_importance"])
+    def work(texts: list[bytes | None]) -> list[pa.Array]:
+        of, bucket = features(texts)
+        return [pa.array(np.bincount(of, shipped.value[bucket], len(texts)).astype(np.float64))]
 
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text), 11) + 0.5) * 2.0**-53
-    weighed = map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), weigh, T.StructType([*fields, added.fields[0]])).withColumn("score", F.col("log_importance") - F.log(-F.log(draw)))
+    own = docs.drop("score", "kept")
+    weighed = add_columns(own, text, "log_importance double", work).withColumn("score", F.col("log_importance") - F.log(-F.log(draw)))
     scores = stored(weighed.select("score"))
     k = round(keep * scores.count())
     least = kth_largest(scores, "score", k) if k else float("inf")

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm.words import slices
 
 _NAME = "tidemark_"
 
@@ -67,6 +72,26 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def add_columns(docs: DataFrame, source: str, added: str, work: Callable[[list], list[pa.Array]], cut=slices) -> DataFrame:
+    """Each row with the columns that ``added`` declares, which replace columns of the same names.
+
+    ``work`` gets the values of ``source`` of a slice of rows, as ``cut`` yields them with the slice's first row, and
+    returns the added columns of the slice.
+    """
+    new = T.StructType.fromDDL(added)
+    fields = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in new.fields}]
+    where = [f.name for f in fields].index(source)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, values in cut(batch.column(where)):
+                columns = work(values)
+                part = batch.slice(row, len(columns[0]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *new.names])
+
+    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), run, T.StructType([*fields, *new.fields]))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

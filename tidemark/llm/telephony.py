@@ -12,17 +12,14 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents, map_batches
-from tidemark.llm.words import slices
+from tidemark.llm.shared import add_columns, documents
 
 RATE, STORED_RATE = 8_000, 16_000
 #: WAV format tags.
@@ -174,19 +171,6 @@ def pad(text: bytes) -> bytes:
     return text + b" " * (-len(text) % PAYLOAD_UNIT if text else PAYLOAD_UNIT)
 
 
-def _mapped(df: DataFrame, source: str, added: T.StructType, work) -> DataFrame:
-    fields = [f for f in df.schema.fields if f.name.lower() not in {a.name for a in added.fields}]
-    where = [f.name for f in fields].index(source)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, values in slices(batch.column(where)):
-                part = batch.slice(row, len(values))
-                yield pa.RecordBatch.from_arrays([*part.columns, *work(values)], names=[*part.schema.names, *added.names])
-
-    return map_batches(df.select(*[F.col(f"`{f.name}`") for f in fields]), run, T.StructType([*fields, *added.fields]))
-
-
 def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each row with ``n_bytes`` of its text and ``media``, the WAV file that holds the padded text."""
 
@@ -194,7 +178,7 @@ def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
         files = [write_wav(pack(pad(v or b""))) for v in values]
         return [pa.array([len(v or b"") for v in values], pa.int64()), pa.array(files, pa.binary())]
 
-    return _mapped(docs, text, T.StructType.fromDDL("n_bytes long, media binary"), work)
+    return add_columns(docs, text, "n_bytes long, media binary", work)
 
 
 def decode_media(files: DataFrame, media: str = "media", rate: int = STORED_RATE) -> DataFrame:
@@ -210,7 +194,7 @@ def decode_media(files: DataFrame, media: str = "media", rate: int = STORED_RATE
             pa.array([features(p) if p is not None else None for p in pcm], pa.string()),
         ]
 
-    return _mapped(files, media, T.StructType.fromDDL("payload binary, pcm binary, feature string"), work)
+    return add_columns(files, media, "payload binary, pcm binary, feature string", work)
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:

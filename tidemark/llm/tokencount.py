@@ -12,16 +12,12 @@ added one are replaced. Prefixes are told apart by 64-bit hashes. Memory is that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents, map_batches
-from tidemark.llm.words import Words, mix, slices
+from tidemark.llm.shared import add_columns, documents
+from tidemark.llm.words import Words, mix
 
 MARK = "▁"
 UNKNOWN = 10.0
@@ -123,24 +119,16 @@ class Unigram:
 def count_tokens(docs: DataFrame, text: str = "text", pieces: dict[str, float] | None = None) -> DataFrame:
     """Each row with ``n_words`` and ``n_tokens``."""
     shipped = docs.sparkSession.sparkContext.broadcast(Unigram(pieces or read_pieces()))
-    added = T.StructType.fromDDL("n_words long, n_tokens long")
-    fields = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in added.fields}]
-    where = [f.name for f in fields].index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, texts in slices(batch.column(where)):
-                words = Words(texts)
-                _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-                data = words.buf.tobytes()
-                distinct = [MARK + data[lo:hi].decode() for lo, hi in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
-                total = np.concatenate([[0], np.cumsum(shipped.value.counts(distinct)[which])])
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(row, len(texts)).columns, pa.array(np.diff(words.first), pa.int64()), pa.array(np.diff(total[words.first]), pa.int64())],
-                    names=[*batch.schema.names, *added.names],
-                )
-
-    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), run, T.StructType([*fields, *added.fields]))
+
+    def work(texts: list[bytes | None]) -> list[pa.Array]:
+        words = Words(texts)
+        _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        data = words.buf.tobytes()
+        distinct = [MARK + data[lo:hi].decode() for lo, hi in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
+        total = np.concatenate([[0], np.cumsum(shipped.value.counts(distinct)[which])])
+        return [pa.array(np.diff(words.first), pa.int64()), pa.array(np.diff(total[words.first]), pa.int64())]
+
+    return add_columns(docs, text, "n_words long, n_tokens long", work)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

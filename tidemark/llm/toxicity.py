@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents, map_batches
+from tidemark.llm.shared import add_columns, documents
 from tidemark.llm.words import mix, slices
 
 ORDERS = (3, 4, 5, 6)
@@ -151,20 +150,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Each row with ``score`` in 0 to 1 and ``predicted``, 1 from one half."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    added = T.StructType.fromDDL("score double, predicted int")
-    fields = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in added.fields}]
-    where = [f.name for f in fields].index(text)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, texts in slices(batch.column(where)):
-                p = shipped.value.score(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(row, len(texts)).columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))],
-                    names=[*batch.schema.names, *added.names],
-                )
-
-    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in fields]), score, T.StructType([*fields, *added.fields]))
+
+    def work(texts: list[bytes | None]) -> list[pa.Array]:
+        p = shipped.value.score(texts)
+        return [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
+
+    return add_columns(docs, text, "score double, predicted int", work)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
