@@ -156,7 +156,8 @@ def level_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables_per_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.tables_per_level(stats.level_layout(spark, _runs(spark, sf_dir), StoreOptions(base_level_bytes=2000)))
+    counts = stats.tables_per_level(stats.level_layout(spark, _runs(spark, sf_dir), StoreOptions(base_level_bytes=2000)))
+    return counts.withColumn("per_level", F.array_join(F.col("per_level").cast("array<string>"), ","))
 
 
 def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +261,7 @@ _QUERIES = {
     size_estimate: f"with {EVENTS} select key, sum(strlen(key) + coalesce(strlen(value), 0) + 48)::bigint as size_bytes from log group by key",
     distinct_keys: f"with {EVENTS} select count(distinct key) as num_keys from log",
     level_layout: f"{_LAYOUT} select * from layout",
-    tables_per_level: f"{_LAYOUT} select sum(num_runs)::bigint as num_runs, list(num_runs order by level) as per_level from layout",
+    tables_per_level: f"{_LAYOUT} select sum(num_runs)::bigint as num_runs, array_to_string(list(num_runs order by level), ',') as per_level from layout",
     latency_histogram: f"""select le, count(*) filter (e.value / 100 <= bound) as n from events e, (values {_BOUNDS}) b(le, bound) group by le
       union all select '+Inf', count(value) from events""",
     snapshot_diff: f"""with {EVENTS}, {_latest('old', 'seq <= 5000')}, {_latest('new')},
