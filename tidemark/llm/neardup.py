@@ -41,7 +41,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 SURELY_LESS = 0.65
 #: Rows of a bucket that a task holds at once, and pairs a row beyond which a bucket counts as crowded.
-BLOCK, PAIRS_A_ROW = 1024, 2
+BLOCK, PAIRS_A_ROW = 512, 2
 SEED = 11
 
 
