@@ -60,6 +60,29 @@ def test_estimates():
     assert fit({two: 1000})[two] < 0.5
 
 
+@pytest.mark.parametrize("percent", [1, 5, 10, 30])
+@pytest.mark.parametrize("rule", [i for i, (_, _, bad) in enumerate(RULES.values()) if bad is not None])
+def test_a_lone_bad_vote_rejects(rule, percent):
+    n = len(RULES)
+    good, silent, two, lone = "0" * (n - 1) + "+", "0" * n, "--" + "0" * (n - 2), "0" * rule + "-" + "0" * (n - 1 - rule)
+    p = fit({good: 800, silent: 31, two: 68, lone: round(899 * percent / (100 - percent))})
+    assert p[lone] < 0.5 < p[silent] < p[good]
+
+
+def test_long_words_and_symbols_are_no_plain_prose(spark):
+    def token(i, j, n=40):
+        return "".join(chr(97 + (i * 7 + j * 11 + k * (j + 3)) % 26) for k in range(n - 2)) + f"{j:02}"
+
+    long_ = [(100, " ".join(token(0, j) for j in range(60)))]
+    # one mark in thirty characters, but few a word
+    marks = [(200, " ".join(f"{chr(97 + j % 26)}" if j % 25 else "#" for j in range(200)))]
+    rows = [(i, prose(i)) for i in range(60)] + long_ + marks
+    scored = {r.doc_id: r for r in score_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not scored[100].base_failed and scored[100].votes == "000000-0"
+    assert scored[200].votes[1] == "-" and scored[200].votes[-1] == "0"
+    assert {i for i, r in scored.items() if r.kept} == set(range(60))
+
+
 @pytest.mark.parametrize("part", ["none", "null"])
 def test_empty_table_and_null_texts(spark, part):
     docs = odd_docs(spark)

@@ -41,11 +41,13 @@ RULES = {
     "plain_prose": ("worst", 1.0, None),
 }
 #: What plain prose may have of each statistic.
-PLAIN = {"symbols": 0.05, "shouts": 0.2, "upper": 0.2, "repeats": 0.3, "dup_lines": 0.3}
+PLAIN = {"symbols": 0.05, "symbol_share": 0.015, "shouts": 0.2, "upper": 0.2, "repeats": 0.3, "dup_lines": 0.3, "length_off": 6.0}
 USUAL_WORD_LENGTH = 6.0
 BELIEF = 4.0
 #: Bounds of the estimated share of good texts, so that no mixture of texts outweighs what the rules say of one.
 SHARE = (0.6, 0.9)
+#: A vote is right by at least this much more often than a text is good, so that a lone bad vote rejects.
+EDGE = 0.02
 ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes string, p_good double, kept boolean"
 
 _SYMBOL = np.zeros(256, bool)
@@ -121,7 +123,8 @@ def fit(patterns: dict[str, int], rounds: int = 500, prior: float = 0.8, accurac
 
     A rule's accuracy is how often its vote, when it casts one, is the text's class. ``prior`` and ``accuracy`` are beliefs
     that weigh as BELIEF times the votes cast, and as a tenth of the texts. Rules that vote one way only can't be told
-    from rules that are always wrong by their votes alone; the beliefs keep the classes to their meaning.
+    from rules that are always wrong by their votes alone; the beliefs keep the classes to their meaning. Texts with a lone
+    bad vote look like good ones to the estimate if there are enough of them, so accuracies stay EDGE above the share.
     """
     if not patterns:
         return {}
@@ -137,8 +140,8 @@ def fit(patterns: dict[str, int], rounds: int = 500, prior: float = 0.8, accurac
         before, p = p, 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
         if np.abs(p - before).max() < 1e-12:
             break
-        rate = np.clip((count * p @ plus + count * (1 - p) @ minus + weight * accuracy) / (cast + weight), 0.5, 0.999)
         share = float(np.clip((count @ p + 0.1 * count.sum() * prior) / (1.1 * count.sum()), *SHARE))
+        rate = np.clip((count * p @ plus + count * (1 - p) @ minus + weight * accuracy) / (cast + weight), share + EDGE, 0.999)
     return dict(zip(keys, p.tolist(), strict=True))
 
 
