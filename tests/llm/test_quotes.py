@@ -54,6 +54,36 @@ def test_a_message_does_not_quote_itself_or_later_ones(spark):
     assert link_quotes(spark.createDataFrame(rows, SCHEMA)).count() == 0
 
 
+def test_a_quote_wrapped_anew_and_part_of_a_line(spark):
+    long_ = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, 0, "a", "aaa bbb ccc ddd"),
+        (1, 1, "b", "something else"),
+        (1, 2, "a", "> aaa bbb\n> ccc ddd\nyes"),
+        (2, 0, "a", f"hi\n{long_}\nbye"),
+        (2, 1, "b", "no"),
+        (2, 2, "a", "\n".join(f"> > {' '.join(long_.split()[i : i + 7])}" for i in range(3, 50, 7)) + "\n> no\nfine"),
+        (2, 3, "b", "> word20 word21  WORD22\nwhat?"),
+        (2, 4, "b", "> never said before by anyone\n> word21 word20\nwhat?"),
+        (3, 0, "a", "one two three"),
+        (3, 1, "b", "four five six"),
+        (3, 2, "c", "x"),
+        (3, 3, "a", "> two three\n> four five\n> five six"),
+        (4, 0, "a", "> a b c\nwrap this long\nline again"),
+        (4, 1, "b", "none"),
+        (4, 2, "a", "> wrap this\n> long line\n> again\n\nok"),
+        (5, 0, "u", "> p q r s\nmine\n> late words"),
+        (5, 1, "u", "first p q r s said late words"),
+    ]
+    by = {(r.conv_id, r.turn): (r.reply_to, r.n_quoted, r.n_linked) for r in link_conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert by[1, 2] == (0, 2, 2)
+    assert by[2, 2] == (1, 8, 8)  # the lowest level decides
+    assert by[2, 3] == (0, 1, 1) and by[2, 4] == (3, 2, 0)
+    assert by[3, 3] == (1, 3, 3)
+    assert by[4, 2] == (0, 3, 3)
+    assert by[5, 0] == (None, 2, 0)  # neither its own nor a later text
+
+
 def test_assembled_in_reply_order(messages):
     parts = assembled(link_conversations(messages), part=3).where("conv_id = 1").orderBy("part").collect()
     assert [[m.turn for m in p.messages] for p in parts] == [[0, 1, 2, 2], [3, 4, 4]]

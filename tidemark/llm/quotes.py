@@ -2,12 +2,18 @@
 
 A line's quote level is the number of ``>`` marks in front of it. Quoted lines are normalised (marks and outer white space
 off, inner white space to one space, lower case) and hashed; a quoted line comes from the last earlier message of the
-same conversation that has the same line as its own text. A message replies to the message that most of its lines of
-the lowest linked level come from, the later one of a tie; without a link, to the message one turn before; else to none.
-Its own text is what remains without quoted lines and without the line that announces them (``... wrote:``).
+same conversation that has the same line as its own text. A line without one is looked for by its passage, so that quotes
+wrapped anew and quoted parts of a line are found too: consecutive lines of one level are joined to a passage, and its
+windows of WINDOW words (the passage, if it is shorter) looked up among those of own passages, each from the last earlier
+message that has it. The line comes from the message that most windows touching it come from, the later one of a tie, if
+at least half of them come from anywhere; else, if shorter than a window, from the last message that says it within a line.
 
-Lines are matched by one ordered pass over a conversation's equal lines, not by pairs; lines that nobody quotes are left
-out of it before.
+A message replies to the message that most of its lines of the lowest linked level come from, the later one of a tie;
+without a link, to the message one turn before; else to none. Its own text is what remains without quoted lines and
+without the line that announces them (``... wrote:``).
+
+Lines and windows are matched by one ordered pass over a conversation's equal ones, not by pairs; what nobody quotes is left
+out of it before, and windows are made only of conversations with a line that is not found whole.
 
 Defined cases: a null text counts as empty; a message without quotes keeps its text as it is; a null conv_id or turn takes
 no part in linking and has no reply_to; repeated rows are kept and share their result; of messages that share conversation
@@ -16,27 +22,35 @@ and turn, reply_to names the turn; extra columns are not read. Long conversation
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.shared import map_batches, stored
+
 PART = 200
+WINDOW = 4
 MARKS = r"^(?:[ \t]*>)+"
 ANNOUNCES = r"(?i)^.{0,200}\b(wrote|writes|said)\s*:\s*$"
 
 
-def level(line: str) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(F.col(line), MARKS, 0), "[^>]", ""))
+def level(line: Column) -> Column:
+    return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 0), "[^>]", ""))
 
 
-def normal(line: str) -> Column:
-    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(F.col(line), MARKS, ""), r"^\s+|\s+$", "")), r"\s+", " "))
+def normal(line: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), r"^\s+|\s+$", "")), r"\s+", " "))
 
 
 def lines(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, text, place, line, level, hash`` of each line."""
     split = messages.select("conv_id", "turn", "text", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
-    return split.withColumn("level", level("line")).withColumn("norm", normal("line")).withColumn("hash", F.when(F.col("norm") != "", F.xxhash64("norm"))).drop("norm")
+    return split.withColumn("level", level(F.col("line"))).withColumn("norm", normal(F.col("line"))).withColumn("hash", F.when(F.col("norm") != "", F.xxhash64("norm"))).drop("norm")
 
 
 def own_text(text: str) -> Column:
@@ -51,17 +65,93 @@ def own_text(text: str) -> Column:
     return F.when(F.exists(parts, lambda line: line.rlike(MARKS)), cut).otherwise(F.coalesce(F.col(text), F.lit("")))
 
 
+def _window(words: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _passages(found: list[dict]) -> Iterator[tuple[int, list[dict], list[str], list[int]]]:
+    """(level, lines, words, each word's line in lines) of each run of consecutive lines of one level."""
+    for depth, run in groupby(found, key=lambda line: line["level"]):
+        run = list(run)
+        words = [(word, i) for i, line in enumerate(run) for word in line["norm"].split(" ") if word]
+        yield depth, run, [w for w, _ in words], [i for _, i in words]
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of quoted passages, once for each line without a source that they touch."""
+    for batch in batches:
+        for message in batch.to_pylist():
+            missing, rows = set(message["missing"]), []
+            for depth, run, words, where in _passages(message["lines"]):
+                if not depth or not words:
+                    continue
+                size = min(WINDOW, len(words))
+                for at in range(len(words) - size + 1):
+                    hashed = _window(words[at : at + size])
+                    rows += [(run[i], depth, False, size, hashed) for i in set(where[at : at + size]) if run[i]["hash"] in missing]
+                for line in run:
+                    alone = line["norm"].split(" ")
+                    if line["norm"] and line["hash"] in missing and len(alone) < size:
+                        rows.append((line, depth, True, len(alone), _window(alone)))
+            yield pa.RecordBatch.from_pylist(
+                [{"conv_id": message["conv_id"], "turn": message["turn"], "m": message["m"], "place": line["place"], "level": depth, "alone": alone, "size": size, "window": hashed} for line, depth, alone, size, hashed in rows],
+                _ASKED,
+            )
+
+
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct windows of the sizes asked for of a message's own passages."""
+    for batch in batches:
+        for message in batch.to_pylist():
+            own = [words for depth, _, words, _ in _passages(message["lines"]) if not depth]
+            for size in message["sizes"]:
+                hashes = {_window(words[at : at + size]) for words in own for at in range(len(words) - size + 1)}
+                n = len(hashes)
+                yield pa.RecordBatch.from_arrays([pa.array([message[c]] * n, t) for c, t in (("conv_id", pa.int64()), ("turn", pa.int64()))] + [pa.array([size] * n, pa.int32()), pa.array(list(hashes), pa.int64())], schema=_SAID)
+
+
+_SAID = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("size", pa.int32()), ("window", pa.int64())])
+_ASKED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("m", pa.int64()), ("place", pa.int32()), ("level", pa.int32()), ("alone", pa.bool_()), ("size", pa.int32()), ("window", pa.int64())])
+
+
+def _last_said(asked: DataFrame, said: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows asked with ``source``, the last turn before theirs at which the same keys are said, or null."""
+    # at one turn what is said comes after what is quoted, so that a message doesn't quote itself
+    both = asked.withColumn("says", F.lit(0)).unionByName(said.withColumn("says", F.lit(1)), True)
+    before = Window.partitionBy(*keys).orderBy("turn", "says").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("source", F.last(F.when(F.col("says") == 1, F.col("turn")), True).over(before)).where("says = 0").drop("says")
+
+
+def link_passages(messages: DataFrame, missing: DataFrame) -> DataFrame:
+    """``conv_id, turn, source, n, level`` of each quoted line of ``missing`` (conv_id, turn, hash) whose passage is found."""
+    line = F.split(F.coalesce("text", F.lit("")), "\n")
+    parts = F.transform(line, lambda x, i: F.struct(i.alias("place"), level(x).alias("level"), normal(x).alias("norm"), F.xxhash64(normal(x)).alias("hash")))
+    each = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.xxhash64("text").alias("m"), parts.alias("lines"))
+    of = missing.groupBy("conv_id", "turn").agg(F.collect_set("hash").alias("missing"))
+    types = "conv_id long, turn long, m long, place int, level int, alone boolean, size int, window long"
+    asked = stored(map_batches(each.join(of, ["conv_id", "turn"]), _asked, types))
+    sizes = asked.groupBy("conv_id").agg(F.collect_set("size").alias("sizes"))
+    keys = ["conv_id", "size", "window"]
+    said = map_batches(each.join(sizes, "conv_id"), _said, "conv_id long, turn long, size int, window long")
+    found = _last_said(asked, said.join(asked.select(*keys).distinct(), keys, "left_semi"), keys)
+    line = ["conv_id", "turn", "m", "place", "level"]
+    by = found.groupBy(*line, "alone", "source").agg(F.count(F.lit(1)).alias("k"))
+    by = by.groupBy(*line, "alone").agg(F.sum("k").alias("all"), F.sum(F.when(F.col("source").isNotNull(), F.col("k"))).alias("hit"), F.max_by("source", F.when(F.col("source").isNotNull(), F.struct("k", "source"))).alias("source"))
+    return by.where("2 * hit >= all").groupBy(*line).agg(F.max_by("source", ~F.col("alone")).alias("source")).select("conv_id", "turn", "source", F.lit(1).cast("long").alias("n"), "level")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, source, lines, level``: how many quoted lines of a message come from the message at turn ``source``."""
-    each = lines(messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text").distinct()).where("hash is not null")
+    known = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text").distinct()
+    each = lines(known).where("hash is not null")
     quoted = each.where("level > 0").groupBy("conv_id", "turn", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("level"))
     asked = quoted.select("conv_id", "hash").distinct()
     said = each.where("level = 0").select("conv_id", "turn", "hash").distinct().join(asked, ["conv_id", "hash"], "left_semi")
-    # at one turn what is said comes after what is quoted, so that a message doesn't quote itself
-    both = quoted.select("conv_id", "hash", "turn", F.lit(0).alias("says"), "n", "level").unionByName(said.select("conv_id", "hash", "turn", F.lit(1).alias("says"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("int").alias("level")))
-    before = Window.partitionBy("conv_id", "hash").orderBy("turn", "says").rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("source", F.last(F.when(F.col("says") == 1, F.col("turn")), True).over(before)).where("says = 0 and source is not null")
-    return found.groupBy("conv_id", "turn", "source").agg(F.sum("n").alias("lines"), F.min("level").alias("level"))
+    found = stored(_last_said(quoted, said, ["conv_id", "hash"]))
+    links, missing = found.where("source is not null"), found.where("source is null").select("conv_id", "turn", "hash")
+    if not missing.isEmpty():
+        links = links.select("conv_id", "turn", "source", "n", "level").unionByName(link_passages(known, missing))
+    return links.groupBy("conv_id", "turn", "source").agg(F.sum("n").alias("lines"), F.min("level").alias("level"))
 
 
 def link_conversations(messages: DataFrame) -> DataFrame:
