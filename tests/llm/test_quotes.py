@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from tests.llm.helpers import rows_of
-from tidemark.llm.quotes import OP6_SQL, assembled, link_conversations, link_quotes
+from tidemark.llm.quotes import OP6_ORDER_SQL, OP6_SQL, assembled, link_conversations, link_quotes, op6_reply_order
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 ROWS = [
@@ -91,6 +91,22 @@ def test_assembled_in_reply_order(messages):
         assert all(m.reply_to is None or m.reply_to < m.turn for m in p.messages)
 
 
+def test_registered_reply_order(spark, tmp_path):
+    # 3 answers 0 and 5 answers 1, over more turns than a part has
+    rows = [(9, i, "u", f"text {i}") for i in range(450)]
+    rows[3], rows[5] = (9, 3, "u", "> text 0\nmine"), (9, 5, "u", "> text 1\nyours")
+    rows += ROWS
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op6_reply_order(spark, str(tmp_path))
+    order = [(r.turn, r.text) for r in got.where("conv_id = 9").orderBy("place").collect()]
+    assert [t for t, _ in order] == [0, 1, 2, *range(5, 450), 3, 4] and order[3][1] == "yours"
+    con = duckdb.connect()
+    con.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    want = con.sql(OP6_ORDER_SQL)
+    assert rows_of(got, *want.columns) == sorted(want.fetchall(), key=repr)
+
+
 def test_extra_columns_and_empty_table(messages):
     from pyspark.sql import functions as F
 

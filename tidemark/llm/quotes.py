@@ -170,6 +170,36 @@ def assembled(linked: DataFrame, part: int = PART) -> DataFrame:
     return linked.groupBy("conv_id", F.floor(F.col("turn") / part).alias("part")).agg(F.sort_array(F.collect_list(message)).alias("messages"))
 
 
+def _threads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for conversation in batch.to_pylist():
+            answers = {}
+            for turn, to in sorted((m["turn"], m["reply_to"]) for m in conversation["turns"] if m["reply_to"] is not None):
+                answers.setdefault(to, []).append(turn)
+            ahead, order = sorted((m["turn"] for m in conversation["turns"] if m["reply_to"] is None), reverse=True), []
+            while ahead:
+                order.append(ahead.pop())
+                ahead += reversed(answers.get(order[-1], []))
+            n = len(order)
+            yield pa.RecordBatch.from_arrays([pa.array([conversation["conv_id"]] * n, pa.int64()), pa.array(order, pa.int64()), pa.array(range(n), pa.int64())], names=["conv_id", "turn", "place"])
+
+
+def reply_order(linked: DataFrame) -> DataFrame:
+    """Each message with ``place``, from 0, in its conversation's reply order: after a message what replies to it, with all
+    replies to that, before the next of the same parent; by turn among the replies to one message.
+
+    Messages of one turn share a place; without conversation or turn it is null. A task holds the turns of a conversation,
+    not its texts, so that conversations of any length stay whole.
+    """
+    turns = linked.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("reply_to").cast("long")).distinct()
+    places = map_batches(turns.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "reply_to")).alias("turns")), _threads, "conv_id long, turn long, place long")
+    return linked.join(places, ["conv_id", "turn"], "left").select("conv_id", "place", "turn", "role", "reply_to", "text")
+
+
+def op6_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_order(op6_quotation_links(spark, sf_dir))
+
+
 def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -207,3 +237,15 @@ from own m
 left join parent p on m.conv_id = p.conv_id and m.turn = p.turn
 left join (select distinct conv_id, turn from conversations) b on m.conv_id = b.conv_id and m.turn = b.turn + 1
 """
+
+OP6_ORDER_SQL = f"""
+with recursive linked as ({OP6_SQL}),
+step as (select distinct conv_id, turn, reply_to from linked where conv_id is not null and turn is not null),
+thread as (
+  select conv_id, turn, [turn] as path from step where reply_to is null
+  union all
+  select s.conv_id, s.turn, list_append(t.path, s.turn) from step s join thread t on s.conv_id = t.conv_id and s.reply_to = t.turn),
+placed as (select conv_id, turn, row_number() over (partition by conv_id order by path) - 1 as place from thread)
+select l.conv_id, p.place, l.turn, l.role, l.reply_to, l.text
+from linked l left join placed p on l.conv_id = p.conv_id and l.turn = p.turn
+"""

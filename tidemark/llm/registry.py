@@ -9,6 +9,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_quotation_links": quotes.op6_quotation_links,
+    "op6_reply_order": quotes.op6_reply_order,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_importance_resampling": resampling.op9_importance_resampling,
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op1_substring_dedup": substring.OP1_SQL,
     "op6_quotation_links": quotes.OP6_SQL,
+    "op6_reply_order": quotes.OP6_ORDER_SQL,
 }
