@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tests.llm.helpers import clashing, empty, odd_docs, odd_rows, words
+from tests.llm.helpers import clashing, empty, odd_docs, odd_rows, rows_of, words
 from tidemark.llm import neardup
 from tidemark.llm.graph import components
 from tidemark.llm.neardup import near_duplicates, shingles, signatures, similarity
@@ -72,9 +72,53 @@ def test_crowds_below_the_threshold(spark, monkeypatch):
     assert check(spark, rows) == want
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 7)
-    check(spark, crowd(60, (1, 5)))
+def test_parts_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 14)
+    check(spark, crowd(40, (1, 5)))
+
+
+def test_parts_of_a_large_bucket_with_repeated_shingles(spark, monkeypatch):
+    """Copies whose shingles repeat, some more often than the others' and some all twice."""
+    monkeypatch.setattr(neardup, "BLOCK", 12)
+    rows = [(i, f"{t} " + " ".join(t.split()[:12]) + (" " + " ".join(t.split()[40:60])) * (i % 3), *rest) for i, t, *rest in crowd(36, (0, 4), 6)]
+    check(spark, rows + [(i + 50, f"{t} {t}", *rest) for i, t, *rest in rows[:8]])
+
+
+def test_differences_from_a_pivot():
+    """Each link with a text that isn't linked to the pivot shares a difference that both look at, or an end is odd."""
+    rng = random.Random(8)
+    for plain in (True, False):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(110)]
+        texts = [" ".join(base)]
+        for i in range(70):
+            w, most = list(base), random.Random(i % 6)
+            for at in [most.randrange(110) for _ in range(i % 4 + 1)] + [rng.randrange(110)] * (rng.random() < 0.6):
+                w[at] = f"e{at % 3}"
+            if not plain and rng.random() < 0.6:
+                w += base[20 : 20 + rng.randint(6, 18)]
+            texts.append(" ".join(w))
+        of, value, times = shingles(Words([t.encode() for t in texts]))
+        edge = np.searchsorted(of, np.arange(len(texts) + 1))
+        sets = [(value[lo:hi], times[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+        found = [neardup.difference(x, sets[0], 0.8) for x in sets]
+        counts = Counter(d for f in found for d in f[4].tolist())
+        all_plain = all(f[1] for f in found)
+        assert all_plain == plain
+        looked = [set(sorted(f[4].tolist(), key=lambda d: (counts[d], d))[: f[3] if all_plain else len(f[4])]) for f in found]
+        links = 0
+        for i, j in combinations(range(len(texts)), 2):
+            if similarity(sets[i], sets[j]) >= 0.8 and min(found[i][0], found[j][0]) < 0.8:
+                links += 1
+                assert looked[i] & looked[j] or found[i][2] or found[j][2]
+        assert links > 50
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_an_id_with_several_texts_ties_them(spark, parts):
+    one, two = crowd(2, (0, 1), 1), crowd(2, (0, 1), 9)
+    rows = [(1, one[0][1]), (2, one[1][1]), (2, two[0][1]), (3, two[1][1]), (4, "something else"), (4, "something else"), (None, one[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert rows_of(near_duplicates(docs), "id", "class_id") == sorted([(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (4, 4), (None, None)], key=repr)
 
 
 def test_ids_columns_and_empty_table(spark):
