@@ -10,19 +10,24 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def word(n, first="w"):
+    """A word of letters for each number."""
+    return first + "".join(chr(97 + n // 26**k % 26) for k in range(5 if n >= 26**3 else 3))
+
+
 def odd_rows():
     """Nulls in any column, empty and very long texts, ties, repeated rows."""
     rng = random.Random(5)
-    vocabulary = [f"w{i}" for i in range(400)]
+    vocabulary = [word(i) for i in range(400)]
 
     def prose(n):
-        return " ".join(rng.choice(vocabulary) for _ in range(n))
+        return " ".join(rng.choice(vocabulary) + "." * (i % 9 == 8) for i in range(n))
 
     base, passage, long_ = prose(120), prose(60), prose(6000)
     rows = [
         (1, base, "en", "b", len(base)),
         (2, base, "en", "a", len(base)),
-        (3, base.replace("w1 ", "x "), "en", None, 5),
+        (3, base.replace(f"{base.split()[60]} ", "x "), "en", None, 5),
         (4, f"{prose(40)} {passage} {prose(40)}", None, "a", None),
         (5, f"{prose(90)}\n{passage}\t{prose(9)}", "en", "a", 9),
         (6, None, None, None, None),

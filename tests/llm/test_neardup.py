@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tests.llm.helpers import clashing, empty, odd_docs, odd_rows, rows_of, words
+from tests.llm.helpers import clashing, empty, odd_docs, odd_rows, rows_of, word, words
 from tidemark.llm import neardup
 from tidemark.llm.graph import components
 from tidemark.llm.neardup import near_duplicates, shingles, signatures, similarity
@@ -42,12 +42,12 @@ def brute_classes(rows):
 def crowd(n, edits, seed=1, first=100):
     """Copies of one text with some words changed: many pairs just above or below the threshold."""
     rng = random.Random(seed)
-    base = [f"v{rng.randrange(500)}" for _ in range(110)]
+    base = [word(rng.randrange(500), "v") for _ in range(110)]
     rows = []
     for i in range(n):
         w = list(base)
         for _ in range(rng.randint(*edits)):
-            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            w[rng.randrange(len(w))] = word(rng.randrange(10**6), "e")
         rows.append((first + i, " ".join(w), "en", "s", 1))
     return rows
 
@@ -66,7 +66,7 @@ def test_odd_documents(spark):
 
 
 def test_crowds_below_the_threshold(spark, monkeypatch):
-    rows = crowd(60, (1, 5)) + crowd(30, (0, 2), 2, 300) + [(500 + i, r[1].replace("v1", "same words here"), "en", "s", 1) for i, r in enumerate(crowd(8, (0, 3), 4))]
+    rows = crowd(60, (1, 5)) + crowd(30, (0, 2), 2, 300) + [(500 + i, r[1].replace("va", "same words here a"), "en", "s", 1) for i, r in enumerate(crowd(8, (0, 3), 4))]
     want = check(spark, rows)
     monkeypatch.setattr(neardup, "PAIRS_A_ROW", 0)
     assert check(spark, rows) == want

@@ -1,14 +1,14 @@
 """The pipeline's stages against brute-force counterparts, each on what the one before it kept."""
 
 import corpus_pipeline
-from tests.llm.helpers import DOCS, empty, odd_docs, odd_rows, rows_of
+from tests.llm.helpers import DOCS, empty, odd_docs, odd_rows, rows_of, word
 from tests.llm.test_neardup import brute_classes, crowd
-from tests.llm.test_quality import brute as counts
+from tests.llm.test_quality import brute_kept
 from tests.llm.test_substring import brute as cut
 
 
 def rows():
-    extra = [(700 + i, f"{' '.join(f'p{i}q{j}' for j in range(60))} {'symbols### ' * 40 if i == 0 else 'end'}", "en", "b", 1) for i in range(4)]
+    extra = [(700 + i, f"{' '.join(word(i * 1000 + j, 'p') for j in range(60))}. {' '.join(word(j, 's') + '###' for j in range(40)) if i == 0 else 'end'}", "en", "b", 1) for i in range(4)]
     # of two texts under one id either may stay
     odd = [r for i, r in enumerate(odd_rows()) if r[0] != 12 and i != 17]
     return odd + crowd(9, (0, 4)) + extra
@@ -20,12 +20,8 @@ def test_stages(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
         if name == "quality_rules":
-            passed = []
-            for r in kept:
-                n = counts(r[1])
-                if n[0] >= 50 and 2 * n[4] <= n[0] and n[2] < 0.1 * n[0]:
-                    passed.append(r)
-            kept = passed
+            kept = [r for r, good in zip(kept, brute_kept([r[1] for r in kept]), strict=True) if good]
+            assert 20 < len(kept) < len(rows()) - 8 and 700 not in {r[0] for r in kept}
         elif name == "near_dedup":
             classes, seen, passed = brute_classes(kept), set(), []
             for r in kept:

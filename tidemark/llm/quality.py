@@ -1,21 +1,27 @@
 """Quality rules as weak supervision.
 
-Each rule looks at one statistic of a text and votes good, votes bad or abstains between two thresholds. Expectation-
-maximisation over the vote patterns of the whole corpus (a few hundred at most, whatever its size) estimates how often
-each rule says what it says of good and of bad texts; a text is kept if the posterior probability that it is good is at
-least one half. Votes are taken as independent given the class, and an abstention tells nothing.
+Each rule looks at one statistic of a text and votes good in a usual range, bad beyond wider bounds, and abstains between.
+Expectation-maximisation over the vote patterns of the whole corpus estimates the share of good texts and, for each rule,
+how often it says good of good texts and bad of bad texts when it votes; an abstention tells nothing, and votes are taken
+as independent given the class. A text is kept if the posterior probability that it is good is at least one half, so a
+rule that often says bad of texts that all others find good loses its weight, and one that speaks up where others do gains.
+
+The estimate starts from beliefs that also count as ``BELIEF`` votes a rule (and texts, for the share), whatever the size
+of the corpus: good texts rarely get a bad vote, bad ones get some. That is what tells the classes apart by name; apart
+from it nothing bounds what the corpus says. There are at most 3 ** 12 patterns, so the driver gets 531,441 counts at most.
 
 Texts that fail the base rules (fewer than 50 words, or over half of the words in repeated 3-word windows) are rejected
 outright and don't take part in the estimate.
 
 Defined cases: a null text has no words and fails the base rules; a corpus without a passing text needs no estimate;
 repeated rows count each; extra columns stay, and columns named like an added one are replaced. Equality of 3-word
-windows is that of 64-bit hashes. Batches are cut to a few MB, so memory is that of the longest text.
+windows and of words is that of 64-bit hashes. Batches are cut to a few MB, so memory is that of the longest text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,25 +35,24 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 
-#: Rule: (statistic, votes good up to, votes bad from), None for never. In between it abstains.
+#: Rule: (statistic, good from, good to, bad below, bad above); None for no bound.
 RULES = {
-    "symbols_a_word": ("symbols", None, 0.1),
-    "symbols_a_character": ("symbol_share", None, 0.03),
-    "exclamations_a_word": ("shouts", None, 0.5),
-    "upper_share": ("upper", None, 0.5),
-    "repeated_words": ("repeats", None, 0.48),
-    "duplicate_lines": ("dup_lines", None, 0.6),
-    "word_length": ("length_off", None, 12.0),
-    "plain_prose": ("worst", 1.0, None),
+    "symbols": ("symbols a word", None, 0.02, None, 0.1),
+    "marked_words": ("share of words with a symbol", None, 0.02, None, 0.1),
+    "letters": ("share of letters", 0.9, None, 0.8, None),
+    "digits": ("share of digits", None, 0.05, None, 0.2),
+    "word_length": ("characters a word", 3.5, 7.0, 2.5, 10.0),
+    "longest_word": ("longest word", None, 30, None, 60),
+    "upper": ("share of upper case", None, 0.1, None, 0.3),
+    "shouts": ("shouts a word", None, 0.05, None, 0.2),
+    "sentences": ("sentence ends a word", 0.02, 0.25, 0.002, 0.5),
+    "repeats": ("share of repeated windows", None, 0.1, None, 0.3),
+    "duplicate_lines": ("share of repeated lines", None, 0.1, None, 0.3),
+    "variety": ("distinct words by root of words", 4.0, None, 2.5, None),
 }
-#: What plain prose may have of each statistic.
-PLAIN = {"symbols": 0.05, "symbol_share": 0.015, "shouts": 0.2, "upper": 0.2, "repeats": 0.3, "dup_lines": 0.3, "length_off": 6.0}
-USUAL_WORD_LENGTH = 6.0
-BELIEF = 4.0
-#: Bounds of the estimated share of good texts, so that no mixture of texts outweighs what the rules say of one.
-SHARE = (0.6, 0.9)
-#: A vote is right by at least this much more often than a text is good, so that a lone bad vote rejects.
-EDGE = 0.02
+#: Beliefs before the corpus is seen: the share of good texts, the share of votes on good texts that say good, and of votes
+#: on bad texts that say bad; and how many votes, or texts, they count as.
+SHARE, GOOD_RIGHT, BAD_RIGHT, BELIEF = 0.8, 0.98, 0.3, 20.0
 ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes string, p_good double, kept boolean"
 
 _SYMBOL = np.zeros(256, bool)
@@ -56,6 +61,14 @@ _SHOUT = np.zeros(256, bool)
 _SHOUT[list(b"!?")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[ord("0") : ord("9") + 1] = True
+# other bytes than ASCII belong to letters, as far as a rule of thumb goes
+_LETTER = _UPPER.copy()
+_LETTER[ord("a") : ord("z") + 1] = True
+_LETTER[0x80:] = True
+_END = np.zeros(256, bool)
+_END[list(b".!?")] = True
 
 
 def _sums(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -75,7 +88,8 @@ def statistics(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     place = np.minimum(place, len(w.buf))
     inside = ~w.space
     lines = np.array([duplicate_lines(t) for t in w.texts], np.int64).reshape(-1, 2)
-    h = window_hashes(w.hashes(), 3)
+    words = w.hashes()
+    h = window_hashes(words, 3)
     ok = w.window_starts(3)
     at = np.flatnonzero(ok)
     _, which, times = np.unique(mix(h[at] + mix(w.doc[at].astype(np.uint64))), return_inverse=True, return_counts=True)
@@ -84,8 +98,21 @@ def statistics(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     step[again] += 1
     step[again + 3] -= 1
     repeated = np.cumsum(step)[: len(w.doc)] > 0
+    size = w.end - w.start
+    longest = np.zeros(len(n), np.int64)
+    some = np.flatnonzero(n)
+    if len(some):
+        longest[some] = np.maximum.reduceat(size, w.first[some])
+    marked = np.add.reduceat(_SYMBOL[w.buf], w.start) > 0 if len(w.start) else np.zeros(0, bool)
+    distinct = np.bincount(w.doc[np.unique(mix(words + mix(w.doc.astype(np.uint64))), return_index=True)[1]], minlength=len(n))
     return {
         "n_words": n,
+        "n_marked": _sums(marked, w.first),
+        "n_distinct": distinct,
+        "n_letters": _sums(_LETTER[w.buf] & ((w.buf & 0xC0) != 0x80), place),
+        "n_digits": _sums(_DIGIT[w.buf], place),
+        "n_ends": _sums(_END[w.buf], place),
+        "longest": longest,
         "word_chars": _sums(inside & ((w.buf & 0xC0) != 0x80), place),
         "n_symbols": _sums(_SYMBOL[w.buf], place),
         "n_lines": lines[:, 0],
@@ -102,47 +129,70 @@ def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
 
 def votes(s: dict[str, np.ndarray], rules: dict = RULES) -> list[str]:
     """A letter a rule: + good, - bad, 0 abstains."""
-    words = np.maximum(s["n_words"], 1)
+    words, chars = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1)
     value = {
-        "symbols": s["n_symbols"] / words,
-        "shouts": s["n_shouts"] / words,
-        "upper": s["n_upper"] / np.maximum(s["word_chars"], 1),
-        "repeats": s["n_repeat_words"] / words,
-        "dup_lines": s["n_dup_lines"] / np.maximum(s["n_lines"], 1),
-        "symbol_share": s["n_symbols"] / np.maximum(s["word_chars"], 1),
-        "length_off": np.abs(s["word_chars"] / words - USUAL_WORD_LENGTH),
+        "symbols a word": s["n_symbols"] / words,
+        "share of words with a symbol": s["n_marked"] / words,
+        "share of letters": s["n_letters"] / chars,
+        "share of digits": s["n_digits"] / chars,
+        "characters a word": s["word_chars"] / words,
+        "longest word": s["longest"],
+        "share of upper case": s["n_upper"] / chars,
+        "shouts a word": s["n_shouts"] / words,
+        "sentence ends a word": s["n_ends"] / words,
+        "share of repeated windows": s["n_repeat_words"] / words,
+        "share of repeated lines": s["n_dup_lines"] / np.maximum(s["n_lines"], 1),
+        "distinct words by root of words": s["n_distinct"] / np.sqrt(words),
     }
-    value["worst"] = np.max([value[x] / most for x, most in PLAIN.items()], axis=0)
-    never = np.zeros(len(words), bool)
-    letters = np.array([np.where(never if good is None else value[x] <= good, "+", np.where(never if bad is None else value[x] >= bad, "-", "0")) for x, good, bad in rules.values()])
-    return ["".join(x) for x in letters.T]
 
+    def letter(x: np.ndarray, low: float | None, high: float | None, under: float | None, over: float | None) -> np.ndarray:
+        good = (x >= (-np.inf if low is None else low)) & (x <= (np.inf if high is None else high))
+        bad = (x < (-np.inf if under is None else under)) | (x > (np.inf if over is None else over))
+        return np.where(bad, "-", np.where(good, "+", "0"))
+
+    return ["".join(x) for x in np.array([letter(value[rule[0]], *rule[1:]) for rule in rules.values()]).T]
+
+
+@dataclass
+class Estimate:
+    """What the corpus says: the share of good texts, and of each rule how often a vote on a good or a bad text is right."""
+
+    share: float
+    good_right: np.ndarray
+    bad_right: np.ndarray
+    rounds: int = 0
+
+    def posterior(self, patterns: list[str]) -> np.ndarray:
+        """The probability that a text of each pattern is good."""
+        plus, minus = (np.array([[c == mark for c in p] for p in patterns], float).reshape(len(patterns), len(self.good_right)) for mark in "+-")
+        return self._posterior(plus, minus)
+
+    def _posterior(self, plus: np.ndarray, minus: np.ndarray) -> np.ndarray:
+        odds = np.log(self.share / (1 - self.share)) + plus @ np.log(self.good_right / (1 - self.bad_right)) + minus @ np.log((1 - self.good_right) / self.bad_right)
+        return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
-def fit(patterns: dict[str, int], rounds: int = 500, prior: float = 0.8, accuracy: float = 0.95) -> dict[str, float]:
-    """Posterior probability of a good text for each vote pattern, by expectation-maximisation from the counts.
 
-    A rule's accuracy is how often its vote, when it casts one, is the text's class. ``prior`` and ``accuracy`` are beliefs
-    that weigh as BELIEF times the votes cast, and as a tenth of the texts. Rules that vote one way only can't be told
-    from rules that are always wrong by their votes alone; the beliefs keep the classes to their meaning. Texts with a lone
-    bad vote look like good ones to the estimate if there are enough of them, so accuracies stay EDGE above the share.
-    """
+def fit(patterns: dict[str, int], rules: int = len(RULES), rounds: int = 2000) -> Estimate:
+    """Expectation-maximisation from the counts of the vote patterns, until no posterior moves by 1e-10."""
+    now = Estimate(SHARE, np.full(rules, GOOD_RIGHT), np.full(rules, BAD_RIGHT))
     if not patterns:
-        return {}
+        return now
     keys = sorted(patterns)
     count = np.array([patterns[k] for k in keys], float)
-    plus = np.array([[c == "+" for c in k] for k in keys], float)
-    minus = np.array([[c == "-" for c in k] for k in keys], float)
-    cast = count @ (plus + minus)
-    weight, share, rate = BELIEF * np.maximum(cast, 10.0), prior, np.full(plus.shape[1], accuracy)
-    p = np.zeros(len(keys))
-    for _ in range(rounds):
-        odds = np.log(share / (1 - share)) + (plus - minus) @ np.log(rate / (1 - rate))
-        before, p = p, 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
-        if np.abs(p - before).max() < 1e-12:
+    plus, minus = (np.array([[c == mark for c in k] for k in keys], float) for mark in "+-")
+    p = now._posterior(plus, minus)
+    for i in range(1, rounds + 1):
+        good, bad = count * p, count * (1 - p)
+        now = Estimate(
+            float((good.sum() + BELIEF * SHARE) / (count.sum() + BELIEF)),
+            (good @ plus + BELIEF * GOOD_RIGHT) / (good @ (plus + minus) + BELIEF),
+            (bad @ minus + BELIEF * BAD_RIGHT) / (bad @ (plus + minus) + BELIEF),
+            i,
+        )
+        before, p = p, now._posterior(plus, minus)
+        if np.abs(p - before).max() < 1e-10:
             break
-        share = float(np.clip((count @ p + 0.1 * count.sum() * prior) / (1.1 * count.sum()), *SHARE))
-        rate = np.clip((count * p @ plus + count * (1 - p) @ minus + weight * accuracy) / (cast + weight), share + EDGE, 0.999)
-    return dict(zip(keys, p.tolist(), strict=True))
+    return now
 
 
 def vote_patterns(docs: DataFrame, text: str = "text", rules: dict = RULES) -> dict[str, int]:
@@ -162,12 +212,15 @@ def vote_patterns(docs: DataFrame, text: str = "text", rules: dict = RULES) -> d
 
 def score_quality(docs: DataFrame, text: str = "text", rules: dict = RULES, only_kept: bool = False) -> DataFrame:
     """Each row with its counts, votes, posterior ``p_good`` and ``kept``; with only_kept, the rows kept, as they came."""
-    posterior = fit(vote_patterns(docs, text, rules))
+    patterns = vote_patterns(docs, text, rules)
+    estimate = fit(patterns, len(rules))
+    known = sorted(patterns)
+    posterior = dict(zip(known, estimate.posterior(known).tolist(), strict=True))
 
     def judge(texts: list[bytes | None]) -> list[np.ndarray]:
         s = statistics(texts)
         failed, cast = base_failed(s), votes(s, rules)
-        p = np.where(failed, 0.0, [posterior.get(v, 0.5) for v in cast])
+        p = np.where(failed, 0.0, [posterior[v] if v in posterior else float(estimate.posterior([v])[0]) for v in cast])
         counts = [s[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         return [*counts, failed, np.array(cast, object), p, ~failed & (p >= 0.5)]
 
