@@ -2,6 +2,7 @@ import base64
 import io
 import json
 import re
+import socket
 import urllib.error
 import urllib.request
 
@@ -42,7 +43,7 @@ def test_http(store):
         assert len(json.loads(call(server, "GET", "/scan?start=&end=")[1])) == 2
         assert [base64.b64decode(r["key"]) for r in json.loads(call(server, "GET", "/scan?start=b&end=c")[1])] == [b"b/c"]
         assert json.loads(call(server, "GET", "/scan?start=x")[1]) == []
-        for bad in ("-1", "x", "1.5"):
+        for bad in ("-1", "x", "1.5", "%2B%2B5", "%2B"):
             assert call(server, "GET", f"/scan?limit={bad}")[0] == 400
         assert call(server, "DELETE", "/kv/a")[0] == 204 and call(server, "GET", "/kv/a")[0] == 404
         assert json.loads(call(server, "GET", "/stats")[1])["memtable_entries"] == 2
@@ -62,6 +63,41 @@ def test_body_limit(store, monkeypatch):
         server.shutdown()
 
 
+def raw(server, request):
+    with socket.create_connection(server.server_address[:2], timeout=20) as s:
+        s.sendall(request)
+        s.shutdown(socket.SHUT_WR)
+        return b"".join(iter(lambda: s.recv(1 << 16), b""))
+
+
+def test_bodies_of_unknown_length(store, monkeypatch):
+    server = serve.start(store, "127.0.0.1:0")
+    head = b"PUT /kv/a HTTP/1.1\r\nHost: x\r\nTransfer-Encoding: chunked\r\n\r\n"
+    try:
+        assert b" 204 " in raw(server, head + b"3;x=y\r\nab\n\r\n2\r\ncd\r\n0\r\nTrailer: 1\r\n\r\n") and store.get(b"a") == b"ab\ncd"
+        for bad in (b"zz\r\n", b"5\r\nab", b"2\r\nabcd\r\n0\r\n\r\n", b"-1\r\n", b""):
+            assert b" 400 " in raw(server, head + bad)
+        monkeypatch.setattr(serve, "LARGEST_BODY", 4)
+        assert b" 413 " in raw(server, head + b"3\r\nabc\r\n3\r\nabc\r\n0\r\n\r\n")
+        assert b" 400 " in raw(server, b"PUT /kv/a HTTP/1.1\r\nContent-Length: x\r\n\r\n")
+        assert b" 400 " in raw(server, b"PUT /kv/a HTTP/1.1\r\nContent-Length: 4\r\n\r\nab")
+        assert b" 501 " in raw(server, b"PUT /kv/a HTTP/1.1\r\nTransfer-Encoding: gzip\r\n\r\n")
+        assert store.get(b"a") == b"ab\ncd"
+    finally:
+        server.shutdown()
+
+
+def test_long_scans_come_in_chunks(store, monkeypatch):
+    monkeypatch.setattr(serve, "ROWS_A_CHUNK", 3)
+    for i in range(8):
+        store.put(b"k%d" % i, b"v")
+    server = serve.start(store, "127.0.0.1:0")
+    try:
+        assert len(json.loads(call(server, "GET", "/scan")[1])) == 8 and json.loads(call(server, "GET", "/scan?start=z")[1]) == []
+    finally:
+        server.shutdown()
+
+
 def test_metrics_follow_operations(store):
     for i in range(20):
         store.put(f"k{i}".encode(), b"v")

@@ -101,9 +101,13 @@ def test_histogram(spark):
 
 
 def test_order_check(spark):
-    good = stats.check_order(log(spark, [("a", 1, "x"), ("a", 2, "y")])).first()
-    assert (good.num_rows, good.num_seqs, good.violations) == (2, 2, 0)
-    assert stats.check_order(log(spark, [("a", 1, "x"), ("a", 1, "y")])).first().violations == 1
+    def violations(*placed):
+        rows = spark.createDataFrame([(run, i, *row) for run, i, *row in placed], "run string, place int, key binary, seq long")
+        return tuple(stats.check_order(rows, "run", "place").first())
+
+    assert violations(("r", 0, b"a", 2), ("r", 1, b"a", 1), ("r", 2, b"b", 9), ("s", 0, b"a", 7)) == (4, 2, 0)
+    assert violations(("r", 0, b"a", 1), ("r", 1, b"a", 2)) == violations(("r", 0, b"b", 1), ("r", 1, b"a", 2)) == violations(("r", 0, b"a", 1), ("r", 1, b"a", 1)) == (2, 1, 1)
+    assert violations() == (0, 0, 0)
 
 
 def test_size_estimate_and_distinct_keys(spark):

@@ -3,12 +3,12 @@ from pyspark.sql import functions as F
 
 from tests.logs import log, rows
 from tidemark.functions.codec import typed
-from tidemark.model import ClosedError, CorruptLogError, EmptyKeyError, NotFoundError, OrderError, StoreError, StoreOptions
+from tidemark.model import ClosedError, ConflictError, CorruptLogError, EmptyKeyError, NotFoundError, OrderError, StoreError, StoreOptions
 from tidemark.operators.compact import Run, is_bottommost, level_target, pick
 from tidemark.plans.manifest import load
 from tidemark.plans.store import Store
 from tidemark.sources.files import Files
-from tidemark.sources.runs import ordered, read_runs, verify_run, write_run
+from tidemark.sources.runs import read_runs, verify_run, write_run
 from tidemark.sources.wal import Record, frame, parse, read_wal
 
 
@@ -173,7 +173,9 @@ def test_batches(spark, store):
     found = store.multi_get(spark.createDataFrame([(b"k000",), (b"absent",)], "key binary"))
     assert sorted(rows(found), key=repr) == [(b"absent", None, False), (b"k000", b"back", True)]
     assert store.metrics.puts.value == 303 and store.metrics.deletes.value == 2
-    verify_run(store.log())
+    for run in store._manifest.runs:
+        verify_run(spark, store._files.full(run.path))
+    assert sorted(r.seq for r in store.log().select("seq").collect()) == list(range(1, 306))
 
 
 def test_batches_reject_empty_keys_and_unknown_ops(spark, store):
@@ -203,6 +205,10 @@ def test_load_log(spark, store):
     with pytest.raises(StoreError):
         store.load_log(log(spark, [("a", 9, "x")]))
     store.load_log(log(spark, []))
+    with pytest.raises(OrderError):
+        store.load_log(log(spark, [("c", 20, "x"), ("c", 20, "y")]))
+    store.load_log(log(spark, [("c", 20, "x"), ("d", 20, "y")]))
+    assert scanned(store) == [("b", "y"), ("c", "x"), ("d", "y")]
 
 
 def test_errors_and_closing(spark, tmp_path):
@@ -235,16 +241,85 @@ def test_compression_option(spark, tmp_path):
     assert sizes[True] < sizes[False]
 
 
-def test_conflicting_writers(spark, tmp_path):
-    from tidemark.model import ConflictError
+def test_a_later_owner_keeps_all_acknowledged_writes(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    first = Store(spark, path)
+    first.put(b"a", b"1")
+    first.flush()
+    first.put(b"b", b"1")
+    second = Store(spark, path)
+    assert scanned(second) == [("a", "1"), ("b", "1")]
+    for call in (lambda: first.put(b"c", b"1"), first.flush, first.compact, first.vacuum, lambda: first.load_log(log(spark, [("x", 99, "y")]))):
+        with pytest.raises(ConflictError):
+            call()
+    first.close()
+    second.put(b"c", b"2")
+    second.close()
+    with Store(spark, path) as again:
+        assert scanned(again) == [("a", "1"), ("b", "1"), ("c", "2")]
+
+
+def test_an_owner_that_commits_while_another_opens(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/s"
+    first = Store(spark, path)
+    first.put(b"a", b"1")
+    flush, raced = Store._flush, []
+
+    def between(self):
+        if self is not first and not raced:
+            raced.append(True)
+            flush(first)
+        flush(self)
+
+    monkeypatch.setattr(Store, "_flush", between)
+    with Store(spark, path) as second:
+        assert raced and scanned(second) == [("a", "1")] and second.log().count() == 1
+
+
+def test_reading_only(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    with Store(spark, path) as s:
+        s.put(b"a", b"1")
+        s.flush()
+        s.put(b"b", b"1")
+        with Store(spark, path, read_only=True) as reader:
+            assert scanned(reader) == [("a", "1"), ("b", "1")] and reader.get(b"b") == b"1"
+            for call in (lambda: reader.put(b"c", b"1"), reader.compact, reader.vacuum):
+                with pytest.raises(StoreError):
+                    call()
+        s.put(b"c", b"1")
+        assert len(scanned(s)) == 3
+
+
+def test_only_one_of_several_creates_a_file(spark, tmp_path):
+    files = Files(spark, f"{tmp_path}/f")
+    files.make("x")
+    assert [files.create("x/1", b"a"), files.create("x/1", b"b"), files.read("x/1"), files.names("x")] == [True, False, b"a", ["1"]]
 
-    a, b = Store(spark, f"{tmp_path}/s"), Store(spark, f"{tmp_path}/s")
-    a.put(b"k", b"a")
-    a.flush()
-    b._memory.clear()
-    b._remember(Record(b"k", 1, 1, b"b"))
-    with pytest.raises(ConflictError):
-        b.flush()
+
+def test_a_flush_during_a_get(spark, store, monkeypatch):
+    store.put(b"k", b"1")
+    store.flush()
+    store.put(b"k", b"2")
+    real = store._get
+
+    def late(*args):
+        store.flush()
+        return real(*args)
+
+    monkeypatch.setattr(store, "_get", late)
+    assert store.get(b"k") == b"2"
+
+
+def test_rows_keep_what_they_read(spark, store):
+    for i in range(3):
+        store.put(b"k%d" % i, b"v")
+        store.flush()
+    walk = store.rows()
+    first = next(walk)
+    store.compact()
+    store.vacuum()
+    assert [first, *walk] == [(b"k%d" % i, b"v") for i in range(3)] and not store._pins
 
 
 def test_threads(spark, tmp_path):
@@ -298,11 +373,16 @@ def test_runs(spark, tmp_path):
     write_run(many, files, "many", 0, 3, StoreOptions(file_bytes=1000), 5000)
     spans = read_runs(spark, [files.full("many")]).groupBy(F.input_file_name()).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("lo").collect()
     assert len(spans) == 5 and all(a.hi < b.lo for a, b in zip(spans, spans[1:], strict=False))
-    with pytest.raises(OrderError):
-        ordered([(b"k", 1), (b"k", 2)])
-    ordered([(b"a", 2), (b"a", 1), (b"b", 9)])
-    with pytest.raises(OrderError):
-        verify_run(log(spark, [("k", 1, "x"), ("k", 1, "y")]))
+    verify_run(spark, files.full("many"))
+    made = write_run(many, files, "more", 0, 3, StoreOptions(file_bytes=1000), 5000)
+    assert len(made.files) == 5 and len(made.paths(b"k00700", b"k00700\0")) == 1 and made.paths(b"x", None) == []
+    hot = spark.range(2000).select(F.lit(b"k").alias("key"), F.col("id").alias("seq"), F.lit(1).alias("op"), F.lit(b"v").alias("value"))
+    assert len(write_run(hot, files, "hot", 0, 4, StoreOptions(file_bytes=1000), 5000).files) == 5
+    verify_run(spark, files.full("hot"))
+    for bad in ([("k", 1, "x"), ("k", 1, "y")], [("k", 1, "x"), ("k", 2, "y")], [("k", 1, "x"), ("a", 2, "y")]):
+        log(spark, bad).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/bad")
+        with pytest.raises(OrderError):
+            verify_run(spark, f"{tmp_path}/bad")
 
 
 def test_log_frames(spark, tmp_path):

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tests.logs import rows
 from tidemark.plans.store import Store
-from tidemark.streaming.ingest import ingest, live_counts
+from tidemark.streaming.ingest import ingest, live_counts, stream_id
 
 SCHEMA = "i long, key string, value string, op int"
 
@@ -25,11 +25,21 @@ def test_ingest_writes_each_batch_once(spark, tmp_path):
     assert rows(store.scan()) == [(b"a", b"2")]
     n = store.log().count()
     # the same batch number again, as after a crash between the store's commit and the checkpoint's
-    assert not store.apply(spark.createDataFrame([(b"a", 1, b"x", 9)], "key binary, op int, value binary, i long"), "i", ("ingest", 1))
+    stream = stream_id(spark, checkpoint)
+    assert not store.apply(spark.createDataFrame([(b"a", 1, b"x", 9)], "key binary, op int, value binary, i long"), "i", (stream, 1))
     assert store.log().count() == n and rows(store.scan()) == [(b"a", b"2")]
     store.close()
     with Store(spark, f"{tmp_path}/store") as again:
-        assert again._manifest.batches == {"ingest": 1}
+        assert again._manifest.batches == {stream: 1}
+
+
+def test_streams_of_the_same_name(spark, tmp_path):
+    """What tells streams apart is their checkpoint."""
+    with Store(spark, f"{tmp_path}/store") as store:
+        for i, items in enumerate([[(1, "a", "1", 1)], [(1, "b", "1", 1), (2, "c", "1", 1)]]):
+            add(spark, f"{tmp_path}/in{i}", items)
+            ingest(store, source(spark, f"{tmp_path}/in{i}"), "i", f"{tmp_path}/checkpoint{i}").awaitTermination()
+        assert [k for k, _ in rows(store.scan())] == [b"a", b"b", b"c"]
 
 
 def test_windowed_counts(spark, tmp_path):

@@ -48,6 +48,17 @@ class Run:
     min_key: bytes
     max_key: bytes
     max_seq: int
+    #: (name, least key, largest key) of each file, keys in hexadecimal; none if there are too many to list.
+    files: tuple[tuple[str, str, str], ...] = ()
+
+    def paths(self, start: bytes | None, end: bytes | None) -> list[str]:
+        """The files that may hold keys from start up to, without, end."""
+        if not self.overlaps(start, end):
+            return []
+        if not self.files:
+            return [self.path]
+        low, high = (None if k is None else k.hex() for k in (start, end))
+        return [f"{self.path}/{name}" for name, least, most in self.files if (low is None or most >= low) and (high is None or least < high)]
 
     def overlaps(self, start: bytes | None, end: bytes | None) -> bool:
         return (start is None or self.max_key >= start) and (end is None or self.min_key < end)

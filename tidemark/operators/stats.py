@@ -25,15 +25,13 @@ def run_stats(log: DataFrame, run: str) -> DataFrame:
     )
 
 
-def check_order(log: DataFrame, order: Column | None = None) -> DataFrame:
-    """Rows, distinct seqs, and versions that aren't older than the one before them in their key; a valid run has none."""
-    walk = Window.partitionBy("key").orderBy(order if order is not None else F.col("seq").desc())
-    step = log.withColumn("_before", F.lag("seq").over(walk))
-    return step.agg(
-        F.count(F.lit(1)).alias("num_rows"),
-        F.countDistinct("seq").alias("num_seqs"),
-        F.count(F.when(F.col("_before") <= F.col("seq"), 1)).alias("violations"),
-    )
+def check_order(log: DataFrame, run: str | Column, place: str | Column) -> DataFrame:
+    """Rows, runs, and rows that don't come after the row placed before them in their run: by key, then from new to old."""
+    walk = Window.partitionBy("_run").orderBy("_place")
+    placed = log.select("key", "seq", (F.col(run) if isinstance(run, str) else run).alias("_run"), (F.col(place) if isinstance(place, str) else place).alias("_place"))
+    step = placed.withColumn("_key", F.lag("key").over(walk)).withColumn("_seq", F.lag("seq").over(walk))
+    late = (F.col("key") < F.col("_key")) | ((F.col("key") == F.col("_key")) & (F.col("seq") >= F.col("_seq")))
+    return step.agg(F.count(F.lit(1)).alias("num_rows"), F.countDistinct("_run").alias("num_runs"), F.count(F.when(late, 1)).alias("violations"))
 
 
 def entry_size() -> Column:
@@ -56,8 +54,8 @@ def level_layout(spark: SparkSession, runs: DataFrame, options: StoreOptions) ->
     target = F.when(F.col("level") > 0, (F.lit(options.base_level_bytes) * F.pow(F.lit(options.level_multiplier), F.col("level") - 1)).cast("long"))
     n, size = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("bytes", F.lit(0)).cast("long")
     due = F.when(F.col("level") == 0, n >= options.l0_trigger).otherwise((F.col("level") < options.max_levels - 1) & (size > target))
-    # the spine has as many rows as there are levels
-    return F.broadcast(spine).join(sums, "level", "left").select("level", n.alias("num_runs"), size.alias("size_bytes"), target.alias("target_bytes"), due.alias("needs_compaction"))
+    # sums has as many rows as there are levels at most
+    return spine.join(F.broadcast(sums), "level", "left").select("level", n.alias("num_runs"), size.alias("size_bytes"), target.alias("target_bytes"), due.alias("needs_compaction"))
 
 
 def tables_per_level(layout: DataFrame) -> DataFrame:

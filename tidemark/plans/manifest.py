@@ -30,7 +30,7 @@ class Manifest:
     @staticmethod
     def decode(data: bytes) -> Manifest:
         raw = json.loads(data)
-        raw["runs"] = tuple(Run(**(r | {"min_key": bytes.fromhex(r["min_key"]), "max_key": bytes.fromhex(r["max_key"])})) for r in raw["runs"])
+        raw["runs"] = tuple(Run(**(r | {"min_key": bytes.fromhex(r["min_key"]), "max_key": bytes.fromhex(r["max_key"]), "files": tuple(map(tuple, r.get("files", ())))})) for r in raw["runs"])
         return Manifest(**raw)
 
 
@@ -42,14 +42,12 @@ def load(files: Files) -> Manifest | None:
 def commit(files: Files, manifest: Manifest) -> Manifest:
     """Publish the next version; ConflictError if another writer took its number."""
     new = replace(manifest, version=manifest.version + 1)
-    draft, name = f"{FOLDER}/.draft-{new.version:020d}", f"{FOLDER}/{new.version:020d}.json"
-    files.write(draft, new.encode())
-    if not files.publish(draft, name):
+    if not files.create(f"{FOLDER}/{new.version:020d}.json", new.encode()):
         raise ConflictError(f"version {new.version} exists")
     return new
 
 
 def expire(files: Files, keep: int) -> None:
     """Delete old versions but for the last ``keep``."""
-    for name in files.names(FOLDER)[:-keep]:
+    for name in [n for n in files.names(FOLDER) if n.endswith(".json")][:-keep]:
         files.delete(f"{FOLDER}/{name}")

@@ -14,22 +14,24 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import replace
 from functools import wraps
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.metrics import Registry, StoreMetrics
-from tidemark.model import LOG_COLUMNS, LOG_SCHEMA, TOMBSTONE, VALUE, ClosedError, ConflictError, EmptyKeyError, NotFoundError, StoreError, StoreOptions, check_key
+from tidemark.model import LOG_COLUMNS, LOG_SCHEMA, TOMBSTONE, VALUE, ClosedError, ConflictError, EmptyKeyError, NotFoundError, OrderError, StoreError, StoreOptions, check_key
 from tidemark.operators import compact, resolve
 from tidemark.operators.stats import ENTRY_OVERHEAD, entry_size
 from tidemark.plans import manifest as manifests
 from tidemark.plans.manifest import Manifest
 from tidemark.sources.files import Files
-from tidemark.sources.runs import read_runs, write_run
+from tidemark.sources.runs import read_runs, repeats, write_run
 from tidemark.sources.wal import Record, Wal, parse
 
 #: Manifest versions kept for readers that are behind.
 KEPT_VERSIONS = 20
+OWNERS, OPEN_ATTEMPTS = "owners", 5
 
 
 def run_name(level: int, gen: int) -> str:
@@ -74,6 +76,7 @@ class Snapshot:
         if not self._closed:
             self._closed = True
             self._store._unpin(self)
+            self._store.metrics.active_snapshots.inc(-1)
 
     def __enter__(self) -> Snapshot:
         return self
@@ -83,23 +86,54 @@ class Snapshot:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, options: StoreOptions | None = None, registry: Registry | None = None):
+    """An open store. The last one that opens a folder for writing owns it: writes of an earlier one raise ConflictError.
+
+    Owners are numbered by files that only one opener can make. A write is acknowledged if no later owner is there after
+    the write is synced, and an owner reads the logs after it has its number, so it finds all that was acknowledged.
+    With ``read_only`` nothing is taken over, recovered or deleted; reads see the state at the opening, logs included.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, options: StoreOptions | None = None, registry: Registry | None = None, read_only: bool = False):
         self.spark, self.options, self.registry = spark, options or StoreOptions(), registry or Registry()
         self.metrics = StoreMetrics(self.registry)
         self._lock = threading.RLock()
         self._pins: list[Snapshot] = []
         self._closed = False
         self._files = Files(spark, path)
-        for folder in (manifests.FOLDER, "wal", "runs"):
-            self._files.make(folder)
+        self._wal: Wal | None = None
+        self.read_only, self._owner = read_only, 0
+        if not read_only:
+            for folder in (manifests.FOLDER, "wal", "runs", OWNERS):
+                self._files.make(folder)
+            while not self._files.create(f"{OWNERS}/{self._last_owner() + 1:020d}", b""):
+                pass
+            self._owner = self._last_owner()
+        for attempt in range(OPEN_ATTEMPTS):
+            self._load()
+            try:
+                self._recover()
+                break
+            except ConflictError:
+                # an earlier owner committed what it had in memory meanwhile
+                if attempt == OPEN_ATTEMPTS - 1 or self._last_owner() != self._owner:
+                    raise
+
+    def _load(self) -> None:
         found = manifests.load(self._files)
         if found and found.max_levels > self.options.max_levels:
             raise StoreError(f"the store has {found.max_levels} levels, the options only {self.options.max_levels}")
         self._manifest = replace(found or Manifest(), max_levels=self.options.max_levels)
         self._seq = self._manifest.max_seq
         self._reset_memory()
-        self._wal: Wal | None = None
-        self._recover()
+
+    def _last_owner(self) -> int:
+        return max((int(n) for n in self._files.names(OWNERS) if n.isdigit()), default=0)
+
+    def _check_owner(self) -> None:
+        if self.read_only:
+            raise StoreError("the store is open for reading only")
+        if self._last_owner() != self._owner:
+            raise ConflictError("the store was opened for writing again")
 
     # memory and its log
 
@@ -114,10 +148,15 @@ class Store:
             for record in parse(self._files.read(f"wal/{name}")):
                 if record.seq > self._manifest.max_seq:
                     self._remember(record)
+        if self.read_only:
+            return
         if self._memory:
             self._flush()
         for name in names:
             self._files.delete(f"wal/{name}")
+        for name in self._files.names(OWNERS):
+            if name.isdigit() and int(name) < self._owner:
+                self._files.delete(f"{OWNERS}/{name}")
 
     def _remember(self, record: Record) -> None:
         self._memory.append(record)
@@ -129,10 +168,12 @@ class Store:
     @_open_only
     def _write(self, key: bytes, op: int, value: bytes | None) -> None:
         if self._wal is None:
+            self._check_owner()
             # the number is taken by the manifest's next commit
-            self._wal = Wal(self._files, f"wal/{self._manifest.next_gen:020d}.wal")
+            self._wal = Wal(self._files, f"wal/{self._owner:020d}-{self._manifest.next_gen:020d}.wal")
         record = Record(key, self._seq + 1, op, value)
         self._wal.append(record)
+        self._check_owner()
         self._remember(record)
         if self._memory_bytes >= self.options.flush_threshold:
             self.flush()
@@ -157,8 +198,9 @@ class Store:
     @_open_only
     def flush(self) -> None:
         """Write what is in memory as a run of level 0."""
-        if not self._memory:
+        if not self._memory or self.read_only:
             return
+        self._check_owner()
         self._flush()
         if self._wal is not None:
             self._wal.close()
@@ -198,30 +240,39 @@ class Store:
     def apply(self, mutations: DataFrame, order_by: str | Column, batch: tuple[str, int] | None = None) -> bool:
         """Write a batch of (key, op, value) in the order of ``order_by``; False if this stream's batch is in the store.
 
-        Rows are range-partitioned by the order and numbered within it, so seqs go up with the order but have gaps. Rows
-        that tie in the order get either order.
+        Rows are range-partitioned by the order and numbered within each partition; with the partitions' counts that gives
+        seqs without gaps. Rows that tie in the order get either order.
         """
         if batch and self._manifest.batches.get(batch[0], -1) >= batch[1]:
             return False
+        self._check_owner()
         self.flush()
         order = F.col(order_by) if isinstance(order_by, str) else order_by
         first = self._seq
         rows = mutations.select(order.alias("_order"), F.col("key").cast("binary").alias("key"), F.col("op").cast("int").alias("op"), F.col("value").cast("binary").alias("value"))
         checked = rows.select("_order", F.when(F.octet_length("key") > 0, F.col("key")).otherwise(F.raise_error("key must not be empty").cast("binary")).alias("key"), "op", "value")
-        numbered = checked.repartitionByRange("_order").sortWithinPartitions("_order").withColumn("seq", F.monotonically_increasing_id() + first + 1)
+        sorted_ = checked.repartitionByRange("_order").sortWithinPartitions("_order")
+        numbered = sorted_.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         value = F.when(F.col("op") == VALUE, F.coalesce("value", F.lit(b"")))
         gen = self._manifest.next_gen
         # the numbering is fixed by writing it once; sorting by key is a second step on what was written
         draft = f"runs/.draft-{gen:020d}-{uuid.uuid4().hex[:12]}"
         try:
-            numbered.select("key", "seq", "op", value.alias("value")).write.parquet(self._files.full(draft))
+            numbered.select("key", "op", value.alias("value"), "part", "nth").write.parquet(self._files.full(draft))
         except Exception as error:
             self._files.delete(draft)
             if "key must not be empty" in str(error):
                 raise EmptyKeyError from None
             raise
-        log = read_runs(self.spark, [self._files.full(draft)])
-        ops = {r["op"]: r["count"] for r in log.groupBy("op").count().collect()}
+        written = self.spark.read.schema("key binary, op int, value binary, part int, nth long").parquet(self._files.full(draft))
+        # a row a partition and op
+        counts, ops, parts = written.groupBy("part", "op").count().orderBy("part").collect(), {}, {}
+        for row in counts:
+            ops[row["op"]] = ops.get(row["op"], 0) + row["count"]
+            parts[row["part"]] = parts.get(row["part"], 0) + row["count"]
+        before = [first + 1, *accumulate(parts.values(), initial=first + 1)][1:-1] if parts else []
+        offsets = self.spark.createDataFrame(list(zip(parts, before, strict=True)), "part int, offset long")
+        log = written.join(F.broadcast(offsets), "part").select("key", (F.col("offset") + F.col("nth")).alias("seq"), "op", "value")
         if set(ops) - {VALUE, TOMBSTONE}:
             self._files.delete(draft)
             raise StoreError(f"op must be {VALUE} or {TOMBSTONE}")
@@ -241,19 +292,22 @@ class Store:
     @_open_only
     def load_log(self, log: DataFrame) -> None:
         """Add a log that has its own seqs, all above those in the store."""
+        self._check_owner()
         self.flush()
         low, high, size = log.agg(F.min("seq"), F.max("seq"), F.sum(entry_size())).first()
         if low is None:
             return
         if low <= self._seq:
             raise StoreError(f"seqs must be above {self._seq}")
+        if not repeats(log).isEmpty():
+            raise OrderError("a log must hold each version, (key, seq), once")
         self._add_run(log.select(*LOG_COLUMNS), size, high)
         self.maintain()
 
     # reads
 
     def _log(self, runs, memory, start: bytes | None, end: bytes | None, seq: int | None) -> DataFrame:
-        paths = [self._files.full(r.path) for r in runs if r.overlaps(start, end)]
+        paths = [self._files.full(p) for r in runs for p in r.paths(start, end)]
         sources = [read_runs(self.spark, paths)] if paths or not memory else []
         recent = [r for r in memory if (start is None or r.key >= start) and (end is None or r.key < end)]
         log = resolve.merge_sources(*sources, *([self._frame(recent)] if recent or not sources else []))
@@ -264,11 +318,11 @@ class Store:
         """Every version in the store."""
         return self._log(self._manifest.runs, self._memory, None, None, None)
 
-    def _recorded_get(self, key: bytes, runs, memory, seq: int | None) -> bytes:
+    def _recorded_get(self, key: bytes, runs, memory, seq: int | None, newest: dict[bytes, Record] | None = None) -> bytes:
         began = time.perf_counter()
         self.metrics.gets.inc()
         try:
-            value = self._get(key, runs, memory, seq)
+            value = self._get(key, runs, memory, seq, newest)
             self.metrics.get_hits.inc()
             return value
         except NotFoundError:
@@ -277,30 +331,30 @@ class Store:
         finally:
             self.metrics.get_seconds.observe(time.perf_counter() - began)
 
-    def _get(self, key: bytes, runs, memory, seq: int | None) -> bytes:
+    def _get(self, key: bytes, runs, memory, seq: int | None, newest: dict[bytes, Record] | None) -> bytes:
         key = check_key(key)
-        # versions in memory are newer than all runs
-        if seq is None and memory is self._memory:
-            mine = [self._newest[key]] if key in self._newest else []
+        # versions in memory are newer than all runs; ``newest`` was taken together with them
+        if newest is not None:
+            mine = [newest[key]] if key in newest else []
         else:
             mine = [r for r in memory if r.key == key and (seq is None or r.seq <= seq)]
         if mine:
-            newest = max(mine, key=lambda r: r.seq)
-            if newest.op == TOMBSTONE:
+            last = max(mine, key=lambda r: r.seq)
+            if last.op == TOMBSTONE:
                 raise NotFoundError
-            return newest.value or b""
-        near = [r for r in runs if r.min_key <= key <= r.max_key]
-        row = resolve.get(read_runs(self.spark, [self._files.full(r.path) for r in near]), key, seq).first() if near else None
+            return last.value or b""
+        near = [self._files.full(p) for r in runs for p in r.paths(key, key + b"\0")]
+        row = resolve.get(read_runs(self.spark, near), key, seq).first() if near else None
         if row is None:
             raise NotFoundError
         return bytes(row["value"])
 
     def get(self, key: bytes) -> bytes:
         with self._lock:
-            closed, runs, memory = self._closed, self._manifest.runs, self._memory
+            closed, runs, memory, newest = self._closed, self._manifest.runs, self._memory, self._newest
         if closed:
             raise ClosedError
-        return self._recorded_get(key, runs, memory, None)
+        return self._recorded_get(key, runs, memory, None, newest)
 
     @_open_only
     def scan(self, start: bytes | None = None, end: bytes | None = None, limit: int = 0) -> DataFrame:
@@ -316,8 +370,25 @@ class Store:
         return live
 
     def rows(self, start: bytes | None = None, end: bytes | None = None, limit: int = 0) -> Iterator[tuple[bytes, bytes]]:
-        """The same, a partition at a time to the driver."""
-        return ((bytes(r["key"]), bytes(r["value"])) for r in self.scan(start, end, limit).toLocalIterator())
+        """The same, a partition at a time to the driver; what it reads stays until it ends."""
+        if limit < 0:
+            raise ValueError("limit must not be negative")
+        self.metrics.scans.inc()
+        pin = self._pin()
+
+        def walk() -> Iterator[tuple[bytes, bytes]]:
+            try:
+                for r in resolve.scan(pin.log(start, end), start, end, pin.seq, limit).toLocalIterator():
+                    yield bytes(r["key"]), bytes(r["value"])
+            finally:
+                self._unpin(pin)
+
+        return walk()
+
+    @_open_only
+    def _pin(self) -> Snapshot:
+        self._pins.append(Snapshot(self, self._seq, self._manifest.runs, tuple(self._memory)))
+        return self._pins[-1]
 
     @_open_only
     def multi_get(self, keys: DataFrame) -> DataFrame:
@@ -325,8 +396,7 @@ class Store:
 
     @_open_only
     def snapshot(self) -> Snapshot:
-        pin = Snapshot(self, self._seq, self._manifest.runs, tuple(self._memory))
-        self._pins.append(pin)
+        pin = self._pin()
         self.metrics.snapshots_opened.inc()
         self.metrics.active_snapshots.inc()
         return pin
@@ -334,7 +404,6 @@ class Store:
     def _unpin(self, pin: Snapshot) -> None:
         with self._lock:
             self._pins.remove(pin)
-            self.metrics.active_snapshots.inc(-1)
 
     def keep_seq(self) -> int | None:
         """The oldest seq that a snapshot reads at; None without snapshots."""
@@ -354,6 +423,7 @@ class Store:
     @_open_only
     def compact(self, plan: compact.Plan | None = None) -> None:
         """One compaction; without a plan, of all runs to the deepest level in use."""
+        self._check_owner()
         if plan is None:
             self.flush()
             if not self._manifest.runs:
@@ -377,6 +447,7 @@ class Store:
     @_open_only
     def vacuum(self) -> list[str]:
         """Delete runs that neither the manifest nor an open snapshot names; scans made before may then fail."""
+        self._check_owner()
         used = {r.path.removeprefix("runs/") for r in self._manifest.runs} | {r.path.removeprefix("runs/") for p in self._pins for r in p.runs}
         gone = [n for n in self._files.names("runs") if n not in used]
         for name in gone:
@@ -410,7 +481,12 @@ class Store:
         with self._lock:
             if self._closed:
                 return
-            self.flush()
+            try:
+                self.flush()
+            except ConflictError:
+                # the later owner has read from the log what is in memory here
+                if self._last_owner() == self._owner:
+                    raise
             self._closed = True
 
     def __enter__(self) -> Store:

@@ -5,16 +5,18 @@ from __future__ import annotations
 import base64
 import json
 import logging
+import re
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import chain
 from urllib.parse import parse_qs, unquote_to_bytes, urlsplit
 
-from tidemark.model import ClosedError, EmptyKeyError, NotFoundError
+from tidemark.model import ClosedError, ConflictError, EmptyKeyError, NotFoundError
 from tidemark.plans.store import Store
 
-LARGEST_BODY = 64 << 20
-_STATUS = {NotFoundError: 404, EmptyKeyError: 400, ClosedError: 503}
+LARGEST_BODY, ROWS_A_CHUNK = 64 << 20, 500
+_STATUS = {NotFoundError: 404, EmptyKeyError: 400, ClosedError: 503, ConflictError: 503}
 
 
 class _Handler(BaseHTTPRequestHandler):
@@ -58,14 +60,49 @@ class _Handler(BaseHTTPRequestHandler):
             self._fail(500, "internal error")
         self.logger.info("http request method=%s path=%s status=%d duration_ms=%d", self.command, url.path, self.status, (time.perf_counter() - began) * 1000)
 
+    def _body(self) -> bytes | None:
+        """The request's body, whole or in chunks; None if that was answered with an error, and the connection ends."""
+        chunked, size = self.headers.get("Transfer-Encoding", "").strip().lower() == "chunked", self.headers.get("Content-Length", "0").strip()
+        status, text, parts, total = 413, "request body too large", [], 0
+        if not chunked and self.headers.get("Transfer-Encoding"):
+            status, text = 501, "unknown transfer encoding"
+        elif not chunked and size.isascii() and size.isdecimal():
+            if int(size) <= LARGEST_BODY:
+                body = self.rfile.read(int(size))
+                if len(body) == int(size):
+                    return body
+                status, text = 400, "request body ends early"
+        elif not chunked:
+            status, text = 400, "invalid length"
+        else:
+            while total <= LARGEST_BODY:
+                head = self.rfile.readline(1 << 10).split(b";")[0].strip()
+                try:
+                    length = int(head, 16) if re.fullmatch(rb"[0-9A-Fa-f]{1,15}", head) else -1
+                    if length < 0 or total + length > LARGEST_BODY:
+                        status, text = (400, "invalid chunk") if length < 0 else (status, text)
+                        break
+                    if not length:
+                        while self.rfile.readline(1 << 16).strip():
+                            pass
+                        return b"".join(parts)
+                    parts.append(self.rfile.read(length))
+                    if len(parts[-1]) < length or self.rfile.read(2) != b"\r\n":
+                        status, text = 400, "invalid chunk"
+                        break
+                    total += length
+                except ValueError:
+                    status, text = 400, "invalid chunk"
+                    break
+        self.close_connection = True
+        self._fail(status, text)
+        return None
+
     def do_PUT(self) -> None:  # noqa: N802
         def routes(url) -> None:
-            size = int(self.headers.get("Content-Length") or 0)
-            if size > LARGEST_BODY:
-                self.close_connection = True
-                self._fail(413, "request body too large")
+            body = self._body()
+            if body is None:
                 return
-            body = self.rfile.read(size)
             key = self._key(url.path)
             if key is None:
                 self._fail(404, "page not found")
@@ -107,11 +144,32 @@ class _Handler(BaseHTTPRequestHandler):
             return text.encode("utf-8", "surrogateescape") or None
 
         limit = query.get("limit", ["0"])[0]
-        if not limit.lstrip("+").isdecimal():
+        if not re.fullmatch(r"\+?[0-9]{1,18}", limit):
             self._fail(400, "invalid limit")
             return
-        rows = self.store.rows(bound("start"), bound("end"), int(limit))
-        self._json([{"key": base64.b64encode(k).decode(), "value": base64.b64encode(v).decode()} for k, v in rows])
+        rows = self.store.rows(bound("start"), bound("end"), min(int(limit), (1 << 31) - 1))
+        first = next(rows, None)
+        self.status = 200
+        self.send_response(200)
+        self.send_header("Content-Type", "application/json")
+        self.send_header("Transfer-Encoding", "chunked")
+        self.end_headers()
+        held = [b"["]
+        try:
+            for i, (k, v) in enumerate(() if first is None else chain([first], rows)):
+                held.append(b"," * (i > 0) + json.dumps({"key": base64.b64encode(k).decode(), "value": base64.b64encode(v).decode()}, separators=(",", ":")).encode())
+                if len(held) == ROWS_A_CHUNK:
+                    self._chunk(b"".join(held))
+                    held = []
+            self._chunk(b"".join([*held, b"]\n"]))
+            self.wfile.write(b"0\r\n\r\n")
+        except Exception:
+            # the answer has begun: it ends without its last chunk
+            self.logger.exception("scan ended early")
+            self.close_connection = True
+
+    def _chunk(self, data: bytes) -> None:
+        self.wfile.write(f"{len(data):x}\r\n".encode() + data + b"\r\n")
 
 
 class _Metrics(BaseHTTPRequestHandler):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,6 +21,10 @@ class Files:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(self.full(name))
 
+    def local(self, name: str) -> str | None:
+        """The path on this machine, if the store is a plain file system of it."""
+        return self._path(name).toUri().getPath() if self._fs.getUri().getScheme() == "file" else None
+
     def make(self, name: str) -> None:
         self._fs.mkdirs(self._path(name))
 
@@ -48,11 +55,30 @@ class Files:
         """A new file's output stream; sync() it after each record."""
         return self._fs.create(self._path(name), True)
 
-    def publish(self, draft: str, name: str) -> bool:
-        """Give a written file its name unless that is taken."""
-        if self.exists(name):
+    def create(self, name: str, data: bytes) -> bool:
+        """A whole new file, or False if the name is taken: of several writers one makes it.
+
+        On this machine by a hard link, elsewhere by a rename, which HDFS and the like refuse if the name is taken.
+        """
+        folder, _, last = name.rpartition("/")
+        draft = f"{folder}/.draft-{last}-{uuid.uuid4().hex}"
+        if (path := self.local(draft)) is None:
+            self.write(draft, data)
+            done = not self.exists(name) and self._fs.rename(self._path(draft), self._path(name))
+            if not done:
+                self.delete(draft)
+            return done
+        with open(path, "xb") as file:
+            file.write(data)
+            file.flush()
+            os.fsync(file.fileno())
+        try:
+            os.link(path, self.local(name))
+        except FileExistsError:
             return False
-        return self._fs.rename(self._path(draft), self._path(name))
+        finally:
+            os.unlink(path)
+        return True
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -11,19 +11,33 @@ from tidemark.operators.stats import check_order
 from tidemark.sources.files import Files
 
 
+#: Files of a run up to which the manifest lists their key ranges; beyond it Parquet's own statistics do.
+LISTED_FILES = 10_000
+
+
 def write_run(log: DataFrame, files: Files, name: str, level: int, gen: int, options: StoreOptions, bytes_hint: int = 0) -> Run | None:
-    """Write a log as one run, or nothing if it is empty. Files hold key ranges, so that readers skip by key."""
+    """Write a log as one run, or nothing if it is empty.
+
+    Files hold ranges of (key, seq), so that readers skip by key and a key with very many versions is in several files.
+    """
     spark = log.sparkSession
     parts = max(1, -(-bytes_hint // options.file_bytes))
     rows = log.select(*LOG_COLUMNS)
-    rows = rows.repartitionByRange(parts, "key") if parts > 1 else rows.coalesce(1)
+    rows = rows.repartitionByRange(parts, "key", F.desc("seq")) if parts > 1 else rows.coalesce(1)
     writer = rows.sortWithinPartitions("key", F.desc("seq")).write.option("compression", "zstd" if options.compress else "uncompressed")
     writer.option("parquet.bloom.filter.enabled#key", "true").parquet(files.full(name))
-    found = read_runs(spark, [files.full(name)]).agg(F.count(F.lit(1)), F.min("key"), F.max("key"), F.max("seq")).first()
-    if not found[0]:
+    by_file = read_runs(spark, [files.full(name)]).groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
+    made = by_file.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("seq").alias("seq"))
+    # at most LISTED_FILES rows come to the driver
+    total = made.agg(F.sum("n"), F.min("low"), F.max("high"), F.max("seq")).first() if parts > LISTED_FILES else None
+    found = [] if total else made.collect()
+    if total is None:
+        total = (sum(f["n"] for f in found), min((f["low"] for f in found), default=None), max((f["high"] for f in found), default=None), max((f["seq"] for f in found), default=None))
+    if not total[0]:
         files.delete(name)
         return None
-    return Run(name, level, gen, found[0], files.size(name), bytes(found[1]), bytes(found[2]), found[3])
+    listed = tuple(sorted((f["file"], bytes(f["low"]).hex(), bytes(f["high"]).hex()) for f in found))
+    return Run(name, level, gen, total[0], files.size(name), bytes(total[1]), bytes(total[2]), total[3], listed)
 
 
 def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -32,15 +46,13 @@ def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(*paths)
 
 
-def verify_run(log: DataFrame) -> None:
-    """Raise OrderError if a version is repeated."""
-    repeats = log.groupBy("key", "seq").count().where("count > 1")
-    if not repeats.isEmpty() or check_order(log).first()["violations"]:
-        raise OrderError("a run must hold each version once, newest first")
+def repeats(log: DataFrame) -> DataFrame:
+    """The versions, (key, seq), that a log has more than once."""
+    return log.groupBy("key", "seq").count().where("count > 1")
 
 
-def ordered(rows: list[tuple]) -> None:
-    """Raise OrderError unless (key, seq, ...) rows go up by key and down by seq within a key."""
-    for before, after in zip(rows, rows[1:], strict=False):
-        if after[0] < before[0] or (after[0] == before[0] and after[1] >= before[1]):
-            raise OrderError("rows must go up by key and down by seq within a key")
+def verify_run(spark: SparkSession, path: str) -> None:
+    """Raise OrderError unless each file of a run goes up by key and down by seq within a key, without repeats."""
+    rows = read_runs(spark, [path])
+    if check_order(rows, F.col("_metadata.file_path"), F.col("_metadata.row_index")).first()["violations"] or not repeats(rows).isEmpty():
+        raise OrderError("a run must hold each version once, by key and newest first")

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.model import VALUE
 from tidemark.plans.store import Store
+from tidemark.sources.files import Files
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps over restarts from its checkpoint."""
+    return json.loads(Files(spark, checkpoint).read("metadata"))["id"]
 
 
 def ingest(store: Store, mutations: DataFrame, order_by: str | Column, checkpoint: str, name: str = "ingest", once: bool = True) -> StreamingQuery:
     """Write a stream of (key, op, value) to a store, each micro-batch once.
 
-    The store's manifest holds the last batch of each stream name; a batch that is run again after a crash is left out,
-    so its rows keep the seqs that they got first. Rates are those of the source (maxFilesPerTrigger and the like).
+    The store's manifest holds the last batch of each stream, by the id that its checkpoint gives it; a batch that is run
+    again after a crash is left out, so its rows keep the seqs that they got first. A new checkpoint is a new stream,
+    whatever its name. Rates are those of the source (maxFilesPerTrigger and the like).
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        store.apply(batch, order_by, (name, number))
+        store.apply(batch, order_by, (stream_id(store.spark, checkpoint), number))
 
     writer = mutations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName(name)
     return (writer.trigger(availableNow=True) if once else writer).start()
