@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm import bpe, mixing, neardup, quality, substring
 from tidemark.llm.shared import documents, stored
@@ -20,13 +19,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays, once; rows with a null id stay."""
-    classes = neardup.near_duplicates(docs).where("class_id <> id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_td_nth", nth).where("_td_nth = 1 or doc_id is null").drop("_td_nth")
+    """Of each class of near duplicates one row stays, the one with the least id; rows share a class by their own texts only."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        copies = neardup.near_duplicates(docs).where("class_id <> id").select(F.col("id").alias("doc_id"))
+        return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    # ids that repeat or are null don't name rows: rows are numbered once, in a table that is written
+    rows = stored(docs.withColumn("_td_row", F.monotonically_increasing_id()))
+    classes = neardup.near_duplicates(rows, id_col="_td_row").withColumnRenamed("id", "_td_row")
+    of = rows.select("_td_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_td_row").alias("order")).join(classes, "_td_row")
+    first = of.groupBy("class_id").agg(F.min("order").alias("first")).select(F.col("first._td_row").alias("_td_row"))
+    return rows.join(first, "_td_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
