@@ -49,6 +49,23 @@ def test_empty_table(spark):
     assert dedup_substrings(empty(odd_docs(spark))).count() == 0
 
 
+def test_more_chunks_than_buckets_are_allowed(spark):
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "5")
+    try:
+        rows = odd_rows()
+        got = rows_of(dedup_substrings(odd_docs(spark), 8, chunk_bytes=400), "doc_id", "n_words", "n_removed", "kept_text")
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert got == sorted(((r[0], *b) for r, b in zip(rows, brute([r[1] for r in rows], 8), strict=True)), key=repr)
+
+
+def test_equal_rows_are_dealt_to_many_chunks(spark):
+    docs = spark.range(3000).select(F.lit(" ".join(f"w{i}" for i in range(40))).alias("text"))
+    out = dedup_substrings(docs, chunk_bytes=20_000)
+    assert out.where("n_removed = 40 and kept_text = ''").count() == 3000
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_query(spark, tmp_path):
     odd_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
     out = substring.op1_substring_dedup(spark, str(tmp_path))

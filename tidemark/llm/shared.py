@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
@@ -53,8 +56,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def stored_by(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """As stored(), clustered into ``parts`` buckets of ``key``: later grouping or joining by key doesn't shuffle it."""
+    """As stored(), clustered into ``parts`` buckets of ``key``, or as many as Spark allows: later grouping or joining by
+    key doesn't shuffle it."""
     spark = df.sparkSession
+    parts = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"{_NAME}{uuid.uuid4().hex}"
     path = f"{session_dir(spark)}/{name}"
     df.repartition(parts, key).write.option("path", path).option("compression", "zstd").bucketBy(parts, key).saveAsTable(name)

@@ -8,9 +8,10 @@ What a window is extended from depends on its own words alone (the run with the
 then the double-length run that holds it), so equal windows take the same way through the levels and none is missed,
 while neighbouring windows share a first-level run and few of them are compared.
 
-Texts are dealt into chunks by a hash of the row and stored once. At each level a chunk sends its distinct run hashes,
-sorted, to hash-range buckets and gets back one bit for each: whether it was seen twice. A passage that a third of all
-texts holds is thus one hash a chunk, and texts themselves are not shuffled again.
+Texts are dealt evenly into chunks and stored once. At each level a chunk sends its distinct run hashes, sorted, to hash-
+range buckets and gets back one bit for each: whether it was seen twice. A passage that a third of all texts holds is thus
+one hash a chunk, and texts themselves are not shuffled again. After the first level a chunk's remaining windows are
+written with the hashes of their longer runs, so later levels read these alone; texts are read once more to be cut.
 
 Defined cases: a null text has no words and an empty kept text; texts shorter than a window lose nothing; repeated rows
 are copies of each other like any two texts; extra columns stay, and columns named like an added one are replaced. Two
@@ -19,7 +20,7 @@ windows are taken as equal if 64-bit hashes are equal at every level. Memory is
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents, shuffle_parts, stored, stored_by, text_bytes
+from tidemark.llm.shared import documents, map_batches, shuffle_parts, stored, stored_by, text_bytes
 from tidemark.llm.words import Words, window_hashes
 
 MIN_WORDS = 35
@@ -36,7 +37,8 @@ CHUNK_BYTES = 3 << 20
 CHUNKS_A_BUCKET = 16
 
 _SENT = "bucket long, chunk long, hashes binary, twice binary"
-_REPLY = "chunk long, bucket long, bits binary, level int"
+_REPLY = "chunk long, bucket long, bits binary"
+_LEFT = "chunk long, windows binary, offsets binary, hashes array<binary>"
 
 
 def doubling(min_words: int) -> list[int]:
@@ -44,43 +46,21 @@ def doubling(min_words: int) -> list[int]:
     return [-(-min_words // 4), -(-min_words // 2), min_words] if min_words >= 4 else [min_words]
 
 
-class Candidates:
-    """Runs of one chunk at each level."""
-
-    def __init__(self, texts: list[bytes | None], lengths: list[int]):
-        self.words, self.lengths = Words(texts), lengths
-        self.h = self.words.hashes()
-        self.windows = np.flatnonzero(self.words.window_starts(lengths[-1]))
-        seeds = window_hashes(self.h, lengths[0])
-        self.seed = least(seeds, lengths[-1] - lengths[0] + 1)[self.windows]
-
-    def runs(self, level: int) -> np.ndarray:
-        """For each window, the start of the run that stands for it at this level."""
-        if level == len(self.lengths) - 1:
-            return self.windows
-        if level == 0:
-            return self.seed
-        left = self.lengths[level] - self.lengths[0]
-        return np.where(self.seed - self.windows >= left, self.seed - left, self.seed)
-
-    def evaluate(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(run starts, distinct hashes, which of them each start has, how often each occurs) of the windows left."""
-        starts = np.unique(self.runs(level))
-        hashes = window_hashes(self.h, self.lengths[level])
-        hashes = hashes[starts] if len(starts) else np.zeros(0, np.uint64)
-        return starts, *np.unique(hashes, return_inverse=True, return_counts=True)
-
-    def keep(self, level: int, replies: dict[int, bytes], buckets: int) -> None:
-        """Drop the windows whose run isn't repeated."""
-        starts, distinct, which, _ = self.evaluate(level)
-        repeated = np.zeros(len(distinct), bool)
-        for bucket, lo, hi in ranges(distinct, buckets):
-            if bits := replies.get(bucket):
-                repeated[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
-        alive = np.zeros(len(self.h) + 1, bool)
-        alive[starts[repeated[which]]] = True
-        left = alive[self.runs(level)]
-        self.windows, self.seed = self.windows[left], self.seed[left]
+def runs(windows: np.ndarray, seed: np.ndarray, lengths: list[int], level: int) -> np.ndarray:
+    """For each window, the start of the run that stands for it at a level; seed: that at the first one."""
+    if level == len(lengths) - 1:
+        return windows
+    left = lengths[level] - lengths[0]
+    return np.where(seed - windows >= left, seed - left, seed)
+
+
+def first_level(texts: list[bytes | None], lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, windows, the first-level run of each, hashes of the distinct runs by their place)"""
+    words = Words(texts)
+    h, windows = words.hashes(), np.flatnonzero(words.window_starts(lengths[-1]))
+    of_runs = window_hashes(h, lengths[0])
+    seed = least(of_runs, lengths[-1] - lengths[0] + 1)[windows]
+    return h, windows, seed, of_runs[np.unique(seed)] if len(seed) else np.zeros(0, np.uint64)
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -107,60 +87,109 @@ def ranges(distinct: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(int(bucket[lo]), int(lo), int(hi)) for lo, hi in zip(cut, [*cut[1:], len(bucket)], strict=True)]
 
 
-def _replies(table: pa.Table) -> dict[int, dict[int, bytes]]:
-    out: dict[int, dict[int, bytes]] = {}
-    for row in table.select(["level", "bucket", "bits"]).to_pylist():
-        out.setdefault(row["level"], {})[row["bucket"]] = row["bits"]
-    return out
+def answered(hashes: np.ndarray, replies: pa.Table, buckets: int) -> np.ndarray:
+    """Which of the hashes that a chunk sent were seen twice."""
+    distinct, which = np.unique(hashes, return_inverse=True)
+    repeated, got = np.zeros(len(distinct), bool), dict(zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True))
+    for bucket, lo, hi in ranges(distinct, buckets):
+        if bits := got.get(bucket):
+            repeated[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
+    return repeated[which]
 
 
-def _candidates(docs: pa.Table, replies: pa.Table | None, text: str, lengths: list[int], level: int, buckets: int) -> Candidates:
-    texts = docs.column(text).cast(pa.large_binary()).to_pylist()
-    found, got = Candidates(texts, lengths), _replies(replies) if replies is not None else {}
-    for done in range(level):
-        found.keep(done, got.get(done, {}), buckets)
-    return found
+def _sent(chunk: int, hashes: np.ndarray, buckets: int) -> dict[str, pa.Array]:
+    distinct, times = np.unique(hashes, return_counts=True)
+    parts = ranges(distinct, buckets)
+    return {
+        "bucket": pa.array([b for b, _, _ in parts], pa.int64()),
+        "chunk": pa.array([chunk] * len(parts), pa.int64()),
+        "hashes": pa.array([distinct[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()),
+        "twice": pa.array([np.packbits(times[lo:hi] > 1).tobytes() for _, lo, hi in parts], pa.binary()),
+    }
 
 
-def _send(text: str, lengths: list[int], level: int, buckets: int):
-    def send(docs: pa.Table, replies: pa.Table | None = None) -> pa.Table:
-        _, distinct, _, times = _candidates(docs, replies, text, lengths, level, buckets).evaluate(level)
-        parts = ranges(distinct, buckets)
-        chunk = docs.column("_td_chunk")[0].as_py() if docs.num_rows else 0
-        return pa.table(
-            {
-                "bucket": pa.array([b for b, _, _ in parts], pa.int64()),
-                "chunk": pa.array([chunk] * len(parts), pa.int64()),
-                "hashes": pa.array([distinct[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()),
-                "twice": pa.array([np.packbits(times[lo:hi] > 1).tobytes() for _, lo, hi in parts], pa.binary()),
-            }
-        )
+def _texts(docs: pa.Table, text: str) -> list[bytes | None]:
+    return docs.column(text).cast(pa.large_binary()).to_pylist()
 
-    return send
 
+def _send_first(text: str, lengths: list[int], buckets: int):
+    return lambda docs: pa.table(_sent(docs.column("_td_chunk")[0].as_py(), first_level(_texts(docs, text), lengths)[3], buckets))
 
-def _alone(send):
-    return lambda docs: send(docs)
 
+def _send_next(buckets: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield pa.record_batch(_sent(batch.column(0)[row].as_py(), np.frombuffer(batch.column(3)[row][0].as_py(), np.uint64), buckets))
+
+    return send
 
-def _meet(level: int):
-    def meet(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(table.column("twice").to_pylist(), sent, strict=True)]
-        hashes, repeated = np.concatenate(sent), np.concatenate(twice).astype(bool)
-        order = np.argsort(hashes)
-        same = hashes[order][1:] == hashes[order][:-1]
-        repeated[order[1:][same]] = True
-        repeated[order[:-1][same]] = True
-        rows, at = [], 0
-        for chunk, bucket, h in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), sent, strict=True):
-            bits = repeated[at : at + len(h)]
-            at += len(h)
-            if bits.any():
-                rows.append({"chunk": chunk, "bucket": bucket, "bits": np.packbits(bits).tobytes(), "level": level})
-        return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary()), ("level", pa.int32())]))
 
-    return meet
+def _left(chunk: int, windows: np.ndarray, seed: np.ndarray, hashes: list[np.ndarray]) -> pa.Table:
+    some = [chunk] if len(windows) else []
+    return pa.table(
+        {
+            "chunk": pa.array(some, pa.int64()),
+            "windows": pa.array([windows.astype(np.int32).tobytes() for _ in some], pa.binary()),
+            "offsets": pa.array([(seed - windows).astype(np.int32).tobytes() for _ in some], pa.binary()),
+            "hashes": pa.array([[x.tobytes() for x in hashes] for _ in some], pa.list_(pa.binary())),
+        }
+    )
+
+
+def _keep_first(text: str, lengths: list[int], buckets: int):
+    """Of a chunk's windows those whose first-level run is repeated, with the hashes of their runs at the levels to come."""
+
+    def keep(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not docs.num_rows or not replies.num_rows:
+            return _left(0, np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+        h, windows, seed, hashes = first_level(_texts(docs, text), lengths)
+        alive = np.zeros(len(h) + 1, bool)
+        alive[np.unique(seed)[answered(hashes, replies, buckets)]] = True
+        left = alive[seed]
+        windows, seed = windows[left], seed[left]
+        later = range(1, len(lengths)) if len(windows) else []
+        return _left(docs.column("_td_chunk")[0].as_py(), windows, seed, [window_hashes(h, lengths[k])[np.unique(runs(windows, seed, lengths, k))] for k in later])
+
+    return keep
+
+
+def _keep_next(lengths: list[int], level: int, buckets: int):
+    """The same for a later level, from what was kept before it; texts aren't read."""
+
+    def keep(state: pa.Table, replies: pa.Table) -> pa.Table:
+        if not state.num_rows or not replies.num_rows:
+            return _left(0, np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+        windows = np.frombuffer(state.column("windows")[0].as_py(), np.int32).astype(np.int64)
+        seed = windows + np.frombuffer(state.column("offsets")[0].as_py(), np.int32)
+        hashes = [np.frombuffer(x, np.uint64) for x in state.column("hashes")[0].as_py()]
+        run = runs(windows, seed, lengths, level)
+        good = np.unique(run)[answered(hashes[0], replies, buckets)]
+        left = np.isin(run, good)
+        later = []
+        for k, x in enumerate(hashes[1:], level + 1):
+            before = runs(windows, seed, lengths, k)
+            later.append(x[np.isin(np.unique(before), before[left])])
+        return _left(state.column("chunk")[0].as_py(), windows[left], seed[left], later)
+
+    return keep
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    sent = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(table.column("twice").to_pylist(), sent, strict=True)]
+    hashes, repeated = np.concatenate(sent), np.concatenate(twice).astype(bool)
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    repeated[order[1:][same]] = True
+    repeated[order[:-1][same]] = True
+    rows, at = [], 0
+    for chunk, bucket, h in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), sent, strict=True):
+        bits = repeated[at : at + len(h)]
+        at += len(h)
+        if bits.any():
+            rows.append({"chunk": chunk, "bucket": bucket, "bits": np.packbits(bits).tobytes()})
+    return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]))
 
 
 def cut_words(words: Words, drop: np.ndarray) -> list[bytes]:
@@ -179,13 +208,14 @@ def cut_words(words: Words, drop: np.ndarray) -> list[bytes]:
     return [out[lo : max(lo, hi - 1)] for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _finish(text: str, lengths: list[int], buckets: int, fields: list[str], schema: pa.Schema):
-    def finish(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        found = _candidates(docs, replies, text, lengths, len(lengths), buckets)
-        words, n = found.words, lengths[-1]
+def _finish(text: str, min_words: int, fields: list[str], schema: pa.Schema):
+    def finish(docs: pa.Table, state: pa.Table) -> pa.Table:
+        words = Words(_texts(docs, text) if docs.num_rows else [])
         step = np.zeros(len(words.doc) + 1, np.int32)
-        step[found.windows] += 1
-        step[found.windows + n] -= 1
+        if state.num_rows:
+            windows = np.frombuffer(state.column("windows")[0].as_py(), np.int32).astype(np.int64)
+            step[windows] += 1
+            step[windows + min_words] -= 1
         drop = np.cumsum(step[:-1]) > 0
         removed = np.concatenate([[0], np.cumsum(drop)])[words.first]
         columns = [docs.column(f) for f in fields] + [
@@ -208,19 +238,25 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "t
     parts = max(shuffle_parts(spark), -(-chunks // 16))
     added = T.StructType.fromDDL("n_words long, n_removed long, kept_text string")
     fields = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in added.fields} and f.name != "_td_chunk"]
-    dealt = stored_by(docs.select(*[F.col(f"`{f.name}`") for f in fields], F.pmod(F.xxhash64(F.lit("chunk"), text, *[f"`{f.name}`" for f in fields if f.name == "doc_id"]), F.lit(chunks)).alias("_td_chunk")), "_td_chunk", parts)
+    # rows are dealt by their place, so that equal rows aren't one chunk
+    place = F.xxhash64(F.lit("chunk"), F.monotonically_increasing_id())
+    dealt = stored_by(docs.select(*[F.col(f"`{f.name}`") for f in fields], F.pmod(place, F.lit(chunks)).alias("_td_chunk")), "_td_chunk", parts)
     short = dealt.select("_td_chunk", text)
-    replies: list[DataFrame] = []
-    none = spark.createDataFrame([], _REPLY)
+    sent = short.groupBy("_td_chunk").applyInArrow(_send_first(text, lengths, buckets), _SENT)
+    state = None
     for level in range(len(lengths)):
-        send, by = _send(text, lengths, level, buckets), short.groupBy("_td_chunk")
-        sent = by.applyInArrow(_alone(send), _SENT) if not level else by.cogroup(reduce(DataFrame.unionByName, replies).groupBy("chunk")).applyInArrow(send, _SENT)
-        replies.append(stored(sent.groupBy("bucket").applyInArrow(_meet(level), _REPLY)))
-        if replies[-1].isEmpty():
+        replies = stored(sent.groupBy("bucket").applyInArrow(_meet, _REPLY)).groupBy("chunk")
+        if level:
+            state = state.groupBy("chunk").cogroup(replies).applyInArrow(_keep_next(lengths, level, buckets), _LEFT)
+        else:
+            state = short.groupBy("_td_chunk").cogroup(replies).applyInArrow(_keep_first(text, lengths, buckets), _LEFT)
+        state = stored(state)
+        if state.isEmpty():
             break
+        sent = map_batches(state, _send_next(buckets), _SENT)
     out = T.StructType([*fields, *added.fields])
-    finish = _finish(text, lengths, buckets, [f.name for f in fields], to_arrow_schema(out))
-    return dealt.groupBy("_td_chunk").cogroup(reduce(DataFrame.unionByName, replies, none).groupBy("chunk")).applyInArrow(finish, out)
+    finish = _finish(text, min_words, [f.name for f in fields], to_arrow_schema(out))
+    return dealt.groupBy("_td_chunk").cogroup(state.groupBy("chunk")).applyInArrow(finish, out)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
