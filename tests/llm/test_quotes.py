@@ -1,8 +1,12 @@
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 
 from tests.llm.helpers import rows_of
-from tidemark.llm.quotes import OP6_ORDER_SQL, OP6_SQL, assembled, link_conversations, link_quotes, op6_reply_order
+from tidemark.llm import quotes
+from tidemark.llm.quotes import OP6_ORDER_SQL, OP6_SQL, assembled, link_conversations, link_quotes, mailed, op6_reply_order
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 ROWS = [
@@ -39,6 +43,30 @@ def test_same_as_sql(messages):
     assert rows_of(link_conversations(messages), *want.columns) == sorted(want.fetchall(), key=repr)
 
 
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_blocks_of_turns(messages, spark, monkeypatch, block):
+    """The last earlier turn that says a line, over any blocks."""
+    monkeypatch.setattr(quotes, "BLOCK", block)
+    rng = random.Random(block)
+    said = [["".join(rng.choice("abc")) for _ in range(rng.randint(0, 3))] for _ in range(30)]
+    asked = [["".join(rng.choice("abcd")) for _ in range(rng.randint(0, 2))] for _ in range(30)]
+    rows = [(7, t, "u", "\n".join([*(f"> {x}" for x in asked[t]), *said[t]])) for t in range(30)]
+    want = Counter()
+    for t, lines in enumerate(asked):
+        for line in lines:
+            earlier = [u for u in range(t) if line in said[u]]
+            if earlier:
+                want[7, t, earlier[-1]] += 1
+    got = {(r.conv_id, r.turn, r.source): r.lines for r in link_quotes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_mailed_replies_link_to_what_they_quote(spark):
+    rows = [(c, t, "u", f"talk {c} about {t}\nand more {t * 7} of it") for c in range(3) for t in range(9)]
+    got = link_conversations(mailed(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert all((r.reply_to, r.n_linked, r.text) == (r.turn - 2, 2, rows[r.conv_id * 9 + r.turn][3]) for r in got if r.turn >= 2) and len(got) == 27
+
+
 def test_links_and_texts(messages):
     by = {(r.conv_id, r.turn): r for r in link_conversations(messages.dropDuplicates(["conv_id", "turn"])).collect()}
     assert (by[1, 1].reply_to, by[1, 1].text) == (0, "Hi!")
@@ -91,7 +119,7 @@ def test_assembled_in_reply_order(messages):
         assert all(m.reply_to is None or m.reply_to < m.turn for m in p.messages)
 
 
-def test_registered_reply_order(spark, tmp_path):
+def test_registered_reply_order(spark, tmp_path, monkeypatch):
     # 3 answers 0 and 5 answers 1, over more turns than a part has
     rows = [(9, i, "u", f"text {i}") for i in range(450)]
     rows[3], rows[5] = (9, 3, "u", "> text 0\nmine"), (9, 5, "u", "> text 1\nyours")
@@ -104,7 +132,10 @@ def test_registered_reply_order(spark, tmp_path):
     con.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
     con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
     want = con.sql(OP6_ORDER_SQL)
-    assert rows_of(got, *want.columns) == sorted(want.fetchall(), key=repr)
+    expected = sorted(want.fetchall(), key=repr)
+    assert rows_of(got, *want.columns) == expected
+    monkeypatch.setattr(quotes, "LONGEST", 3)
+    assert rows_of(op6_reply_order(spark, str(tmp_path)), *want.columns) == expected
 
 
 def test_extra_columns_and_empty_table(messages):

@@ -12,8 +12,9 @@ A message replies to the message that most of its lines of the lowest linked lev
 without a link, to the message one turn before; else to none. Its own text is what remains without quoted lines and
 without the line that announces them (``... wrote:``).
 
-Lines and windows are matched by one ordered pass over a conversation's equal ones, not by pairs; what nobody quotes is left
-out of it before, and windows are made only of conversations with a line that is not found whole.
+Lines and windows are matched by ordered passes over a conversation's equal ones, not by pairs; what nobody quotes is left
+out of it before, and windows are made only of conversations with a line that is not found whole. Conversations without a
+quote mark are not taken apart at all.
 
 Defined cases: a null text counts as empty; a message without quotes keeps its text as it is; a null conv_id or turn takes
 no part in linking and has no reply_to; repeated rows are kept and share their result; of messages that share conversation
@@ -33,7 +34,8 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.shared import map_batches, stored
 
-PART = 200
+#: Turns of a part of an assembled conversation, of a block of equal lines, and of a conversation that a task orders.
+PART, BLOCK, LONGEST = 200, 1000, 100_000
 WINDOW = 4
 MARKS = r"^(?:[ \t]*>)+"
 ANNOUNCES = r"(?i)^.{0,200}\b(wrote|writes|said)\s*:\s*$"
@@ -115,11 +117,20 @@ _ASKED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("m", pa.int6
 
 
 def _last_said(asked: DataFrame, said: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows asked with ``source``, the last turn before theirs at which the same keys are said, or null."""
+    """The rows asked with ``source``, the last turn before theirs at which the same keys are said, or null.
+
+    Equal lines of a conversation are walked in blocks of turns, and the last turn of the blocks before is added, so a line
+    that a long conversation has in every message isn't one task's.
+    """
     # at one turn what is said comes after what is quoted, so that a message doesn't quote itself
-    both = asked.withColumn("says", F.lit(0)).unionByName(said.withColumn("says", F.lit(1)), True)
-    before = Window.partitionBy(*keys).orderBy("turn", "says").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("source", F.last(F.when(F.col("says") == 1, F.col("turn")), True).over(before)).where("says = 0").drop("says")
+    both = asked.withColumn("says", F.lit(0)).unionByName(said.withColumn("says", F.lit(1)), True).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    turn = F.when(F.col("says") == 1, F.col("turn"))
+    within = Window.partitionBy(*keys, "block").orderBy("turn", "says").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*keys, "block").agg(F.max(turn).alias("end"))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("earlier", F.last("end", True).over(before)).drop("end")
+    found = both.withColumn("inside", F.last(turn, True).over(within)).where("says = 0").join(ends, [*keys, "block"])
+    return found.withColumn("source", F.coalesce("inside", "earlier")).drop("says", "block", "inside", "earlier")
 
 
 def link_passages(messages: DataFrame, missing: DataFrame) -> DataFrame:
@@ -142,8 +153,11 @@ def link_passages(messages: DataFrame, missing: DataFrame) -> DataFrame:
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, source, lines, level``: how many quoted lines of a message come from the message at turn ``source``."""
-    known = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text").distinct()
-    each = lines(known).where("hash is not null")
+    known = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text")
+    # conversations without a quote mark have nothing to link
+    quoting = known.where(F.col("text").rlike(r"(^|\n)[ \t]*>")).select("conv_id").distinct()
+    known = known.join(quoting, "conv_id", "left_semi").distinct()
+    each = stored(lines(known).where("hash is not null").drop("text", "line"))
     quoted = each.where("level > 0").groupBy("conv_id", "turn", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("level"))
     asked = quoted.select("conv_id", "hash").distinct()
     said = each.where("level = 0").select("conv_id", "turn", "hash").distinct().join(asked, ["conv_id", "hash"], "left_semi")
@@ -184,22 +198,60 @@ def _threads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([conversation["conv_id"]] * n, pa.int64()), pa.array(order, pa.int64()), pa.array(range(n), pa.int64())], names=["conv_id", "turn", "place"])
 
 
+def long_threads(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, place`` of conversations of any length, by joins alone.
+
+    A walk around each tree of replies goes into a message, through its replies and out of it again; each step's follower is
+    known from the message's neighbours. Followers' followers are looked up until all walks have ended, which doubles the
+    steps each time, and a message's place is the number of messages that the walk has still to go into, from the end.
+    """
+    siblings = Window.partitionBy("conv_id", "reply_to").orderBy("turn")
+    known = turns.withColumn("next", F.lead("turn").over(siblings))
+    first = turns.where("reply_to is not null").groupBy("conv_id", F.col("reply_to").alias("turn")).agg(F.min("turn").alias("child"))
+    known = stored(known.join(first, ["conv_id", "turn"], "left"))
+    into = known.select("conv_id", "turn", F.lit(False).alias("out"), F.coalesce("child", "turn").alias("to"), F.col("child").isNull().alias("to_out"), F.lit(1).cast("long").alias("ahead"))
+    out = known.select("conv_id", "turn", F.lit(True).alias("out"), F.coalesce("next", "reply_to").alias("to"), F.col("next").isNull().alias("to_out"), F.lit(0).cast("long").alias("ahead"))
+    steps = stored(into.unionByName(out))
+    while not steps.where("to is not null").isEmpty():
+        further = steps.select("conv_id", F.col("turn").alias("to"), F.col("out").alias("to_out"), F.col("to").alias("then"), F.col("to_out").alias("then_out"), F.col("ahead").alias("more"))
+        steps = steps.join(further, ["conv_id", "to", "to_out"], "left")
+        steps = stored(steps.select("conv_id", "turn", "out", F.col("then").alias("to"), F.coalesce("then_out", "to_out").alias("to_out"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead")))
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("size"))
+    return steps.where("not out").join(sizes, "conv_id").select("conv_id", "turn", (F.col("size") - F.col("ahead")).alias("place"))
+
+
 def reply_order(linked: DataFrame) -> DataFrame:
     """Each message with ``place``, from 0, in its conversation's reply order: after a message what replies to it, with all
     replies to that, before the next of the same parent; by turn among the replies to one message.
 
-    Messages of one turn share a place; without conversation or turn it is null. A task holds the turns of a conversation,
-    not its texts, so that conversations of any length stay whole.
+    Messages of one turn share a place; without conversation or turn it is null. A task holds the turns, not the texts, of
+    conversations of up to LONGEST turns; longer ones are placed by joins.
     """
-    turns = linked.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("reply_to").cast("long")).distinct()
-    places = map_batches(turns.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "reply_to")).alias("turns")), _threads, "conv_id long, turn long, place long")
+    turns = stored(linked.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("reply_to").cast("long")).distinct())
+    long_ = stored(turns.groupBy("conv_id").count().where(F.col("count") > LONGEST).select("conv_id"))
+    short = turns.join(long_, "conv_id", "left_anti")
+    places = map_batches(short.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "reply_to")).alias("turns")), _threads, "conv_id long, turn long, place long")
+    if not long_.isEmpty():
+        places = places.unionByName(long_threads(turns.join(long_, "conv_id", "left_semi")))
     return linked.join(places, ["conv_id", "turn"], "left").select("conv_id", "place", "turn", "role", "reply_to", "text")
 
 
+def mailed(messages: DataFrame) -> DataFrame:
+    """Messages as a mail client would send them: on top of each the lines of the message two turns before, quoted."""
+    old = messages.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("old"))
+    quoted = F.concat(F.lit("On that day they wrote:\n> "), F.regexp_replace("old", "\n", "\n> "), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return messages.join(old, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", F.coalesce(quoted, "text").alias("text"))
+
+
 def op6_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_order(op6_quotation_links(spark, sf_dir))
 
 
+def op6_mailed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links that quotes give, on the same conversations with quotes put in front of the messages."""
+    return link_conversations(mailed(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -249,3 +301,10 @@ placed as (select conv_id, turn, row_number() over (partition by conv_id order b
 select l.conv_id, p.place, l.turn, l.role, l.reply_to, l.text
 from linked l left join placed p on l.conv_id = p.conv_id and l.turn = p.turn
 """
+
+OP6_MAILED_SQL = """
+with mail as (
+  select m.conv_id, m.turn, m.role, case when o.text is null then m.text
+    else 'On that day they wrote:' || chr(10) || '> ' || replace(o.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || coalesce(m.text, '') end as text
+  from conversations m left join conversations o on m.conv_id = o.conv_id and m.turn = o.turn + 2),
+""" + OP6_SQL.strip().removeprefix("with ").replace("conversations", "mail")

@@ -10,6 +10,7 @@ QUERIES = {
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_quotation_links": quotes.op6_quotation_links,
     "op6_reply_order": quotes.op6_reply_order,
+    "op6_mailed_replies": quotes.op6_mailed_replies,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_importance_resampling": resampling.op9_importance_resampling,
@@ -20,4 +21,5 @@ ORACLES = {
     "op1_substring_dedup": substring.OP1_SQL,
     "op6_quotation_links": quotes.OP6_SQL,
     "op6_reply_order": quotes.OP6_ORDER_SQL,
+    "op6_mailed_replies": quotes.OP6_MAILED_SQL,
 }
