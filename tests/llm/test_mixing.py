@@ -84,6 +84,26 @@ def test_apply_repeats_rows(spark):
     assert out.join(docs, "doc_id", "left_anti").where("doc_id is not null").count() == 0
 
 
+def test_equal_rows_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_BITS", 3)
+    rows = spark.range(300, numPartitions=3).select(F.when(F.col("id") % 10 < 7, None).otherwise(F.col("id") % 10).alias("id"), F.lit(5).alias("key"), F.monotonically_increasing_id().alias("place"))
+    got = mixing.numbered(rows, ["id", "key"], "place", "n")
+    assert got.columns == ["id", "key", "place", "n"]
+    for r in got.groupBy("id").agg(F.sort_array(F.collect_list("n")).alias("n")).collect():
+        assert r.n == list(range(1, 211 if r.id is None else 31))
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """Each is drawn for itself, and the mix has as many of them as were drawn."""
+    monkeypatch.setattr(mixing, "BLOCK_BITS", 4)
+    docs = spark.range(400, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 300, "a").otherwise("b").alias("source"), F.lit("one two three").alias("text"), "id")
+    drawn = {r.source: (r.n, r.least, r.most) for r in mix_sources(docs).groupBy("source").agg(F.sum("copies").alias("n"), F.min("copies").alias("least"), F.max("copies").alias("most")).collect()}
+    assert drawn["a"][1] < drawn["a"][2] and drawn["a"][0] + drawn["b"][0] == pytest.approx(400, abs=2)
+    out = apply_mix(docs)
+    assert {r.source: r["count"] for r in out.groupBy("source").count().collect()} == {s: n for s, (n, _, _) in drawn.items()}
+    assert out.groupBy("id").count().agg(F.max("count")).first()[0] <= 2
+
+
 def test_empty_table(spark):
     assert mix_sources(empty(odd_docs(spark))).count() == 0
     assert apply_mix(empty(odd_docs(spark))).count() == 0
@@ -91,4 +111,5 @@ def test_empty_table(spark):
 
 def test_native(spark):
     plan = mix_sources(odd_docs(spark))._jdf.queryExecution().executedPlan().toString()
+    plan += apply_mix(odd_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

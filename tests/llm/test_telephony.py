@@ -67,6 +67,34 @@ def test_wav_files_of_others_and_damage():
             t.read_wav(bad)
 
 
+def damaged():
+    """Files that can't be read, by what is wrong with them."""
+    good = t.write_wav(t.Wav(t.ADPCM, 8000, bytes(196), 196))
+    at = good.index(b"fmt ") + 8
+    pcm = t.write_wav(t.Wav(t.PCM, 8000, b"\0\0"))
+    return {
+        "short fmt": b"RIFF\0\0\0\0WAVEfmt \x04\0\0\0\x01\0\x01\0data\x02\0\0\0ab",
+        "no block": good[: at + 12] + b"\0\0" + good[at + 14 :],
+        "no rate": good[: at + 4] + bytes(4) + good[at + 8 :],
+        "half a sample": pcm[:-6] + b"\x03\0\0\0abc",
+        "ends in a head": good[: at + 3],
+        "two channels": good[: at + 2] + b"\x02" + good[at + 3 :],
+        "nothing": b"",
+    }
+
+
+def test_a_damaged_file_is_a_row_with_a_reason(spark):
+    files = [(n, f) for n, f in damaged().items()] + [("good", t.write_wav(t.Wav(t.MULAW, 8000, b"abc"))), ("part of a block", t.write_wav(t.Wav(t.ADPCM, 8000, bytes(200), 196))), ("null", None)]
+    for name, file in damaged().items():
+        with pytest.raises(ValueError):
+            t.read_wav(file)
+        assert t.readable(file)[0] is None and t.readable(file)[1], name
+    out = {r.name: r for r in t.decode_media(spark.createDataFrame(files, "name string, media binary")).collect()}
+    assert all(out[n].pcm is None and out[n].payload is None and out[n].feature is None and out[n].error for n in damaged())
+    assert out["good"].payload == b"abc" and out["good"].error is None and out["part of a block"].payload == bytes(192)
+    assert out["null"].error is None and out["null"].pcm is None
+
+
 def test_pack_is_lossless_in_each_format():
     tags = set()
     for n in range(40):
@@ -97,13 +125,15 @@ def test_query_on_odd_documents(spark, tmp_path):
     got = [tuple(r)[:7] for r in out.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert out.where("feature is null").count() == 0
+    files = {r.doc_id: r.pcm for r in t.decode_media(t.store_media(odd_docs(spark))).collect()}
+    assert all((r.pcm_bytes, r.pcm_sha256) == (len(files[r.doc_id]), hashlib.sha256(files[r.doc_id]).hexdigest()) for r in out.collect() if r.doc_id != 17)
 
 
 def test_media_columns(spark):
     docs = clashing(odd_docs(spark))
     out = t.decode_media(t.store_media(docs))
     row = out.where("doc_id = 9").first()
-    assert out.columns[-3:] == ["payload", "pcm", "feature"] and row.extra == [1]
+    assert out.columns[-4:] == ["payload", "pcm", "feature", "error"] and row.extra == [1]
     pcm = t.read_wav(row.pcm)
     assert (pcm.tag, pcm.rate) == (t.PCM, 16000) and row.feature == t.features(np.frombuffer(pcm.data, "<i2"))
     assert t.decode_media(spark.createDataFrame([(None,)], "media binary")).first().pcm is None

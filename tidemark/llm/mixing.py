@@ -30,6 +30,8 @@ CAP = 3
 SEED = 20
 #: Documents folded together, and sources that may be broadcast; more are joined by a shuffle.
 GROUP = 256
+#: Bits of a row's place within a block of equal rows.
+BLOCK_BITS = 16
 BROADCAST_SOURCES = 10_000
 
 
@@ -81,12 +83,28 @@ def _fold(units: str, unit_type: str, seed: int, level: int) -> str:
                 else {step(j, 1, i, f"{i}.p - m.lose / {i}.size")} end), 1) end)"""
 
 
+def numbered(rows: DataFrame, keys: list[str], place: str, name: str) -> DataFrame:
+    """Rows with ``name``, 1, 2, ... among those of equal keys; ``place`` tells all rows apart.
+
+    Equal rows are numbered in blocks of their places and the counts of the blocks before are added, so that very many of
+    them aren't one task's.
+    """
+    block, before, own = f"{name}_block", f"{name}_before", [f"{name}_key{i}" for i in range(len(keys))]
+    rows = rows.withColumn(block, F.shiftright(place, BLOCK_BITS))
+    counts = rows.groupBy(*keys, block).agg(F.count(F.lit(1)).alias(before))
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0))).where(F.col(before) > 0).toDF(*own, f"{block}_", before)
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip([*keys, block], [*own, f"{block}_"], strict=True)])
+    nth = F.row_number().over(Window.partitionBy(*keys, block).orderBy(place)) + F.coalesce(before, F.lit(0))
+    return rows.join(counts, on, "left").withColumn(name, nth.cast("int")).drop(block, before, f"{block}_", *own)
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row a document: ``id, key, source, size, source_size, target, copies, taken``; key is a hash of source and text."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    sized = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(source, text).alias("key"), F.col(source).alias("source"), word_count(text).alias("size")))
-    sized = sized.withColumn("n", F.row_number().over(Window.partitionBy("id", "key").orderBy("size")))
+    sized = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(source, text).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"), F.monotonically_increasing_id().alias("place")))
     sources = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("members")), weights, cap))
+    sized = numbered(sized, ["id", "key"], "place", "n").drop("place")
     due = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     sources = sources.withColumn("base", F.floor(due).cast("int")).withColumn("p", due - F.col("base")).withColumn("groups", F.ceil(F.col("members") / GROUP))
     bounds = sources.agg(F.count(F.lit(1)).alias("sources"), F.max("groups").alias("groups")).first()
@@ -117,13 +135,37 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix itself: each row of docs as many times as it has copies, columns as they are."""
     mixed = mix_sources(docs, id_col=id_col, source=source, text=text, **options)
-    copies = mixed.groupBy(F.col("id").alias("_td_id"), F.col("key").alias("_td_key")).agg(F.sort_array(F.collect_list("copies")).alias("_td_copies"))
+    # equal rows differ by one copy at most: how many the least have, and how many have one more
+    least = mixed.groupBy(F.col("id").alias("_td_id"), F.col("key").alias("_td_key")).agg(F.min("copies").alias("_td_least"), F.max("copies").alias("_td_most"), F.sum("copies").alias("_td_sum"), F.count(F.lit(1)).alias("_td_rows"))
+    copies = stored(least.withColumn("_td_more", F.col("_td_sum") - F.col("_td_least") * F.col("_td_rows")).where("_td_most > 0").select("_td_id", "_td_key", "_td_least", "_td_more"))
     keyed = docs.withColumn("_td_own", F.xxhash64(source, text))
     joined = keyed.join(copies, F.col(id_col).eqNullSafe(F.col("_td_id")) & (F.col("_td_own") == F.col("_td_key")))
-    nth = F.row_number().over(Window.partitionBy("_td_id", "_td_key").orderBy(F.lit(1)))
-    taken = joined.withColumn("_td_n", nth).withColumn("_td_n", F.element_at("_td_copies", F.col("_td_n"))).where("_td_n > 0")
+    taken = joined.where("_td_more = 0").withColumn("_td_n", F.col("_td_least"))
+    if not copies.where("_td_more > 0").isEmpty():
+        some = numbered(joined.where("_td_more > 0").withColumn("_td_place", F.monotonically_increasing_id()), ["_td_id", "_td_key"], "_td_place", "_td_nth")
+        some = some.withColumn("_td_n", F.col("_td_least") + (F.col("_td_nth") <= F.col("_td_more")).cast("int")).drop("_td_place", "_td_nth")
+        taken = taken.unionByName(some)
+    taken = taken.where("_td_n > 0")
     return taken.withColumn("_td_n", F.explode(F.sequence(F.lit(1), F.col("_td_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def op10_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of it: sizes and targets."""
+    return mix_sources(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 3).alias("target"))
+
+
+OP10_SQL = r"""
+with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+total as (select source, sum(size)::bigint as source_size from sized group by source),
+ranked as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::integer] as weight from total),
+level as (
+  select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by 3 * source_size / weight, source nulls last rows between current row and unbounded following) as level from ranked),
+target as (select source, source_size, least(3.0::double * source_size, max(level) over () * weight) as target from level)
+select s.doc_id, s.size, t.source_size, round(t.target, 3) as target
+from sized s join target t on s.source is not distinct from t.source
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")

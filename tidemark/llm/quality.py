@@ -237,5 +237,27 @@ def score_quality(docs: DataFrame, text: str = "text", rules: dict = RULES, only
     return map_batches(docs, sift, docs.schema)
 
 
+def op8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of it: the counts and the base rules."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+OP8_SQL = r"""
+with doc as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+line as (select doc_id, unnest(string_split(text, chr(10))) as line from doc),
+dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from line where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+win as (select doc_id, i, array_to_string(words[i:i + 2], ' ') as said from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from doc)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, said) as n from win) where n > 1),
+repeated as (select doc_id, count(distinct j) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as j from again) group by doc_id),
+counts as (
+  select d.doc_id, len(d.words)::bigint as n_words, coalesce(list_sum(list_transform(d.words, lambda w: length(w))), 0)::bigint as word_chars,
+    length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    coalesce(u.n_dup_lines, 0)::bigint as n_dup_lines, coalesce(r.n_repeat_words, 0)::bigint as n_repeat_words
+  from doc d left join dup u on d.doc_id = u.doc_id left join repeated r on d.doc_id = r.doc_id)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir).select("doc_id", "text")).drop("text")

@@ -85,8 +85,11 @@ def kth_largest(scores: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample: int = SAMPLE, seed: int = SEED, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row with ``log_importance``, ``score`` and ``kept``; ``labels`` has the id and ``quality``, 1 for good."""
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample: int = SAMPLE, seed: int = SEED, id_col: str = "doc_id", text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
+    """Each row with ``log_importance``, ``score`` and ``kept``; ``labels`` has the id and ``quality``, 1 for good.
+
+    Scored rows are written once and read for the limit and the result; columns ``without`` are left out of them.
+    """
     judged = labels.where("quality is not null").groupBy(id_col).agg((F.avg("quality") >= 0.5).alias("good"))
     if keep is None:
         keep = judged.agg(F.avg(F.col("good").cast("double"))).first()[0]
@@ -103,12 +106,12 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, samp
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text), 11) + 0.5) * 2.0**-53
     own = docs.drop("score", "kept")
     weighed = add_columns(own, text, "log_importance double", work).withColumn("score", F.col("log_importance") - F.log(-F.log(draw)))
-    scores = stored(weighed.select("score"))
-    k = round(keep * scores.count())
-    least = kth_largest(scores, "score", k) if k else float("inf")
+    weighed = stored(weighed.drop(*without))
+    k = round(keep * weighed.count())
+    least = kth_largest(weighed, "score", k) if k else float("inf")
     return weighed.withColumn("kept", F.col("score") >= F.lit(least) if least is not None else F.lit(False))
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+    return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), without=("text",))

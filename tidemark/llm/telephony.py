@@ -3,8 +3,9 @@
 Companded samples are expanded by 256-entry tables. ADPCM is decoded step by step within a block, each step for the
 blocks of all files of a batch at once. PCM is 16 bits, one channel, resampled linearly.
 
-Defined cases: a null file gives nulls; an empty data chunk gives empty PCM; a file that isn't a WAV file of these formats
-raises ValueError; repeated rows stay; extra columns stay, and columns named like an added one are replaced. Memory is
+Defined cases: a null file gives nulls; an empty data chunk gives empty PCM; a last ADPCM block that isn't whole is left
+out; a file that can't be read, as it isn't a WAV file of these formats or is damaged, gives nulls and the reason in
+``error``, and read_wav() raises ValueError; repeated rows stay; extra columns stay, and columns named like an added one are replaced. Memory is
 about thirty times a batch of a few MB, or the longest file.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import add_columns, documents
 
 RATE, STORED_RATE = 8_000, 16_000
+#: Samples a second that are read.
+RATES = (1_000, 768_000)
 #: WAV format tags.
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 #: An ADPCM block: 4 bytes of header (first sample, step index, 0), then BLOCK_DATA bytes of two 4-bit codes, low first.
@@ -103,9 +106,17 @@ def read_wav(file: bytes) -> Wav:
         at += 8 + size + (size & 1)
     if b"fmt " not in found or b"data" not in found:
         raise ValueError("a WAV file needs the chunks fmt and data")
+    if len(found[b"fmt "]) < 16:
+        raise ValueError("the chunk fmt ends early")
     tag, channels, rate, _, block, _ = struct.unpack_from("<HHIIHH", found[b"fmt "])
     if channels != 1 or tag not in (PCM, ALAW, MULAW, ADPCM):
         raise ValueError(f"format {tag} with {channels} channels isn't supported")
+    if not RATES[0] <= rate <= RATES[1]:
+        raise ValueError(f"{rate} samples a second aren't supported")
+    if tag == ADPCM and block <= BLOCK_HEAD:
+        raise ValueError(f"ADPCM blocks of {block} bytes have no samples")
+    if tag == PCM and len(found[b"data"]) % 2:
+        raise ValueError("PCM ends in half a sample")
     return Wav(tag, rate, found[b"data"], block)
 
 
@@ -164,7 +175,18 @@ def unpack(wav: Wav) -> bytes:
     """The bytes that pack() stored, read from the file's data."""
     if wav.tag != ADPCM:
         return wav.data
-    return np.frombuffer(wav.data, np.uint8).reshape(-1, wav.block)[:, BLOCK_HEAD:].tobytes()
+    whole = len(wav.data) // wav.block * wav.block
+    return np.frombuffer(wav.data[:whole], np.uint8).reshape(-1, wav.block)[:, BLOCK_HEAD:].tobytes()
+
+
+def readable(file: bytes | None) -> tuple[Wav | None, str | None]:
+    """(the file, None), or (None, why it can't be read); neither for a null."""
+    if file is None:
+        return None, None
+    try:
+        return read_wav(file), None
+    except ValueError as error:
+        return None, str(error)
 
 
 def pad(text: bytes) -> bytes:
@@ -182,19 +204,21 @@ def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def decode_media(files: DataFrame, media: str = "media", rate: int = STORED_RATE) -> DataFrame:
-    """Each row with ``payload``, the stored bytes, ``pcm``, a WAV file of PCM at ``rate``, and its ``feature``s."""
+    """Each row with ``payload``, the stored bytes, ``pcm``, a WAV file of PCM at ``rate``, its ``feature``s, and ``error``."""
 
     def work(values: list[bytes | None]) -> list[pa.Array]:
-        wavs = [read_wav(v) if v is not None else None for v in values]
+        read = [readable(v) for v in values]
+        wavs = [w for w, _ in read]
         samples = iter(decode([w for w in wavs if w]))
         pcm = [resample(next(samples), w.rate, rate) if w else None for w in wavs]
         return [
             pa.array([unpack(w) if w else None for w in wavs], pa.binary()),
             pa.array([write_wav(Wav(PCM, rate, p.tobytes())) if p is not None else None for p in pcm], pa.binary()),
             pa.array([features(p) if p is not None else None for p in pcm], pa.string()),
+            pa.array([e for _, e in read], pa.string()),
         ]
 
-    return add_columns(files, media, "payload binary, pcm binary, feature string", work)
+    return add_columns(files, media, "payload binary, pcm binary, feature string, error string", work)
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,4 +232,18 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
     )
+
+
+def op2_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of it: sizes and digests of the payloads."""
+    return op2_telephony(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+OP2_SQL = """
+with doc as (select doc_id, coalesce(text, '') as text, octet_length(encode(coalesce(text, '')))::bigint as n_bytes from documents),
+padded as (select *, case when n_bytes = 0 then 192 else (192 - n_bytes % 192) % 192 end as pad from doc)
+select doc_id, n_bytes, n_bytes + pad as payload_bytes, sha256(text || repeat(' ', pad)) as payload_sha256 from padded
+"""

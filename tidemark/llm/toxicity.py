@@ -5,7 +5,8 @@ n-gram's presence counts as the log ratio of its smoothed shares among toxic and
 with an L2 penalty weighs these. N-grams with a ratio near 0 or in few texts are left out.
 
 Fitted on the driver from at most ``sample`` labelled rows (SAMPLE unless given; the least hashes of the ids, so reruns
-agree); scores cover every whole text. Defined cases: null and empty texts have no n-grams and get the intercept's score;
+agree) with whole texts of at most ``sample_bytes`` in all (SAMPLE_BYTES unless given; rows by hash as long as they fit);
+scores cover every whole text. Defined cases: null and empty texts have no n-grams and get the intercept's score;
 null labels are skipped; labels that repeat an id count as their mean, toxic from one half; without a labelled row of
 either class all scores are the share of toxic labels, or 0; repeated rows stay; extra columns stay, and columns named
 like an added one are replaced. Memory is that of a few MB of text, or about 60 times the longest text.
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import add_columns, documents
+from tidemark.llm.shared import add_columns, documents, stored
 from tidemark.llm.words import mix, slices
 
 ORDERS = (3, 4, 5, 6)
 #: Bits of the n-gram hashes, and labelled rows to learn from.
 BITS = 20
-SAMPLE = 6_000
+SAMPLE, SAMPLE_BYTES = 6_000, 48 << 20
 #: Text bytes that the driver takes apart at once.
 FIT_BYTES = 1 << 18
 LEAST_RATIO, LEAST_TEXTS, PENALTY, SMOOTHING = 2.0, 4, 1e-3, 1.0
@@ -138,12 +139,22 @@ def fit(texts: list[bytes | None], toxic: np.ndarray, rounds: int = 300) -> Mode
     return Model(weight, float(b))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text: str = "text") -> Model:
     """A model from labelled rows that aren't held out; ``labels`` has the id and ``toxic``."""
     chosen = labels.where(F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(id_col).agg((F.avg("toxic") >= 0.5).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     # at most ``sample`` rows are broadcast
-    rows = docs.select(id_col, text).join(F.broadcast(chosen), id_col).orderBy(F.xxhash64(id_col, text)).limit(sample).toArrow()
+    found = docs.select(id_col, text).join(F.broadcast(chosen), id_col).select(F.col(text).alias("text"), "toxic", F.xxhash64(id_col, text).alias("draw"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"))
+    found = stored(found)
+    # sizes come to the driver first, and then only the texts that fit
+    cut, held = None, 0
+    for row in found.select("draw", "size").orderBy("draw").limit(sample).collect():
+        held += row["size"]
+        if held > sample_bytes:
+            break
+        cut = row["draw"]
+    rows = found.where(F.col("draw") <= F.lit(cut).cast("long")).orderBy("draw").select("text", "toxic").limit(sample).toArrow()
+    text = "text"
     return fit(rows.column(text).cast(pa.large_binary()).to_pylist(), np.array(rows.column("toxic").to_pylist(), bool))
 
 
