@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 from itertools import combinations
@@ -164,3 +165,30 @@ def test_components(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: top(i) for a, b in links if a is not None and a != b for i in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no sample tables")
+def test_all_links_of_the_sample_tables(spark):
+    """Against the exact similarity of all pairs that share a shingle: every link found, and no class without one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    of, value, times = shingles(Words([r.text.encode() if r.text is not None else None for r in rows]))
+    edge = np.searchsorted(of, np.arange(len(rows) + 1))
+    sets = [(value[lo:hi], times[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+    holders = {}
+    for i, v in zip(of.tolist(), value.tolist(), strict=True):
+        holders.setdefault(v, []).append(i)
+    pairs = {p for h in holders.values() for p in combinations(h, 2)}
+    links = [(rows[i].doc_id, rows[j].doc_id) for i, j in pairs if similarity(sets[i], sets[j]) >= 0.8]
+    root = {r.doc_id: r.doc_id for r in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.id: r.class_id for r in near_duplicates(docs).collect()}
+    assert len(links) > 50 and got == {i: top(i) for i in root}
