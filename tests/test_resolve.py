@@ -43,8 +43,9 @@ def test_diff_and_as_of_join_match_model(spark, mutations, a, c):
     got = {bytes(r.key): (r.old_value, r.new_value) for r in resolve.diff(log(spark, entries), a, c).collect()}
     assert {k: tuple(v and bytes(v) if v is not None else None for v in x) for k, x in got.items()} == want
     probes = spark.createDataFrame([(b"a", a), (b"zz", c), (b"a", a)], "key binary, snap long")
-    found = {(bytes(r.key), r.snap): bytes(r.value) for r in resolve.as_of_join(log(spark, entries), probes).collect()}
-    assert found == {(k, s): live(entries, s)[k] for k, s in [(b"a", a), (b"zz", c)] if k in live(entries, s)}
+    for block in (4, 1 << 20):
+        found = {(bytes(r.key), r.snap): bytes(r.value) for r in resolve.as_of_join(log(spark, entries), probes, block=block).collect()}
+        assert found == {(k, s): live(entries, s)[k] for k, s in [(b"a", a), (b"zz", c)] if k in live(entries, s)}
 
 
 def test_as_of_versions(spark):

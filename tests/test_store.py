@@ -311,6 +311,44 @@ def test_a_flush_during_a_get(spark, store, monkeypatch):
     assert store.get(b"k") == b"2"
 
 
+def test_reads_and_writes_go_on_during_a_compaction(spark, tmp_path, monkeypatch):
+    import threading
+
+    from tidemark.plans import store as stores
+
+    started, go_on, write = threading.Event(), threading.Event(), stores.write_run
+
+    def slow(log, files, name, level, *rest):
+        if level:
+            started.set()
+            assert go_on.wait(60)
+        return write(log, files, name, level, *rest)
+
+    monkeypatch.setattr(stores, "write_run", slow)
+    with Store(spark, f"{tmp_path}/s") as s:
+        for i in range(3):
+            s.put(b"k%d" % i, b"old")
+            s.flush()
+        s.put(b"k0", b"dead")
+        s.flush()
+        s.delete(b"k0")
+        work = threading.Thread(target=s.compact)
+        work.start()
+        assert started.wait(60) and s.maintain() == 0
+        s.put(b"k1", b"new")
+        s.flush()
+        s.put(b"k2", b"newer")
+        snap = s.snapshot()
+        assert s.get(b"k1") == b"new" and s.get(b"k2") == b"newer" and missing(s, b"k0")
+        go_on.set()
+        work.join()
+        s.put(b"k1", b"newest")
+        s.vacuum()
+        assert scanned(snap) == [("k1", "new"), ("k2", "newer")] and scanned(s) == [("k1", "newest"), ("k2", "newer")]
+        assert s.stats()["runs_per_level"][:2] == [1, 1] and s.log().count() == 5
+        snap.close()
+
+
 def test_rows_keep_what_they_read(spark, store):
     for i in range(3):
         store.put(b"k%d" % i, b"v")

@@ -15,6 +15,10 @@ from pyspark.sql.window import Window
 from tidemark.model import LOG_COLUMNS, TOMBSTONE, VALUE
 
 
+#: Seqs of a block of a key's versions in an as-of join.
+SEQS_A_BLOCK = 1 << 20
+
+
 def key_range(log: DataFrame, start=None, end=None) -> DataFrame:
     """Rows with start <= key < end; None is no bound, and a non-null empty end leaves nothing."""
     if start is not None:
@@ -66,16 +70,22 @@ def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None) -> DataFr
     return keys.join(live, "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def as_of_join(log: DataFrame, probes: DataFrame, snap: str = "snap") -> DataFrame:
+def as_of_join(log: DataFrame, probes: DataFrame, snap: str = "snap", block: int = SEQS_A_BLOCK) -> DataFrame:
     """For each probe (key, snap) the version live at snap: ``key, snap, seq, value``; probes without one give no row.
 
     Probes and versions of a key are walked once in seq order, so the rows are those of the two inputs and not the
-    pairs of them. A probe at a version's seq sees it.
+    pairs of them; in blocks of seqs, each with the last version before it, so that a key with very many versions isn't one
+    task's. A probe at a version's seq sees it.
     """
     versions = log.select("key", F.col("seq").alias("at"), F.lit(0).alias("probe"), F.struct("seq", "op", "value").alias("version"))
     asked = probes.select("key", F.col(snap).cast("long").alias("at"), F.lit(1).alias("probe"), F.lit(None).cast(versions.schema["version"].dataType).alias("version")).distinct()
-    before = Window.partitionBy("key").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = versions.unionByName(asked).withColumn("seen", F.last("version", True).over(before)).where("probe = 1")
+    both = versions.unionByName(asked).withColumn("block", F.floor(F.col("at") / block))
+    within = Window.partitionBy("key", "block").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("key", "block").agg(F.max_by("version", F.when(F.col("probe") == 0, F.col("at"))).alias("end"))
+    ends = ends.withColumn("earlier", F.last("end", True).over(before)).drop("end")
+    inside = both.withColumn("inside", F.last("version", True).over(within)).where("probe = 1")
+    found = inside.join(ends, ["key", "block"]).withColumn("seen", F.coalesce("inside", "earlier"))
     return found.where(F.col("seen.op") == VALUE).select("key", F.col("at").alias(snap), F.col("seen.seq").alias("seq"), F.col("seen.value").alias("value"))
 
 

@@ -96,7 +96,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, options: StoreOptions | None = None, registry: Registry | None = None, read_only: bool = False):
         self.spark, self.options, self.registry = spark, options or StoreOptions(), registry or Registry()
         self.metrics = StoreMetrics(self.registry)
-        self._lock = threading.RLock()
+        self._lock, self._compacting = threading.RLock(), threading.RLock()
         self._pins: list[Snapshot] = []
         self._closed = False
         self._files = Files(spark, path)
@@ -166,7 +166,8 @@ class Store:
         self._seq = max(self._seq, record.seq)
 
     @_open_only
-    def _write(self, key: bytes, op: int, value: bytes | None) -> None:
+    def _write(self, key: bytes, op: int, value: bytes | None) -> bool:
+        """Whether the write made a run."""
         if self._wal is None:
             self._check_owner()
             # the number is taken by the manifest's next commit
@@ -175,14 +176,16 @@ class Store:
         self._wal.append(record)
         self._check_owner()
         self._remember(record)
-        if self._memory_bytes >= self.options.flush_threshold:
-            self.flush()
-            self.maintain()
+        if self._memory_bytes < self.options.flush_threshold:
+            return False
+        self.flush()
+        return True
 
     def put(self, key: bytes, value: bytes) -> None:
         key, began = check_key(key), time.perf_counter()
         try:
-            self._write(key, VALUE, bytes(value or b""))
+            if self._write(key, VALUE, bytes(value or b"")):
+                self._maintain_open()
         finally:
             self.metrics.write_seconds.observe(time.perf_counter() - began)
             self.metrics.puts.inc()
@@ -190,7 +193,8 @@ class Store:
     def delete(self, key: bytes) -> None:
         key, began = check_key(key), time.perf_counter()
         try:
-            self._write(key, TOMBSTONE, None)
+            if self._write(key, TOMBSTONE, None):
+                self._maintain_open()
         finally:
             self.metrics.write_seconds.observe(time.perf_counter() - began)
             self.metrics.deletes.inc()
@@ -236,13 +240,19 @@ class Store:
         self._manifest = manifests.commit(self._files, new)
         manifests.expire(self._files, KEPT_VERSIONS)
 
-    @_open_only
     def apply(self, mutations: DataFrame, order_by: str | Column, batch: tuple[str, int] | None = None) -> bool:
         """Write a batch of (key, op, value) in the order of ``order_by``; False if this stream's batch is in the store.
 
         Rows are range-partitioned by the order and numbered within each partition; with the partitions' counts that gives
         seqs without gaps. Rows that tie in the order get either order.
         """
+        done = self._apply(mutations, order_by, batch)
+        if done:
+            self._maintain_open()
+        return done
+
+    @_open_only
+    def _apply(self, mutations: DataFrame, order_by: str | Column, batch: tuple[str, int] | None) -> bool:
         if batch and self._manifest.batches.get(batch[0], -1) >= batch[1]:
             return False
         self._check_owner()
@@ -280,7 +290,6 @@ class Store:
         self.metrics.deletes.inc(ops.get(TOMBSTONE, 0))
         self._add_run(log, self._files.size(draft), None, batch=batch)
         self._files.delete(draft)
-        self.maintain()
         return True
 
     def put_all(self, rows: DataFrame, order_by: str | Column) -> None:
@@ -289,9 +298,13 @@ class Store:
     def delete_all(self, keys: DataFrame, order_by: str | Column) -> None:
         self.apply(keys.withColumn("op", F.lit(TOMBSTONE)).withColumn("value", F.lit(None).cast("binary")), order_by)
 
-    @_open_only
     def load_log(self, log: DataFrame) -> None:
         """Add a log that has its own seqs, all above those in the store."""
+        self._load_log(log)
+        self._maintain_open()
+
+    @_open_only
+    def _load_log(self, log: DataFrame) -> None:
         self._check_owner()
         self.flush()
         low, high, size = log.agg(F.min("seq"), F.max("seq"), F.sum(entry_size())).first()
@@ -302,7 +315,6 @@ class Store:
         if not repeats(log).isEmpty():
             raise OrderError("a log must hold each version, (key, seq), once")
         self._add_run(log.select(*LOG_COLUMNS), size, high)
-        self.maintain()
 
     # reads
 
@@ -411,42 +423,75 @@ class Store:
 
     # maintenance
 
-    @_open_only
+    def _maintain_open(self) -> None:
+        """Maintenance after a write, which is done even if the store is closed meanwhile."""
+        try:
+            self.maintain()
+        except ClosedError:
+            pass
+
     def maintain(self) -> int:
-        """Compact until no level is due; the number of compactions."""
+        """Compact until no level is due; the number of compactions. If another thread is at it, that one goes on."""
         done = 0
-        while plan := compact.pick(self._manifest.runs, self.options):
-            self.compact(plan)
-            done += 1
+        if not self._compacting.acquire(blocking=False):
+            return done
+        try:
+            while plan := compact.pick(self._manifest.runs, self.options):
+                self.compact(plan)
+                done += 1
+        finally:
+            self._compacting.release()
         return done
 
-    @_open_only
     def compact(self, plan: compact.Plan | None = None) -> None:
-        """One compaction; without a plan, of all runs to the deepest level in use."""
+        """One compaction; without a plan, of all runs to the deepest level in use.
+
+        Reads and writes go on while the new run is written: snapshots that are opened meanwhile keep the runs that they
+        found, and runs that are added stay beside the new one.
+        """
+        with self._compacting:
+            self._compact(plan)
+
+    @_open_only
+    def _plan(self, plan: compact.Plan | None) -> tuple[compact.Plan, tuple[compact.Run, ...], int | None, int] | None:
+        """(what to compact, the runs beside it, the oldest seq in use, the new run's generation)"""
         self._check_owner()
         if plan is None:
             self.flush()
             if not self._manifest.runs:
-                return
+                return None
             plan = compact.Plan(self._manifest.runs, max(1, *(r.level for r in self._manifest.runs)))
+        gen = self._manifest.next_gen
+        self._manifest = replace(self._manifest, next_gen=gen + 1)
+        return plan, tuple(r for r in self._manifest.runs if r not in plan.inputs), self.keep_seq(), gen
+
+    def _compact(self, plan: compact.Plan | None) -> None:
+        planned = self._plan(plan)
+        if planned is None:
+            return
+        plan, rest, keep, gen = planned
         began = time.perf_counter()
         self.metrics.compactions.inc()
         try:
-            rest = tuple(r for r in self._manifest.runs if r not in plan.inputs)
             log = read_runs(self.spark, [self._files.full(r.path) for r in plan.inputs])
-            kept = compact.retain(log, self.keep_seq(), compact.is_bottommost(rest, plan.target))
-            gen = self._manifest.next_gen
+            kept = compact.retain(log, keep, compact.is_bottommost(rest, plan.target))
             run = write_run(kept, self._files, run_name(plan.target, gen), plan.target, gen, self.options, sum(r.size_bytes for r in plan.inputs))
-            self._commit(replace(self._manifest, next_gen=gen + 1, runs=(*rest, *([run] if run else []))))
+            with self._lock:
+                self._check_owner()
+                self._commit(replace(self._manifest, runs=(*(r for r in self._manifest.runs if r not in plan.inputs), *([run] if run else []))))
         except Exception:
             self.metrics.compaction_failures.inc()
             raise
         finally:
             self.metrics.compaction_seconds.observe(time.perf_counter() - began)
 
-    @_open_only
     def vacuum(self) -> list[str]:
         """Delete runs that neither the manifest nor an open snapshot names; scans made before may then fail."""
+        with self._compacting:
+            return self._vacuum()
+
+    @_open_only
+    def _vacuum(self) -> list[str]:
         self._check_owner()
         used = {r.path.removeprefix("runs/") for r in self._manifest.runs} | {r.path.removeprefix("runs/") for p in self._pins for r in p.runs}
         gone = [n for n in self._files.names("runs") if n not in used]
@@ -478,7 +523,7 @@ class Store:
 
     def close(self) -> None:
         """Flush and close; a second call does nothing."""
-        with self._lock:
+        with self._compacting, self._lock:
             if self._closed:
                 return
             try:
