@@ -6,7 +6,7 @@ import pytest
 
 from tests.llm.helpers import rows_of
 from tidemark.llm import quotes
-from tidemark.llm.quotes import OP6_ORDER_SQL, OP6_SQL, assembled, link_conversations, link_quotes, mailed, op6_reply_order
+from tidemark.llm.quotes import OP6_ORDER_SQL, OP6_SQL, assembled, link_conversations, link_quotes, mailed, op6_reply_order, reply_order
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 ROWS = [
@@ -113,8 +113,8 @@ def test_a_quote_wrapped_anew_and_part_of_a_line(spark):
 
 
 def test_assembled_in_reply_order(messages):
-    parts = assembled(link_conversations(messages), part=3).where("conv_id = 1").orderBy("part").collect()
-    assert [[m.turn for m in p.messages] for p in parts] == [[0, 1, 2, 2], [3, 4, 4]]
+    parts = assembled(reply_order(link_conversations(messages)), part=3).where("conv_id = 1").orderBy("part").collect()
+    assert [[m.turn for m in p.messages] for p in parts] == [[0, 1, 2], [3, 4, 4]]
     for p in parts:
         assert all(m.reply_to is None or m.reply_to < m.turn for m in p.messages)
 

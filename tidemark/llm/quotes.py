@@ -18,7 +18,7 @@ quote mark are not taken apart at all.
 
 Defined cases: a null text counts as empty; a message without quotes keeps its text as it is; a null conv_id or turn takes
 no part in linking and has no reply_to; repeated rows are kept and share their result; of messages that share conversation
-and turn, reply_to names the turn; extra columns are not read. Long conversations are assembled in parts of PART turns.
+and turn, reply_to names the turn; extra columns are not read. Conversations are assembled in parts of PART places.
 """
 
 from __future__ import annotations
@@ -178,12 +178,6 @@ def link_conversations(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.coalesce("parent", "before").alias("reply_to"), quoted.alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), own_text("text").alias("text"))
 
 
-def assembled(linked: DataFrame, part: int = PART) -> DataFrame:
-    """``conv_id, part, messages``: conversations as arrays in reply order, a message after the one that it replies to."""
-    message = F.struct("turn", "role", "reply_to", "text")
-    return linked.groupBy("conv_id", F.floor(F.col("turn") / part).alias("part")).agg(F.sort_array(F.collect_list(message)).alias("messages"))
-
-
 def _threads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for conversation in batch.to_pylist():
@@ -236,6 +230,13 @@ def reply_order(linked: DataFrame) -> DataFrame:
     return linked.join(places, ["conv_id", "turn"], "left").select("conv_id", "place", "turn", "role", "reply_to", "text")
 
 
+def assembled(ordered: DataFrame, part: int = PART) -> DataFrame:
+    """``conv_id, part, messages``: the rows of reply_order() as arrays of up to ``part`` places; those without a place left out."""
+    message = F.struct("place", "turn", "role", "reply_to", "text")
+    placed = ordered.where("place is not null").distinct()
+    return placed.groupBy("conv_id", F.floor(F.col("place") / part).alias("part")).agg(F.sort_array(F.collect_list(message)).alias("messages"))
+
+
 def mailed(messages: DataFrame) -> DataFrame:
     """Messages as a mail client would send them: on top of each the lines of the message two turns before, quoted."""
     old = messages.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("old"))
