@@ -18,7 +18,10 @@ from tidemark.functions.codec import quoted
 from tidemark.model import NotFoundError, StoreError, StoreOptions
 from tidemark.plans.store import Snapshot, Store
 
-HELP = 'commands: PUT <key> <value> | GET <key> | DELETE <key> | SCAN <start> <end> [limit] | SNAPSHOT | SNAPSHOT-END | STATS | EXIT\nSCAN takes "" for no bound, for example: SCAN "" ""'
+HELP = """PUT <key> <value>, GET <key>, DELETE <key>: one key
+SCAN <start> <end> [limit]: keys from start up to, without, end; "" leaves a side open
+SNAPSHOT, SNAPSHOT-END: stay at the present state, and leave it
+STATS, EXIT"""
 
 
 class Prompt:
@@ -98,18 +101,18 @@ class Prompt:
 
     def open(self, _: list[str]) -> None:
         if self.snapshot:
-            self.say("already inside a snapshot; use SNAPSHOT-END first")
+            self.say(f"reads are at seq {self.snapshot.seq} already")
             return
         self.snapshot = self.store.snapshot()
-        self.say("snapshot open: GET and SCAN read as of this point in time")
+        self.say(f"reads stay at seq {self.snapshot.seq} until SNAPSHOT-END")
 
     def end(self, _: list[str]) -> None:
         if not self.snapshot:
-            self.say("no snapshot is open")
+            self.say("reads are at the newest state already")
             return
         self.snapshot.close()
         self.snapshot = None
-        self.say("snapshot closed")
+        self.say("reads are at the newest state")
 
     def stats(self, _: list[str]) -> None:
         self.say(stats_line(self.store))
@@ -117,18 +120,22 @@ class Prompt:
 
 def stats_line(store: Store) -> str:
     s = store.stats()
-    return f"memtable entries: {s['memtable_entries']} | immutable memtables: {s['immutable_memtables']} | runs: {s['runs']} | per level: {s['runs_per_level']}"
+    levels = ", ".join(f"{n} on level {i}" for i, n in enumerate(s["runs_per_level"]) if n) or "none"
+    return f"{s['memtable_entries']} keys in memory; {s['runs']} runs: {levels}"
 
 
 def load_test(store: Store, workers: int, ops: int, out: TextIO) -> None:
-    """Each worker puts, seven times out of ten, or gets a random one of 1,000 keys of its own."""
-    counts, lock = {"puts": 0, "gets": 0, "errors": 0}, threading.Lock()
+    """Each worker puts, seven times out of ten, or gets a random one of 1,000 keys of its own.
+
+    The report is a line of JSON: counts, operations a second, and percentiles of their milliseconds by kind.
+    """
+    counts, spent, lock = {"puts": 0, "gets": 0, "errors": 0}, {"puts": [], "gets": [], "errors": []}, threading.Lock()
 
     def work(worker: int) -> None:
         rng = random.Random()
         for _ in range(ops):
             key = f"bench-worker-{worker}-key-{rng.randrange(1000)}".encode()
-            kind = "puts" if rng.randrange(10) < 7 else "gets"
+            kind, start = "puts" if rng.randrange(10) < 7 else "gets", time.perf_counter()
             try:
                 if kind == "puts":
                     store.put(key, rng.randbytes(64))
@@ -140,8 +147,8 @@ def load_test(store: Store, workers: int, ops: int, out: TextIO) -> None:
                 kind = "errors"
             with lock:
                 counts[kind] += 1
+                spent[kind].append(1000 * (time.perf_counter() - start))
 
-    print(f"load test: {workers} workers, {ops} operations each", file=out)
     began = time.perf_counter()
     threads = [threading.Thread(target=work, args=(i,)) for i in range(workers)]
     for t in threads:
@@ -149,7 +156,9 @@ def load_test(store: Store, workers: int, ops: int, out: TextIO) -> None:
     for t in threads:
         t.join()
     took = time.perf_counter() - began
-    print(", ".join(f"{n} {kind}" for kind, n in counts.items()) + f" in {took:.3f} s: {(counts['puts'] + counts['gets']) / took:.0f} a second\n{stats_line(store)}", file=out)
+    ms = {kind: {f"p{q}": round(sorted(x)[min(len(x) - 1, len(x) * q // 100)], 3) for q in (50, 95, 99)} for kind, x in spent.items() if x}
+    report = {"workers": workers, **counts, "seconds": round(took, 3), "a_second": round((counts["puts"] + counts["gets"]) / took, 1), "ms": ms}
+    print(f"{json.dumps(report)}\n{stats_line(store)}", file=out)
 
 
 class _JsonLog(logging.Formatter):
