@@ -20,6 +20,13 @@ def test_stored_tables_are_in_the_shared_folder_and_can_be_cleared(spark):
     assert not os.path.exists(folder) and not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_")]
 
 
+def test_shuffled_rows_are_written_before_they_are_numbered(spark):
+    docs = odd_docs(spark)
+    assert shared.steady(docs) is docs
+    mixed = shared.steady(docs.repartition(3))
+    assert "Exchange" not in mixed._jdf.queryExecution().executedPlan().toString() and rows_of(mixed, *docs.columns) == rows_of(docs, *docs.columns)
+
+
 def test_slices():
     values = [b"abc", None, b"", b"x" * 50, b"y", "é".encode(), None]
     array = pa.array([v.decode() if v is not None else None for v in values], pa.string())

@@ -80,6 +80,15 @@ def test_levels():
         assert c == n and b <= 2 * a and c <= 2 * b
 
 
+def test_packed_places():
+    rng = np.random.default_rng(3)
+    for step in (0, 1):
+        for values in ([], [5], [0, 1, 2, 7, 8, 8, 8, 30], np.flatnonzero(rng.random(5000) < 0.9), np.sort(rng.integers(0, 50, 900))):
+            packed = substring.pack(np.array(values, np.int64), step)
+            assert substring.unpack(packed, step).tolist() == list(values)
+    assert len(substring.pack(np.arange(10**6), 1)) == 8
+
+
 def test_least_and_ranges():
     x = np.array([5, 3, 3, 9, 1, 7], np.uint64)
     assert least(x, 3).tolist() == [1, 1, 4, 4]

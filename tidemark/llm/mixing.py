@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import documents, stored
+from tidemark.llm.shared import documents, steady, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -138,12 +138,12 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", t
     # equal rows differ by one copy at most: how many the least have, and how many have one more
     least = mixed.groupBy(F.col("id").alias("_td_id"), F.col("key").alias("_td_key")).agg(F.min("copies").alias("_td_least"), F.max("copies").alias("_td_most"), F.sum("copies").alias("_td_sum"), F.count(F.lit(1)).alias("_td_rows"))
     copies = stored(least.withColumn("_td_more", F.col("_td_sum") - F.col("_td_least") * F.col("_td_rows")).where("_td_most > 0").select("_td_id", "_td_key", "_td_least", "_td_more"))
-    keyed = docs.withColumn("_td_own", F.xxhash64(source, text))
+    keyed = steady(docs).withColumns({"_td_own": F.xxhash64(source, text), "_td_place": F.monotonically_increasing_id()})
     joined = keyed.join(copies, F.col(id_col).eqNullSafe(F.col("_td_id")) & (F.col("_td_own") == F.col("_td_key")))
     taken = joined.where("_td_more = 0").withColumn("_td_n", F.col("_td_least"))
     if not copies.where("_td_more > 0").isEmpty():
-        some = numbered(joined.where("_td_more > 0").withColumn("_td_place", F.monotonically_increasing_id()), ["_td_id", "_td_key"], "_td_place", "_td_nth")
-        some = some.withColumn("_td_n", F.col("_td_least") + (F.col("_td_nth") <= F.col("_td_more")).cast("int")).drop("_td_place", "_td_nth")
+        some = numbered(joined.where("_td_more > 0"), ["_td_id", "_td_key"], "_td_place", "_td_nth")
+        some = some.withColumn("_td_n", F.col("_td_least") + (F.col("_td_nth") <= F.col("_td_more")).cast("int")).drop("_td_nth")
         taken = taken.unionByName(some)
     taken = taken.where("_td_n > 0")
     return taken.withColumn("_td_n", F.explode(F.sequence(F.lit(1), F.col("_td_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

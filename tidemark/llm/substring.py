@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import documents, map_batches, shuffle_parts, stored, stored_by, text_bytes
+from tidemark.llm.shared import documents, map_batches, shuffle_parts, steady, stored, stored_by, text_bytes
 from tidemark.llm.words import Words, window_hashes
 
 MIN_WORDS = 35
@@ -38,7 +38,7 @@ CHUNKS_A_BUCKET = 16
 
 _SENT = "bucket long, chunk long, hashes binary, twice binary"
 _REPLY = "chunk long, bucket long, bits binary"
-_LEFT = "chunk long, windows binary, offsets binary, hashes array<binary>"
+_LEFT = "chunk long, windows binary, seeds binary, hashes array<binary>"
 
 
 def doubling(min_words: int) -> list[int]:
@@ -125,13 +125,27 @@ def _send_next(buckets: int):
     return send
 
 
+def pack(values: np.ndarray, step: int) -> bytes:
+    """Sequences of equal steps, as the first value and the length of each."""
+    if not len(values):
+        return b""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(values) != step) + 1])
+    return np.stack([values[first], np.diff(np.append(first, len(values)))]).astype(np.int32).tobytes()
+
+
+def unpack(packed: bytes, step: int) -> np.ndarray:
+    value, length = np.frombuffer(packed, np.int32).reshape(2, -1).astype(np.int64)
+    end = np.cumsum(length)
+    return np.repeat(value - step * (end - length), length) + step * np.arange(end[-1] if len(end) else 0)
+
+
 def _left(chunk: int, windows: np.ndarray, seed: np.ndarray, hashes: list[np.ndarray]) -> pa.Table:
     some = [chunk] if len(windows) else []
     return pa.table(
         {
             "chunk": pa.array(some, pa.int64()),
-            "windows": pa.array([windows.astype(np.int32).tobytes() for _ in some], pa.binary()),
-            "offsets": pa.array([(seed - windows).astype(np.int32).tobytes() for _ in some], pa.binary()),
+            "windows": pa.array([pack(windows, 1) for _ in some], pa.binary()),
+            "seeds": pa.array([pack(seed, 0) for _ in some], pa.binary()),
             "hashes": pa.array([[x.tobytes() for x in hashes] for _ in some], pa.list_(pa.binary())),
         }
     )
@@ -160,8 +174,7 @@ def _keep_next(lengths: list[int], level: int, buckets: int):
     def keep(state: pa.Table, replies: pa.Table) -> pa.Table:
         if not state.num_rows or not replies.num_rows:
             return _left(0, np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-        windows = np.frombuffer(state.column("windows")[0].as_py(), np.int32).astype(np.int64)
-        seed = windows + np.frombuffer(state.column("offsets")[0].as_py(), np.int32)
+        windows, seed = unpack(state.column("windows")[0].as_py(), 1), unpack(state.column("seeds")[0].as_py(), 0)
         hashes = [np.frombuffer(x, np.uint64) for x in state.column("hashes")[0].as_py()]
         run = runs(windows, seed, lengths, level)
         good = np.unique(run)[answered(hashes[0], replies, buckets)]
@@ -213,7 +226,7 @@ def _finish(text: str, min_words: int, fields: list[str], schema: pa.Schema):
         words = Words(_texts(docs, text) if docs.num_rows else [])
         step = np.zeros(len(words.doc) + 1, np.int32)
         if state.num_rows:
-            windows = np.frombuffer(state.column("windows")[0].as_py(), np.int32).astype(np.int64)
+            windows = unpack(state.column("windows")[0].as_py(), 1)
             step[windows] += 1
             step[windows + min_words] -= 1
         drop = np.cumsum(step[:-1]) > 0
@@ -238,6 +251,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "t
     parts = max(shuffle_parts(spark), -(-chunks // 16))
     added = T.StructType.fromDDL("n_words long, n_removed long, kept_text string")
     fields = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in added.fields} and f.name != "_td_chunk"]
+    docs = steady(docs.select(*[F.col(f"`{f.name}`") for f in fields]))
     # rows are dealt by their place, so that equal rows aren't one chunk
     place = F.xxhash64(F.lit("chunk"), F.monotonically_increasing_id())
     dealt = stored_by(docs.select(*[F.col(f"`{f.name}`") for f in fields], F.pmod(place, F.lit(chunks)).alias("_td_chunk")), "_td_chunk", parts)
