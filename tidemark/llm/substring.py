@@ -10,8 +10,9 @@ while neighbouring windows share a first-level run and few of them are compared.
 
 Texts are dealt evenly into chunks and stored once. At each level a chunk sends its distinct run hashes, sorted, to hash-
 range buckets and gets back one bit for each: whether it was seen twice. A passage that a third of all texts holds is thus
-one hash a chunk, and texts themselves are not shuffled again. After the first level a chunk's remaining windows are
-written with the hashes of their longer runs, so later levels read these alone; texts are read once more to be cut.
+one hash a chunk, and texts themselves are not shuffled again. After the first level a chunk's rows and windows that are left
+are written as sequences of places, with the hashes of their few second-level runs, so that level reads no texts, and whole
+windows are hashed in the rows that are left alone.
 
 Defined cases: a null text has no words and an empty kept text; texts shorter than a window lose nothing; repeated rows
 are copies of each other like any two texts; extra columns stay, and columns named like an added one are replaced. Two
@@ -38,7 +39,7 @@ CHUNKS_A_BUCKET = 16
 
 _SENT = "bucket long, chunk long, hashes binary, twice binary"
 _REPLY = "chunk long, bucket long, bits binary"
-_LEFT = "chunk long, windows binary, seeds binary, hashes array<binary>"
+_LEFT = "chunk long, rows binary, windows binary, seeds binary, hashes binary"
 
 
 def doubling(min_words: int) -> list[int]:
@@ -54,13 +55,12 @@ def runs(windows: np.ndarray, seed: np.ndarray, lengths: list[int], level: int)
     return np.where(seed - windows >= left, seed - left, seed)
 
 
-def first_level(texts: list[bytes | None], lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, windows, the first-level run of each, hashes of the distinct runs by their place)"""
+def first_level(texts: list[bytes | None], lengths: list[int]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, windows, the first-level run of each, hashes of all runs by place)"""
     words = Words(texts)
-    h, windows = words.hashes(), np.flatnonzero(words.window_starts(lengths[-1]))
-    of_runs = window_hashes(h, lengths[0])
-    seed = least(of_runs, lengths[-1] - lengths[0] + 1)[windows]
-    return h, windows, seed, of_runs[np.unique(seed)] if len(seed) else np.zeros(0, np.uint64)
+    windows = np.flatnonzero(words.window_starts(lengths[-1]))
+    of_runs = window_hashes(words.hashes(), lengths[0])
+    return words, windows, least(of_runs, lengths[-1] - lengths[0] + 1)[windows], of_runs
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -113,18 +113,43 @@ def _texts(docs: pa.Table, text: str) -> list[bytes | None]:
 
 
 def _send_first(text: str, lengths: list[int], buckets: int):
-    return lambda docs: pa.table(_sent(docs.column("_td_chunk")[0].as_py(), first_level(_texts(docs, text), lengths)[3], buckets))
+    def send(docs: pa.Table) -> pa.Table:
+        _, _, seed, of_runs = first_level(_texts(docs, text), lengths)
+        return pa.table(_sent(docs.column("_td_chunk")[0].as_py(), of_runs[np.unique(seed)] if len(seed) else of_runs[:0], buckets))
+
+    return send
 
 
-def _send_next(buckets: int):
+def _send_kept(buckets: int):
+    """The hashes that were written with what is left of a chunk."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                yield pa.record_batch(_sent(batch.column(0)[row].as_py(), np.frombuffer(batch.column(3)[row][0].as_py(), np.uint64), buckets))
+                yield pa.record_batch(_sent(batch.column(0)[row].as_py(), np.frombuffer(batch.column(4)[row].as_py(), np.uint64), buckets))
 
     return send
 
 
+def _send_last(text: str, min_words: int, buckets: int):
+    """The hashes of the whole windows that are left, from the texts that have any."""
+
+    def send(docs: pa.Table, state: pa.Table) -> pa.Table:
+        if not docs.num_rows or not state.num_rows:
+            return pa.table(_sent(0, np.zeros(0, np.uint64), buckets))
+        _, windows, hashes = whole_windows(docs, state, text, min_words)
+        return pa.table(_sent(docs.column("_td_chunk")[0].as_py(), hashes, buckets))
+
+    return send
+
+
+def whole_windows(docs: pa.Table, state: pa.Table, text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with windows, windows as places among these rows' words, their hashes)"""
+    rows, windows = unpack(state.column("rows")[0].as_py(), 1), unpack(state.column("windows")[0].as_py(), 1)
+    h = Words(docs.column(text).take(pa.array(rows)).cast(pa.large_binary()).to_pylist()).hashes()
+    return rows, windows, window_hashes(h, min_words)[windows]
+
+
 def pack(values: np.ndarray, step: int) -> bytes:
     """Sequences of equal steps, as the first value and the length of each."""
     if not len(values):
@@ -139,51 +164,48 @@ def unpack(packed: bytes, step: int) -> np.ndarray:
     return np.repeat(value - step * (end - length), length) + step * np.arange(end[-1] if len(end) else 0)
 
 
-def _left(chunk: int, windows: np.ndarray, seed: np.ndarray, hashes: list[np.ndarray]) -> pa.Table:
+def _left(chunk: int, rows: np.ndarray, windows: np.ndarray, seed: np.ndarray, hashes: np.ndarray) -> pa.Table:
     some = [chunk] if len(windows) else []
-    return pa.table(
-        {
-            "chunk": pa.array(some, pa.int64()),
-            "windows": pa.array([pack(windows, 1) for _ in some], pa.binary()),
-            "seeds": pa.array([pack(seed, 0) for _ in some], pa.binary()),
-            "hashes": pa.array([[x.tobytes() for x in hashes] for _ in some], pa.list_(pa.binary())),
-        }
-    )
+    packed = {"rows": pack(rows, 1), "windows": pack(windows, 1), "seeds": pack(seed, 0), "hashes": hashes.tobytes()}
+    return pa.table({"chunk": pa.array(some, pa.int64()), **{n: pa.array([x for _ in some], pa.binary()) for n, x in packed.items()}})
+
+
+_NONE = np.zeros(0, np.int64)
 
 
 def _keep_first(text: str, lengths: list[int], buckets: int):
-    """Of a chunk's windows those whose first-level run is repeated, with the hashes of their runs at the levels to come."""
+    """Of a chunk the rows with windows whose first-level run is repeated, these windows, and hashes of their next runs."""
 
     def keep(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows or not replies.num_rows:
-            return _left(0, np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-        h, windows, seed, hashes = first_level(_texts(docs, text), lengths)
-        alive = np.zeros(len(h) + 1, bool)
-        alive[np.unique(seed)[answered(hashes, replies, buckets)]] = True
+            return _left(0, _NONE, _NONE, _NONE, _NONE)
+        words, windows, seed, of_runs = first_level(_texts(docs, text), lengths)
+        starts = np.unique(seed)
+        alive = np.zeros(len(words.doc) + 1, bool)
+        alive[starts[answered(of_runs[starts], replies, buckets)]] = True
         left = alive[seed]
         windows, seed = windows[left], seed[left]
-        later = range(1, len(lengths)) if len(windows) else []
-        return _left(docs.column("_td_chunk")[0].as_py(), windows, seed, [window_hashes(h, lengths[k])[np.unique(runs(windows, seed, lengths, k))] for k in later])
+        hashes = window_hashes(words.hashes(), lengths[1])[np.unique(runs(windows, seed, lengths, 1))] if len(lengths) > 2 and len(windows) else _NONE
+        # places among the words of the rows that are left
+        rows, which = np.unique(words.doc[windows], return_inverse=True)
+        size = np.diff(words.first)[rows]
+        shift = (np.cumsum(size) - size - words.first[rows])[which]
+        return _left(docs.column("_td_chunk")[0].as_py(), rows, windows + shift, seed + shift, hashes)
 
     return keep
 
 
-def _keep_next(lengths: list[int], level: int, buckets: int):
-    """The same for a later level, from what was kept before it; texts aren't read."""
+def _keep_next(lengths: list[int], buckets: int):
+    """The same for the second level, from what was kept at the first; texts aren't read."""
 
     def keep(state: pa.Table, replies: pa.Table) -> pa.Table:
         if not state.num_rows or not replies.num_rows:
-            return _left(0, np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+            return _left(0, _NONE, _NONE, _NONE, _NONE)
         windows, seed = unpack(state.column("windows")[0].as_py(), 1), unpack(state.column("seeds")[0].as_py(), 0)
-        hashes = [np.frombuffer(x, np.uint64) for x in state.column("hashes")[0].as_py()]
-        run = runs(windows, seed, lengths, level)
-        good = np.unique(run)[answered(hashes[0], replies, buckets)]
+        run = runs(windows, seed, lengths, 1)
+        good = np.unique(run)[answered(np.frombuffer(state.column("hashes")[0].as_py(), np.uint64), replies, buckets)]
         left = np.isin(run, good)
-        later = []
-        for k, x in enumerate(hashes[1:], level + 1):
-            before = runs(windows, seed, lengths, k)
-            later.append(x[np.isin(np.unique(before), before[left])])
-        return _left(state.column("chunk")[0].as_py(), windows[left], seed[left], later)
+        return _left(state.column("chunk")[0].as_py(), unpack(state.column("rows")[0].as_py(), 1), windows[left], seed[left], _NONE)
 
     return keep
 
@@ -221,12 +243,24 @@ def cut_words(words: Words, drop: np.ndarray) -> list[bytes]:
     return [out[lo : max(lo, hi - 1)] for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _finish(text: str, min_words: int, fields: list[str], schema: pa.Schema):
-    def finish(docs: pa.Table, state: pa.Table) -> pa.Table:
+def _finish(text: str, lengths: list[int], buckets: int, fields: list[str], schema: pa.Schema):
+    min_words = lengths[-1]
+
+    def finish(docs: pa.Table, found: pa.Table) -> pa.Table:
+        """``found`` has the row of what is left of the chunk, and the replies to its last hashes."""
         words = Words(_texts(docs, text) if docs.num_rows else [])
         step = np.zeros(len(words.doc) + 1, np.int32)
+        state = found.filter(found.column("windows").is_valid())
         if state.num_rows:
-            windows = unpack(state.column("windows")[0].as_py(), 1)
+            if len(lengths) > 1:
+                rows, windows, hashes = whole_windows(docs, state, text, min_words)
+                windows = windows[answered(hashes, found.filter(found.column("bits").is_valid()), buckets)]
+            else:
+                rows, windows = unpack(state.column("rows")[0].as_py(), 1), unpack(state.column("windows")[0].as_py(), 1)
+            size = np.diff(words.first)[rows]
+            end = np.cumsum(size)
+            of = np.searchsorted(end, windows, "right")
+            windows = windows - (end - size)[of] + words.first[rows][of]
             step[windows] += 1
             step[windows + min_words] -= 1
         drop = np.cumsum(step[:-1]) > 0
@@ -256,21 +290,22 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "t
     place = F.xxhash64(F.lit("chunk"), F.monotonically_increasing_id())
     dealt = stored_by(docs.select(*[F.col(f"`{f.name}`") for f in fields], F.pmod(place, F.lit(chunks)).alias("_td_chunk")), "_td_chunk", parts)
     short = dealt.select("_td_chunk", text)
-    sent = short.groupBy("_td_chunk").applyInArrow(_send_first(text, lengths, buckets), _SENT)
-    state = None
-    for level in range(len(lengths)):
-        replies = stored(sent.groupBy("bucket").applyInArrow(_meet, _REPLY)).groupBy("chunk")
-        if level:
-            state = state.groupBy("chunk").cogroup(replies).applyInArrow(_keep_next(lengths, level, buckets), _LEFT)
-        else:
-            state = short.groupBy("_td_chunk").cogroup(replies).applyInArrow(_keep_first(text, lengths, buckets), _LEFT)
-        state = stored(state)
-        if state.isEmpty():
-            break
-        sent = map_batches(state, _send_next(buckets), _SENT)
+    by_chunk = short.groupBy("_td_chunk")
+
+    def answers(sent: DataFrame) -> DataFrame:
+        return stored(sent.groupBy("bucket").applyInArrow(_meet, _REPLY))
+
+    replies = answers(by_chunk.applyInArrow(_send_first(text, lengths, buckets), _SENT))
+    state = stored(by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_keep_first(text, lengths, buckets), _LEFT))
+    if len(lengths) > 1:
+        replies = answers(map_batches(state, _send_kept(buckets), _SENT))
+        state = stored(state.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_keep_next(lengths, buckets), _LEFT))
+        found = state.unionByName(answers(by_chunk.cogroup(state.groupBy("chunk")).applyInArrow(_send_last(text, min_words, buckets), _SENT)), True)
+    else:
+        found = state.withColumn("bits", F.lit(None).cast("binary"))
     out = T.StructType([*fields, *added.fields])
-    finish = _finish(text, min_words, [f.name for f in fields], to_arrow_schema(out))
-    return dealt.groupBy("_td_chunk").cogroup(state.groupBy("chunk")).applyInArrow(finish, out)
+    finish = _finish(text, lengths, buckets, [f.name for f in fields], to_arrow_schema(out))
+    return dealt.groupBy("_td_chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, out)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
