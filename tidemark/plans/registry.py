@@ -249,7 +249,7 @@ def store_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches under small thresholds move down the levels; all keys stay readable."""
     log = binary(events_log(spark, sf_dir))
-    store = Store(spark, _folder(spark), StoreOptions(l0_trigger=2, base_level_bytes=2000, level_multiplier=2, file_bytes=20_000))
+    store = Store(spark, _folder(spark), StoreOptions(l0_trigger=2, base_level_bytes=2000, max_levels=4, file_bytes=1 << 20))
     last = log.agg(F.max("seq")).first()[0] or 0
     for i in range(5):
         store.apply(log.where(F.col("seq").between(last * i // 5 + 1, last * (i + 1) // 5)), "seq")
