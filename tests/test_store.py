@@ -441,3 +441,28 @@ def test_log_frames(spark, tmp_path):
     assert got == [tuple(r) for r in records] + [(b"a", 4, 1, b"y")]
     assert read_wal(spark, f"{tmp_path}/nothing").count() == 0
     assert spark.createDataFrame([(b"123456789",)], "v binary").select(F.crc32("v")).first()[0] == 0xCBF43926
+
+
+def test_kept_logs(spark, tmp_path):
+    """All single writes are in the logs, however often the store has flushed and was opened."""
+    options = StoreOptions(flush_threshold=200, keep_logs=True)
+    crashed = Store(spark, f"{tmp_path}/store", options)
+    for i in range(10):
+        crashed.put(f"k{i}".encode(), b"v")
+    with Store(spark, f"{tmp_path}/store", options) as store:
+        store.delete(b"k3")
+        store.put(b"k4", b"w")
+        assert len(scanned(store)) == 9
+    got = sorted(rows(read_wal(spark, f"{tmp_path}/store/wal")), key=lambda r: r[1])
+    assert got == [(f"k{i}".encode(), i + 1, 1, b"v") for i in range(10)] + [(b"k3", 11, 2, None), (b"k4", 12, 1, b"w")]
+    assert len(scanned(Store(spark, f"{tmp_path}/store", options))) == 9
+
+
+def test_import_of_logs_that_were_flushed(spark, tmp_path):
+    from tidemark.plans.registry import wal_import
+
+    names = [f"{i}" * (1 << 20) for i in range(6)]
+    spark.createDataFrame([(i, n, i, float(i % 2 - 1)) for i, n in enumerate(names)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = [(r.key[0], len(r.key), r.seq, r.op) for r in wal_import(spark, str(tmp_path)).orderBy("seq").collect()]
+    steps = [(n[0], op) for i, n in enumerate(names) for op in ((1, 2) if i % 2 == 0 else (1,))]
+    assert got == [(first, 1 << 20, i + 1, op) for i, (first, op) in enumerate(steps)]

@@ -60,6 +60,8 @@ class StoreOptions:
     level_multiplier: int = 10
     max_levels: int = 7
     compress: bool = False
+    #: Keep logs whose records are in runs, in wal/kept, for read_wal; otherwise a flush deletes them.
+    keep_logs: bool = False
     #: Bytes of a run's files, so that a large run is many files in key order.
     file_bytes: int = 256 << 20
 

@@ -310,9 +310,9 @@ def torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wal_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log file of single writes as a table."""
+    """The log files of single writes as a table, those of writes that were flushed meanwhile too."""
     folder = _folder(spark)
-    _single_writes(spark, sf_dir, Store(spark, folder))
+    _single_writes(spark, sf_dir, Store(spark, folder, StoreOptions(keep_logs=True)))
     return text(read_wal(spark, f"{folder}/wal"))
 
 

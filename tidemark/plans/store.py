@@ -31,7 +31,7 @@ from tidemark.sources.wal import Record, Wal, parse
 
 #: Manifest versions kept for readers that are behind.
 KEPT_VERSIONS = 20
-OWNERS, OPEN_ATTEMPTS = "owners", 5
+OWNERS, OPEN_ATTEMPTS, KEPT_LOGS = "owners", 5, "wal/kept"
 
 
 def run_name(level: int, gen: int) -> str:
@@ -153,11 +153,19 @@ class Store:
         if self._memory:
             self._flush()
         for name in names:
-            self._files.delete(f"wal/{name}")
+            self._drop_log(f"wal/{name}")
         for name in self._files.names(OWNERS):
             if name.isdigit() and int(name) < self._owner:
                 self._files.delete(f"{OWNERS}/{name}")
 
+    def _drop_log(self, name: str) -> None:
+        """A log whose records are in runs goes, or is kept for readers."""
+        if self.options.keep_logs:
+            self._files.make(KEPT_LOGS)
+            self._files.move(name, f"{KEPT_LOGS}/{name.rpartition('/')[2]}")
+        else:
+            self._files.delete(name)
+
     def _remember(self, record: Record) -> None:
         self._memory.append(record)
         if record.key not in self._newest or self._newest[record.key].seq < record.seq:
@@ -208,7 +216,7 @@ class Store:
         self._flush()
         if self._wal is not None:
             self._wal.close()
-            self._files.delete(self._wal.name)
+            self._drop_log(self._wal.name)
             self._wal = None
 
     def _flush(self) -> None:

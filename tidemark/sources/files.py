@@ -80,6 +80,10 @@ class Files:
             os.unlink(path)
         return True
 
+    def move(self, name: str, to: str) -> None:
+        if not self._fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"{self.full(name)} can't be moved to {to}")
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
