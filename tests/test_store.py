@@ -466,3 +466,21 @@ def test_import_of_logs_that_were_flushed(spark, tmp_path):
     got = [(r.key[0], len(r.key), r.seq, r.op) for r in wal_import(spark, str(tmp_path)).orderBy("seq").collect()]
     steps = [(n[0], op) for i, n in enumerate(names) for op in ((1, 2) if i % 2 == 0 else (1,))]
     assert got == [(first, 1 << 20, i + 1, op) for i, (first, op) in enumerate(steps)]
+
+
+def test_writes_list_owners_without_hadoop(spark, store, monkeypatch):
+    store.put(b"k0", b"v")
+    asked = []
+    path = store._files._path
+    monkeypatch.setattr(store._files, "_path", lambda name: asked.append(name) or path(name))
+    for i in range(1, 10):
+        store.put(f"k{i}".encode(), b"v")
+        store.delete(b"k0")
+    assert asked == [] and len(scanned(store)) == 9
+
+
+def test_names(spark, tmp_path):
+    files = Files(spark, f"file://{tmp_path}/n")
+    files.write("f/b", b"x")
+    files.make("f/a")
+    assert files.names("f") == ["a", "b"] and files.names("none") == []

@@ -14,6 +14,8 @@ class Files:
         self._conf = spark._jsc.hadoopConfiguration()
         self.root = root.rstrip("/")
         self._fs = self._path("").getFileSystem(self._conf)
+        #: The root's path on this machine, if it is on a plain file system of it.
+        self._here = self._path("").toUri().getPath() if self._fs.getUri().getScheme() == "file" else None
 
     def full(self, name: str) -> str:
         return f"{self.root}/{name}" if name else self.root
@@ -23,7 +25,7 @@ class Files:
 
     def local(self, name: str) -> str | None:
         """The path on this machine, if the store is a plain file system of it."""
-        return self._path(name).toUri().getPath() if self._fs.getUri().getScheme() == "file" else None
+        return self._here and (f"{self._here}/{name}" if name else self._here)
 
     def make(self, name: str) -> None:
         self._fs.mkdirs(self._path(name))
@@ -32,6 +34,12 @@ class Files:
         return self._fs.exists(self._path(name))
 
     def names(self, folder: str) -> list[str]:
+        """In order, without the checksum files of Hadoop's local file system; each write asks, so local folders are listed here."""
+        if (path := self.local(folder)) is not None:
+            try:
+                return sorted(n for n in os.listdir(path) if not (n.startswith(".") and n.endswith(".crc")))
+            except FileNotFoundError:
+                return []
         if not self.exists(folder):
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
