@@ -111,6 +111,21 @@ def test_order_check(spark):
     assert violations() == (0, 0, 0)
 
 
+def test_order_check_in_blocks_and_files(spark):
+    """Rows are held against the one before them across blocks and files of a run, and not across runs."""
+
+    def violations(placed, block):
+        rows = spark.createDataFrame(placed, "run string, file int, place int, key binary, seq long")
+        return tuple(stats.check_order(rows, "run", "place", "file", block).first())
+
+    keys = [b"a", b"b", b"b", b"d", b"c", b"e", b"e", b"f", b"f", b"a"]
+    seqs = [1, 5, 4, 1, 1, 2, 2, 3, 4, 1]
+    placed = [(run, i // 4, i % 4, k, s) for run in "rs" for i, (k, s) in enumerate(zip(keys, seqs, strict=True))]
+    for block in (1, 2, 3, 100):
+        assert violations(placed, block) == (20, 2, 8)
+    assert violations([p for p in placed if p[1] == 1], 2) == (8, 2, 2)
+
+
 def test_size_estimate_and_distinct_keys(spark):
     df = log(spark, [("ab", 1, "xyz"), ("ab", 2, None), ("c", 3, "")])
     assert dict(rows(stats.size_estimate(df))) == {b"ab": 53 + 50, b"c": 49}

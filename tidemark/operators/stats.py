@@ -12,6 +12,8 @@ from tidemark.model import TOMBSTONE, StoreOptions
 LATENCY_BOUNDS = (0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0)
 #: Bytes that an entry takes in memory besides its key and value.
 ENTRY_OVERHEAD = 48
+#: Places of a run that are walked as one in an order check.
+PLACES_A_BLOCK = 1 << 18
 
 
 def run_stats(log: DataFrame, run: str) -> DataFrame:
@@ -25,13 +27,30 @@ def run_stats(log: DataFrame, run: str) -> DataFrame:
     )
 
 
-def check_order(log: DataFrame, run: str | Column, place: str | Column) -> DataFrame:
-    """Rows, runs, and rows that don't come after the row placed before them in their run: by key, then from new to old."""
-    walk = Window.partitionBy("_run").orderBy("_place")
-    placed = log.select("key", "seq", (F.col(run) if isinstance(run, str) else run).alias("_run"), (F.col(place) if isinstance(place, str) else place).alias("_place"))
-    step = placed.withColumn("_key", F.lag("key").over(walk)).withColumn("_seq", F.lag("seq").over(walk))
-    late = (F.col("key") < F.col("_key")) | ((F.col("key") == F.col("_key")) & (F.col("seq") >= F.col("_seq")))
-    return step.agg(F.count(F.lit(1)).alias("num_rows"), F.countDistinct("_run").alias("num_runs"), F.count(F.when(late, 1)).alias("violations"))
+def check_order(log: DataFrame, run: str | Column, place: str | Column, file: str | Column | None = None, block: int = PLACES_A_BLOCK) -> DataFrame:
+    """Rows, runs, and rows that don't come after the row placed before them in their run: by key, then from new to old.
+
+    Places are numbers, of a file's rows if there is ``file``; files of a run follow each other in its order. A run is
+    walked in blocks of places, and a block's first row is held against the last one before it, so no task has a whole run.
+    """
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    placed = log.select("key", "seq", col(run).alias("_run"), (F.lit(0) if file is None else col(file)).alias("_file"), col(place).alias("_place"))
+    blocks = placed.withColumn("_block", F.floor(F.col("_place") / block))
+
+    def late(key: str, seq: str, last_key: str, last_seq: str) -> Column:
+        return (F.col(key) < F.col(last_key)) | ((F.col(key) == F.col(last_key)) & (F.col(seq) >= F.col(last_seq)))
+
+    walk, across = Window.partitionBy("_run", "_file", "_block").orderBy("_place"), Window.partitionBy("_run").orderBy("_file", "_block")
+    step = blocks.withColumns({"_key": F.lag("key").over(walk), "_seq": F.lag("seq").over(walk)})
+    # a block's rows come in order, so its first and last are found without another sort
+    version = F.struct("key", "seq")
+    ends = step.groupBy("_run", "_file", "_block").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(late("key", "seq", "_key", "_seq"), 1)).alias("late"), F.min_by(version, "_place").alias("first"), F.max_by(version, "_place").alias("last")
+    )
+    held = ends.withColumn("before", F.lag("last").over(across))
+    first = F.when(late("first.key", "first.seq", "before.key", "before.seq"), 1).otherwise(0)
+    zero = F.lit(0).cast("long")
+    return held.agg(F.coalesce(F.sum("n"), zero).alias("num_rows"), F.countDistinct("_run").alias("num_runs"), F.coalesce(F.sum(F.col("late") + first), zero).alias("violations"))
 
 
 def entry_size() -> Column:

@@ -18,7 +18,7 @@ from tidemark.model import TOMBSTONE, VALUE, NotFoundError, StoreError, StoreOpt
 from tidemark.operators import compact, resolve, stats
 from tidemark.plans.store import Store
 from tidemark.sources.files import Files
-from tidemark.sources.runs import read_runs, write_run
+from tidemark.sources.runs import file_number, read_runs, run_folder, write_run
 from tidemark.sources.wal import read_wal
 
 GEN_ROWS = 1000
@@ -149,10 +149,10 @@ def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as a run are in order, by the places that the rows have in its file."""
+    """Events written as a run are in order, by its files and the places that the rows have in them."""
     files = Files(spark, _folder(spark))
     write_run(binary(events_log(spark, sf_dir)), files, "run", 0, 1, StoreOptions())
-    return stats.check_order(read_runs(spark, [files.full("run")]), F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    return stats.check_order(read_runs(spark, [files.full("run")]), run_folder(), F.col("_metadata.row_index"), file_number())
 
 
 def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
