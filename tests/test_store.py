@@ -484,3 +484,29 @@ def test_names(spark, tmp_path):
     files.write("f/b", b"x")
     files.make("f/a")
     assert files.names("f") == ["a", "b"] and files.names("none") == []
+
+
+def test_files_of_a_run_hold_few_entries(spark, tmp_path, monkeypatch):
+    """However small the rows are: what a task sorts is bounded, by counts of the store or of the log itself."""
+    from tidemark.operators.stats import check_order
+    from tidemark.sources import runs
+
+    monkeypatch.setattr(runs, "FILE_ENTRIES", 100)
+    rows_ = spark.range(1000).select((F.col("id") * 7 % 1000).alias("i"), F.encode(F.format_string("k%02d", F.col("id") % 20), "UTF-8").alias("key"), F.lit(b"v").alias("value"))
+    log_ = rows_.select("key", F.col("i").alias("seq"), F.lit(1).alias("op"), "value")
+    files = Files(spark, f"{tmp_path}/r")
+    made = write_run(log_, files, "one", 0, 1, StoreOptions())
+    assert len(made.files) == 10 and (made.num_entries, made.min_key, made.max_key, made.max_seq) == (1000, b"k00", b"k19", 999)
+    for name, low, high in made.files:
+        keys = sorted(bytes(r.key).hex() for r in read_runs(spark, [files.full(f"one/{name}")]).collect())
+        assert (keys[0], keys[-1]) == (low, high) and len(keys) < 300
+    found = check_order(read_runs(spark, [files.full("one")]), runs.run_folder(), F.col("_metadata.row_index"), runs.file_number(), 30).first()
+    assert tuple(found) == (1000, 1, 0)
+    with Store(spark, f"{tmp_path}/store") as store:
+        store.put_all(rows_, "i")
+        assert len(store._manifest.runs[0].files) == 10 and len(scanned(store)) == 20
+        with store.snapshot():
+            store.put(b"k00", b"w")
+            store.compact()
+            assert len(store._manifest.runs[0].files) > 1
+            assert store.get(b"k00") == b"w" and store.log().count() == 21

@@ -223,7 +223,7 @@ class Store:
         began = time.perf_counter()
         self.metrics.flushes.inc()
         try:
-            self._add_run(self._frame(self._memory), self._memory_bytes, max(r.seq for r in self._memory))
+            self._add_run(self._frame(self._memory), self._memory_bytes, len(self._memory), max(r.seq for r in self._memory))
         except Exception:
             self.metrics.flush_failures.inc()
             raise
@@ -236,9 +236,9 @@ class Store:
 
     # batches
 
-    def _add_run(self, log: DataFrame, size: int, max_seq: int | None, level: int = 0, batch: tuple[str, int] | None = None) -> None:
+    def _add_run(self, log: DataFrame, size: int, entries: int, max_seq: int | None, level: int = 0, batch: tuple[str, int] | None = None) -> None:
         gen = self._manifest.next_gen
-        run = write_run(log, self._files, run_name(level, gen), level, gen, self.options, size)
+        run = write_run(log, self._files, run_name(level, gen), level, gen, self.options, size, entries)
         batches = self._manifest.batches | ({batch[0]: batch[1]} if batch else {})
         top = max(self._manifest.max_seq, max_seq or 0, run.max_seq if run else 0)
         self._commit(replace(self._manifest, max_seq=top, next_gen=gen + 1, runs=(*self._manifest.runs, *([run] if run else [])), batches=batches))
@@ -296,7 +296,7 @@ class Store:
             raise StoreError(f"op must be {VALUE} or {TOMBSTONE}")
         self.metrics.puts.inc(ops.get(VALUE, 0))
         self.metrics.deletes.inc(ops.get(TOMBSTONE, 0))
-        self._add_run(log, self._files.size(draft), None, batch=batch)
+        self._add_run(log, self._files.size(draft), sum(ops.values()), None, batch=batch)
         self._files.delete(draft)
         return True
 
@@ -315,14 +315,14 @@ class Store:
     def _load_log(self, log: DataFrame) -> None:
         self._check_owner()
         self.flush()
-        low, high, size = log.agg(F.min("seq"), F.max("seq"), F.sum(entry_size())).first()
+        low, high, size, entries = log.agg(F.min("seq"), F.max("seq"), F.sum(entry_size()), F.count(F.lit(1))).first()
         if low is None:
             return
         if low <= self._seq:
             raise StoreError(f"seqs must be above {self._seq}")
         if not repeats(log).isEmpty():
             raise OrderError("a log must hold each version, (key, seq), once")
-        self._add_run(log.select(*LOG_COLUMNS), size, high)
+        self._add_run(log.select(*LOG_COLUMNS), size, entries, high)
 
     # reads
 
@@ -483,7 +483,7 @@ class Store:
         try:
             log = read_runs(self.spark, [self._files.full(r.path) for r in plan.inputs])
             kept = compact.retain(log, keep, compact.is_bottommost(rest, plan.target))
-            run = write_run(kept, self._files, run_name(plan.target, gen), plan.target, gen, self.options, sum(r.size_bytes for r in plan.inputs))
+            run = write_run(kept, self._files, run_name(plan.target, gen), plan.target, gen, self.options, sum(r.size_bytes for r in plan.inputs), sum(r.num_entries for r in plan.inputs))
             with self._lock:
                 self._check_owner()
                 self._commit(replace(self._manifest, runs=(*(r for r in self._manifest.runs if r not in plan.inputs), *([run] if run else []))))
