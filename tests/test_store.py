@@ -510,3 +510,25 @@ def test_files_of_a_run_hold_few_entries(spark, tmp_path, monkeypatch):
             store.compact()
             assert len(store._manifest.runs[0].files) > 1
             assert store.get(b"k00") == b"w" and store.log().count() == 21
+
+
+def test_parts_of_a_batch_hold_few_rows(spark, tmp_path, monkeypatch):
+    """What a task sorts to number a batch doesn't depend on the number of shuffle partitions."""
+    from tidemark.plans import store as stores
+
+    monkeypatch.setattr(stores, "BATCH_ENTRIES", 100)
+    rows_ = spark.range(1000).select((F.col("id") * 7 % 1000).alias("i")).withColumn("key", F.encode(F.format_string("k%03d", "i"), "UTF-8")).withColumn("value", F.lit(b"v"))
+    with Store(spark, f"{tmp_path}/store") as store:
+        parts, delete = [], store._files.delete
+
+        def watched(name):
+            if ".draft" in name:
+                parts.append([r["count"] for r in spark.read.parquet(store._files.full(name)).groupBy("part").count().collect()])
+            delete(name)
+
+        monkeypatch.setattr(store._files, "delete", watched)
+        store.put_all(rows_, "i")
+        store.put_all(rows_.where("i < 50"), "i")
+        assert sum(parts[0]) == 1000 and max(parts[0]) < 300 and parts[1] == [50]
+        got = sorted((r[1], r[0]) for r in rows(store.log()))
+        assert got == [(i + 1, f"k{i % 1000:03d}".encode()) for i in range(1050)]

@@ -32,6 +32,8 @@ from tidemark.sources.wal import Record, Wal, parse
 #: Manifest versions kept for readers that are behind.
 KEPT_VERSIONS = 20
 OWNERS, OPEN_ATTEMPTS, KEPT_LOGS = "owners", 5, "wal/kept"
+#: Rows of a batch that a task sorts by their order at most, about.
+BATCH_ENTRIES = 1 << 18
 
 
 def run_name(level: int, gen: int) -> str:
@@ -252,7 +254,8 @@ class Store:
         """Write a batch of (key, op, value) in the order of ``order_by``; False if this stream's batch is in the store.
 
         Rows are range-partitioned by the order and numbered within each partition; with the partitions' counts that gives
-        seqs without gaps. Rows that tie in the order get either order.
+        seqs without gaps. Rows that tie in the order get either order. How many partitions, a count of the rows says:
+        those that shuffles have otherwise would grow with the batch.
         """
         done = self._apply(mutations, order_by, batch)
         if done:
@@ -269,7 +272,9 @@ class Store:
         first = self._seq
         rows = mutations.select(order.alias("_order"), F.col("key").cast("binary").alias("key"), F.col("op").cast("int").alias("op"), F.col("value").cast("binary").alias("value"))
         checked = rows.select("_order", F.when(F.octet_length("key") > 0, F.col("key")).otherwise(F.raise_error("key must not be empty").cast("binary")).alias("key"), "op", "value")
-        sorted_ = checked.repartitionByRange("_order").sortWithinPartitions("_order")
+        entries, size = rows.agg(F.count(F.lit(1)), F.sum(entry_size())).first()
+        ranges = max(1, -(-entries // BATCH_ENTRIES), -(-(size or 0) // self.options.file_bytes))
+        sorted_ = checked.repartitionByRange(ranges, "_order").sortWithinPartitions("_order")
         numbered = sorted_.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         value = F.when(F.col("op") == VALUE, F.coalesce("value", F.lit(b"")))
         gen = self._manifest.next_gen
