@@ -532,3 +532,27 @@ def test_parts_of_a_batch_hold_few_rows(spark, tmp_path, monkeypatch):
         assert sum(parts[0]) == 1000 and max(parts[0]) < 300 and parts[1] == [50]
         got = sorted((r[1], r[0]) for r in rows(store.log()))
         assert got == [(i + 1, f"k{i % 1000:03d}".encode()) for i in range(1050)]
+
+
+def test_files_of_runs_are_read_by_tasks_of_their_own(spark, tmp_path, monkeypatch):
+    """However small the files are, a task that ranks versions has about one of them."""
+    from tidemark.plans import store as stores
+    from tidemark.sources import runs
+
+    monkeypatch.setattr(runs, "FILE_ENTRIES", 100)
+    rows_ = spark.range(2000).select((F.col("id") * 7 % 2000).alias("i"), F.encode(F.format_string("k%04d", F.col("id") % 500), "UTF-8").alias("key"), F.lit(b"v").alias("value"))
+
+    def largest(log_):
+        return max(r["count"] for r in log_.groupBy(F.spark_partition_id()).count().collect())
+
+    with Store(spark, f"{tmp_path}/store") as store:
+        store.put_all(rows_, "i")
+        paths = [store._files.full(p) for p in store._manifest.runs[0].paths(None, None)]
+        assert len(paths) == 20 and largest(runs.read_files(spark, paths)) < 200 and largest(store.log()) < 200
+        assert len(scanned(store)) == 500 and store.log().count() == 2000
+        monkeypatch.setattr(runs, "READS", 2)
+        assert runs.read_files(spark, paths).count() == 2000 and runs.read_files(spark, []).count() == 0
+        asked, read = [], stores.read_files
+        monkeypatch.setattr(stores, "read_files", lambda spark, paths: asked.append(len(paths)) or read(spark, paths))
+        store.compact()
+        assert asked == [20] and store.log().count() == 500

@@ -26,7 +26,7 @@ from tidemark.operators.stats import ENTRY_OVERHEAD, entry_size
 from tidemark.plans import manifest as manifests
 from tidemark.plans.manifest import Manifest
 from tidemark.sources.files import Files
-from tidemark.sources.runs import read_runs, repeats, write_run
+from tidemark.sources.runs import read_files, read_runs, repeats, write_run
 from tidemark.sources.wal import Record, Wal, parse
 
 #: Manifest versions kept for readers that are behind.
@@ -333,7 +333,7 @@ class Store:
 
     def _log(self, runs, memory, start: bytes | None, end: bytes | None, seq: int | None) -> DataFrame:
         paths = [self._files.full(p) for r in runs for p in r.paths(start, end)]
-        sources = [read_runs(self.spark, paths)] if paths or not memory else []
+        sources = [read_files(self.spark, paths)] if paths or not memory else []
         recent = [r for r in memory if (start is None or r.key >= start) and (end is None or r.key < end)]
         log = resolve.merge_sources(*sources, *([self._frame(recent)] if recent or not sources else []))
         return resolve.as_of(log, seq)
@@ -486,7 +486,7 @@ class Store:
         began = time.perf_counter()
         self.metrics.compactions.inc()
         try:
-            log = read_runs(self.spark, [self._files.full(r.path) for r in plan.inputs])
+            log = read_files(self.spark, [self._files.full(p) for r in plan.inputs for p in r.paths(None, None)])
             kept = compact.retain(log, keep, compact.is_bottommost(rest, plan.target))
             run = write_run(kept, self._files, run_name(plan.target, gen), plan.target, gen, self.options, sum(r.size_bytes for r in plan.inputs), sum(r.num_entries for r in plan.inputs))
             with self._lock:

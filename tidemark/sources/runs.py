@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ LISTED_FILES = 10_000
 #: Entries of a run's file at most, about; what a task sorts, however well they compress.
 FILE_ENTRIES = 1 << 20
 
+#: Reads that the files of runs are dealt to at most.
+READS = 64
+
 
 def run_folder() -> Column:
     """The name of a row's run."""
@@ -82,6 +87,16 @@ def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(*paths)
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files of runs, about one a task, as a union of reads of as many files as there are cores.
+
+    One read of all would put as many into a task as its share of their bytes allows, so that what a task ranks would grow
+    with the store. Beyond READS times the cores it does, up to spark.sql.files.maxPartitionBytes.
+    """
+    at_once = max(1, spark.sparkContext.defaultParallelism, -(-len(paths) // READS))
+    return reduce(DataFrame.unionByName, [read_runs(spark, paths[i : i + at_once]) for i in range(0, max(1, len(paths)), at_once)])
+
+
 def repeats(log: DataFrame) -> DataFrame:
     """The versions, (key, seq), that a log has more than once."""
     return log.groupBy("key", "seq").count().where("count > 1")
