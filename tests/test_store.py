@@ -556,3 +556,19 @@ def test_files_of_runs_are_read_by_tasks_of_their_own(spark, tmp_path, monkeypat
         monkeypatch.setattr(stores, "read_files", lambda spark, paths: asked.append(len(paths)) or read(spark, paths))
         store.compact()
         assert asked == [20] and store.log().count() == 500
+
+
+def test_many_keys_are_got_without_shuffling_all_versions(spark, tmp_path, monkeypatch):
+    """Few keys cut the log, many don't; rows are the same."""
+    from tidemark.plans import store as stores
+
+    keys = spark.createDataFrame([(b"k1",), (b"k2",), (b"k2",), (b"k3",), (b"none",), (None,)], "key binary")
+    with Store(spark, f"{tmp_path}/store") as store:
+        store.put_all(spark.range(200).select("id", F.encode(F.format_string("k%d", F.col("id") % 20), "UTF-8").alias("key"), F.encode(F.col("id").cast("string"), "UTF-8").alias("value")), "id")
+        store.delete(b"k3")
+        want = sorted([(b"k1", b"181", True), (b"k2", b"182", True), (b"k2", b"182", True), (b"k3", None, False), (b"none", None, False), (None, None, False)], key=repr)
+        for few in (6, 5):
+            monkeypatch.setattr(stores, "FEW_KEYS", few)
+            got = store.multi_get(keys)
+            assert sorted(rows(got), key=repr) == want
+            assert ("LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()) == (few == 6)

@@ -63,10 +63,11 @@ def get(log: DataFrame, key, seq: int | None = None) -> DataFrame:
     return newest.where(F.col("v.op") == VALUE).select("key", F.col("v.value").alias("value"))
 
 
-def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None) -> DataFrame:
-    """Each row of ``keys`` with ``value`` and ``found``; the log is cut to the asked keys before versions are ranked."""
+def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None, cut: bool = True) -> DataFrame:
+    """Each row of ``keys`` with ``value`` and ``found``; with ``cut`` the log is cut to the asked keys before versions are ranked."""
     asked = keys.select("key").distinct()
-    live = visible(latest(log.join(asked, "key", "left_semi"), seq)).select("key", "value", F.lit(True).alias("found"))
+    mine = log.join(asked, "key", "left_semi") if cut else log
+    live = visible(latest(mine, seq)).select("key", "value", F.lit(True).alias("found"))
     return keys.join(live, "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

@@ -34,6 +34,8 @@ KEPT_VERSIONS = 20
 OWNERS, OPEN_ATTEMPTS, KEPT_LOGS = "owners", 5, "wal/kept"
 #: Rows of a batch that a task sorts by their order at most, about.
 BATCH_ENTRIES = 1 << 18
+#: Keys of a multi_get up to which the log is cut to them before versions are ranked.
+FEW_KEYS = 10_000
 
 
 def run_name(level: int, gen: int) -> str:
@@ -417,7 +419,12 @@ class Store:
 
     @_open_only
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        return resolve.multi_get(self.log(), keys)
+        """Each row of ``keys`` with ``value`` and ``found``.
+
+        To cut the log to many keys would shuffle all its versions; ranked first, a task sends one of each key.
+        """
+        few = keys.select("key").limit(FEW_KEYS + 1).count() <= FEW_KEYS
+        return resolve.multi_get(self.log(), keys, cut=few)
 
     @_open_only
     def snapshot(self) -> Snapshot:
